@@ -3,7 +3,7 @@
 from importlib import import_module
 
 MODULES = [
-    "pattern_queries", "question_queries", "text_queries",
+    "pattern_queries", "question_queries", "text_queries", "profile_queries", "clean_queries",
 ]
 
 

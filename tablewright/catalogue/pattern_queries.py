@@ -296,7 +296,7 @@ def declared_from_json(spark, sf_dir):
     import tempfile
 
     data = views.dirty(spark, sf_dir)
-    types = [r.asDict() for r in auto_types(column_profile(data, dates=False)).orderBy("position").collect()]
+    types = [r.asDict() for r in auto_types(column_profile(data, samples=0, dates=False)).orderBy("position").collect()]
     found = specs.spec_from_types("dirty_orders", types)
     for c in found.columns:
         c.is_required = c.name == "order_id"

@@ -346,7 +346,7 @@ def clean(
     """
     df = without_nan(df)
     spark = df.sparkSession
-    prof = profiles.with_semantic(profiles.column_profile(df)).orderBy("position").collect()  # one row per column
+    prof = profiles.with_semantic(profiles.column_profile(df, samples=0)).orderBy("position").collect()  # one row per column
     columns = [row.asDict() for row in prof]
     semantics = {c["column_name"]: c["semantic"] for c in columns}
     plan = validated_plan(heuristic_plan(columns) if plan is None else plan, df.columns)

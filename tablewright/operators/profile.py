@@ -42,7 +42,8 @@ def column_profile(df: DataFrame, samples: int = SAMPLES, dates: bool = True) ->
     """One row per column, with counts exact over the whole table.
 
     ``sample_values`` are the smallest distinct values, which unlike the first
-    ones do not depend on the physical row order.
+    ones do not depend on the physical row order. ``samples=0`` leaves them
+    out, ``dates=False`` the test whether a column named like a date parses as one.
     """
     freq = value_frequencies(without_nan(df), digest_long=True)
     present = F.col("value").isNotNull()
@@ -53,15 +54,12 @@ def column_profile(df: DataFrame, samples: int = SAMPLES, dates: bool = True) ->
         F.count("value").alias("unique_count"),
         (F.coalesce(F.bool_and(parses), F.lit(False)) if dates else F.lit(False)).alias("all_dates"),
     )
-    first = Window.partitionBy("column_name").orderBy("value")
-    sampled = (
-        freq.where(present)
-        .select("column_name", "value", F.row_number().over(first).alias("rank"))
-        .where(F.col("rank") <= samples)
-        .groupBy("column_name")
-        .agg(F.array_sort(F.collect_list("value")).alias("sample_values"))
-    )
-    joined = column_list(df).join(facts, "column_name", "left").join(sampled, "column_name", "left")
+    joined = column_list(df).join(facts, "column_name", "left")
+    if samples:
+        numbers = [f.name for f in df.schema.fields if is_numeric(f.dataType)]
+        joined = joined.join(_smallest_values(freq.where(present), numbers, samples), "column_name", "left")
+    else:
+        joined = joined.withColumn("sample_values", F.lit(None).cast("array<string>"))
     rows, total = F.coalesce("row_count", F.lit(0)), F.coalesce("total_count", F.lit(0))
     empty = total == 0
     return joined.select(
@@ -82,6 +80,15 @@ def column_profile(df: DataFrame, samples: int = SAMPLES, dates: bool = True) ->
     )
 
 
+def _smallest_values(freq: DataFrame, numbers: list[str], n: int) -> DataFrame:
+    as_number = F.when(F.col("column_name").isin(numbers), F.col("value").try_cast("double"))
+    # Filtered on its rank, this window keeps only the first rows of each task before the shuffle.
+    order = Window.partitionBy("column_name").orderBy(as_number, "value")
+    first = freq.select("column_name", "value", F.row_number().over(order).alias("rank")).where(F.col("rank") <= n)
+    ranked = first.groupBy("column_name").agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("ranked"))
+    return ranked.select("column_name", F.col("ranked.value").alias("sample_values"))
+
+
 def approximate_profile(df: DataFrame, rsd: float = 0.02) -> DataFrame:
     """The profile without exact distinct counts and samples: one scan, no wide shuffle."""
     df = without_nan(df)
@@ -109,10 +116,8 @@ def name_semantic(name: Column, rules: list[tuple[str, list[str]]] = lexicon.SEM
     text = F.lower(name)
     meaning = None
     for label, words in rules:
-        if tokens:
-            hit = text.rlike("(^|[^a-z0-9])(" + "|".join(words) + ")([^a-z0-9]|$)")
-        else:
-            hit = contains_any(text, words)
+        listed = "|".join(words)
+        hit = text.rlike(f"(^|[^a-z0-9])({listed})([^a-z0-9]|$)" if tokens else listed)
         meaning = F.when(hit, F.lit(label)) if meaning is None else meaning.when(hit, F.lit(label))
     return meaning.otherwise(F.lit("generic"))
 
@@ -237,10 +242,10 @@ def describe_dataset(columns: dict[str, list[str]], names: list[str], kind: str,
 # ---------------------------------------------------------------- other profiles
 
 
-def numeric_profile(df: DataFrame) -> DataFrame:
+def numeric_profile(df: DataFrame, samples: int = 5) -> DataFrame:
     """Per column: null percentage, distinct count, simple meaning, and min/max/mean of numbers."""
     df = without_nan(df)
-    facts = column_profile(df, samples=5, dates=False)
+    facts = column_profile(df, samples=samples, dates=False)
     numbers = [f.name for f in df.schema.fields if is_numeric(f.dataType)]
     stats = [
         F.struct(
@@ -456,3 +461,55 @@ def numeric_likeness(df: DataFrame, columns: list[str]) -> DataFrame:
         F.when(intent, F.col("messy") >= 0.2).otherwise(F.col("plain") >= 0.85).alias("coerced_when_cleaning"),
         (F.col("plain") >= 0.7).alias("numeric_in_reports"),
     )
+
+
+# ---------------------------------------------------------------- suggested measures
+
+
+def suggested_metrics(df: DataFrame, columns: dict[str, list[str]], n: int = 6) -> DataFrame:
+    """(name, formula, value): row count, sums and averages, and a distinct count, in one scan."""
+    offers = [("Total Records", "COUNT(*)", F.count(F.lit(1)))]
+    for c in columns.get("numeric", [])[:3]:
+        offers.append((f"Total {c}", f"SUM({c})", F.sum(quoted(c))))
+        offers.append((f"Average {c}", f"AVG({c})", F.avg(quoted(c))))
+    for c in columns.get("categorical", [])[:1]:
+        offers.append((f"Distinct {c}", f"COUNT(DISTINCT {c})", F.count_distinct(quoted(c))))
+    entries = [
+        F.struct(F.lit(name).alias("name"), F.lit(formula).alias("formula"), value.cast("double").alias("value"))
+        for name, formula, value in offers[:n]
+    ]
+    return df.agg(F.array(*entries).alias("e")).select(F.inline("e"))
+
+
+def recommended_aggregates(df: DataFrame, columns: dict[str, list[str]]) -> DataFrame:
+    """(category, label, measure, total): two measures summed over two categories and over months."""
+    measures, categories = columns.get("numeric", [])[:2], columns.get("categorical", [])[:2]
+    dates = columns.get("date", [])[:1]
+    sums = [F.sum(quoted(m)).cast("double").alias(m) for m in measures]
+    parts = []
+    if measures and categories:
+        # One scan and one shuffle for all categories.
+        labels = [
+            F.struct(F.lit(c).alias("category"), quoted(c).cast("string").alias("label")) for c in categories
+        ]
+        long = df.select(F.explode(F.array(*labels)).alias("g"), *[quoted(m) for m in measures])
+        parts.append(long.groupBy("g.category", "g.label").agg(*sums))
+    if measures and dates:
+        month = F.date_format(quoted(dates[0]), "yyyy-MM").alias("label")
+        monthly = df.groupBy(month).agg(sums[0]).withColumn("category", F.lit("month"))
+        parts.append(monthly)
+    if not parts:
+        return df.sparkSession.createDataFrame([], "category string, label string, measure string, total double")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    long = out.unpivot(["category", "label"], [quoted(m) for m in measures], "measure", "total")
+    return long.where((F.col("category") != "month") | (F.col("measure") == measures[0]))
+
+
+def rows_with_nulls(df: DataFrame) -> DataFrame:
+    """How many rows have at least one null."""
+    any_null = F.lit(False)
+    for c in df.columns:
+        any_null = any_null | quoted(c).isNull()
+    return df.agg(F.count_if(any_null).alias("rows_with_nulls"), F.count(F.lit(1)).alias("row_count"))

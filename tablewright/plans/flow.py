@@ -36,7 +36,7 @@ def run_flow(
     raw = replace_files(raw, f"{target}/raw")
     cleaned = cleaning.clean(raw, plan, order_by)
     data = replace_files(cleaned.data, f"{target}/clean")
-    profile = profiles.with_role(profiles.with_semantic(profiles.column_profile(data)))
+    profile = profiles.with_role(profiles.with_semantic(profiles.column_profile(data, samples=0)))
     group, value = charts.report_columns(data, profiles.roles(profile))
     report = replace_files(charts.group_report(data, group, value), f"{target}/report")
     export_csv(data, f"{target}/clean_csv")
