@@ -3,7 +3,8 @@
 from importlib import import_module
 
 MODULES = [
-    "pattern_queries", "question_queries", "text_queries", "profile_queries", "clean_queries",
+    "pattern_queries", "question_queries", "text_queries", "profile_queries", "clean_queries", "report_queries", "model_queries",
+    "source_queries",
 ]
 
 

@@ -23,9 +23,10 @@ def read_csv_robust(
     path: str,
     schema: T.StructType | str | None = None,
     sampling_ratio: float = 1.0,
+    header: bool = True,
     multi_line: bool = False,
 ) -> DataFrame:
-    """Read CSV with a header, skipping rows that have too many fields.
+    """Read CSV, skipping rows that have too many fields.
 
     Short rows are kept and padded with nulls. One extra text column catches
     the surplus; values that do not fit their type become null. ``multi_line``
@@ -36,13 +37,15 @@ def read_csv_robust(
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
     wide = T.StructType([*schema.fields, T.StructField(_SURPLUS, T.StringType())])
-    raw = spark.read.schema(wide).option("header", True).option("multiLine", multi_line).csv(path)
+    raw = spark.read.schema(wide).option("header", header).option("multiLine", multi_line).csv(path)
     return raw.where(F.col(_SURPLUS).isNull()).drop(_SURPLUS)
 
 
-def sample_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, rows: int = PROFILE_ROWS) -> DataFrame:
+def sample_csv(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, rows: int = PROFILE_ROWS, header: bool = True
+) -> DataFrame:
     """The first rows of a file, for a quick look at its shape."""
-    return read_csv_robust(spark, path, schema).limit(rows)
+    return read_csv_robust(spark, path, schema, header=header).limit(rows)
 
 
 def read_json_records(spark: SparkSession, path: str, schema: T.StructType | str | None = None, lines: bool = False) -> DataFrame:
@@ -55,8 +58,9 @@ def read_json_records(spark: SparkSession, path: str, schema: T.StructType | str
 
 
 def export_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header; nulls as empty fields and empty strings quoted."""
-    df.write.mode("overwrite").option("header", True).option("emptyValue", '""').csv(path)
+    """CSV with a header and white space kept; nulls as empty fields, empty strings quoted."""
+    writer = df.write.mode("overwrite").option("header", True).option("emptyValue", '""')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def export_json(df: DataFrame, path: str) -> None:

@@ -20,9 +20,10 @@ def checked(name: str) -> str:
     return name
 
 
-def replace_table(df: DataFrame, name: str) -> DataFrame:
+def replace_table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Materialise ``df`` as a catalog table, replacing any earlier one."""
-    df.write.mode("overwrite").format("parquet").saveAsTable(checked(name))
+    writer = df.write.mode("overwrite").format("parquet")
+    (writer.option("path", path) if path else writer).saveAsTable(checked(name))
     return df.sparkSession.table(name)
 
 
@@ -32,10 +33,11 @@ def replace_files(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def create_table_if_absent(spark: SparkSession, name: str, schema: T.StructType) -> DataFrame:
+def create_table_if_absent(spark: SparkSession, name: str, schema: T.StructType, path: str | None = None) -> DataFrame:
     """An empty typed table, unless one of that name exists already."""
     if not spark.catalog.tableExists(checked(name)):
-        spark.createDataFrame([], schema).write.mode("ignore").format("parquet").saveAsTable(name)
+        writer = spark.createDataFrame([], schema).write.mode("ignore").format("parquet")
+        (writer.option("path", path) if path else writer).saveAsTable(name)
     return spark.table(name)
 
 
@@ -53,9 +55,9 @@ def catalog_summary(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def list_tables(spark: SparkSession, database: str | None = None) -> DataFrame:
-    """The catalog's tables with their size."""
-    listed = spark.catalog.listTables(database) if database else spark.catalog.listTables()
+def list_tables(spark: SparkSession, database: str | None = None, pattern: str | None = None) -> DataFrame:
+    """The catalog's tables and views with their size."""
+    listed = spark.catalog.listTables(database, pattern)
     names = [t.name for t in listed if is_identifier(t.name)]
     return catalog_summary({n: spark.table(f"{database}.{n}" if database else n) for n in names})
 
