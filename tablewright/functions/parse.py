@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from tablewright.functions.text import number_words, strip
+from tablewright.functions.text import spoken_number, strip
 
 # Plain decimal or scientific notation. Guards the cast, which would also take '1d'.
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
@@ -12,44 +12,53 @@ NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 # Text looks like a date when one of these shapes occurs in it.
 DATE_SHAPE = r"(?:\d{1,4}[-/]\d{1,2}[-/]\d{1,4}|\d{1,2}:\d{2}|[A-Za-z]{3,9}\s+\d{1,2})"
 
-ISO_TIMESTAMP = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([ T][0-9]{1,2}:[0-9]{1,2}(:[0-9]{1,2}(\.[0-9]{1,9})?)?)?$"
+ISO_TIMESTAMP = r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([ T][0-9]{1,2}:[0-9]{1,2}(:[0-9]{1,2}(\.[0-9]{1,9})?)?)?"
 
-# Accepted beside ISO, in order of preference: (shape, Spark pattern).
-DATE_FORMATS = [
-    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$", "M/d/yyyy"),
-    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$", "d/M/yyyy"),
-    (r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$", "yyyy/M/d"),
-    (r"^[A-Za-z]{3} [0-9]{1,2} [0-9]{4}$", "MMM d yyyy"),
-    (r"^[A-Za-z]{3} [0-9]{1,2}, [0-9]{4}$", "MMM d, yyyy"),
-    (r"^[A-Za-z]{4,9} [0-9]{1,2},? [0-9]{4}$", "MMMM d[,] yyyy"),
-    (r"^[0-9]{1,2} [A-Za-z]{3} [0-9]{4}$", "d MMM yyyy"),
-    (r"^[0-9]{1,2} [A-Za-z]{4,9} [0-9]{4}$", "d MMMM yyyy"),
-]
+# Accepted beside ISO: shape -> Spark patterns, in order of preference.
+DATE_FORMATS = {
+    r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}": ["M/d/yyyy", "d/M/yyyy"],
+    r"[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}": ["yyyy/M/d"],
+    r"[A-Za-z]{3} [0-9]{1,2},? [0-9]{4}": ["MMM d[,] yyyy"],
+    r"[A-Za-z]{4,9} [0-9]{1,2},? [0-9]{4}": ["MMMM d[,] yyyy"],
+    r"[0-9]{1,2} [A-Za-z]{3} [0-9]{4}": ["d MMM yyyy"],
+    r"[0-9]{1,2} [A-Za-z]{4,9} [0-9]{4}": ["d MMMM yyyy"],
+}
 
 
-def parse_number(c: Column) -> Column:
-    """Coerce text that is already a number."""
-    text = strip(c)
+def parse_number(c: Column, stripped: bool = False) -> Column:
+    """Coerce text that is already a number. ``stripped`` tells that white space is gone."""
+    text = c if stripped else strip(c)
     return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
-def parse_messy_number(c: Column) -> Column:
-    """Coerce text such as '$1,234.50 USD' or 'twenty one'."""
-    kept = F.regexp_replace(number_words(c), r"[^0-9+.,-]", "")
-    return parse_number(F.replace(kept, F.lit(","), F.lit("")))
+def parse_messy_number(c: Column, stripped: bool = False) -> Column:
+    """Coerce text such as '$1,234.50 USD' or 'twenty one'; plain numbers are taken as they are."""
+    text = c if stripped else strip(c)
+    digits = F.replace(F.regexp_replace(text, r"[^0-9+.,-]", ""), F.lit(","), F.lit(""))
+    return (
+        F.when(text.rlike(NUMBER), text.try_cast("double"))
+        .when(text.rlike("[0-9]"), digits.try_cast("double"))
+        .otherwise(spoken_number(text).cast("double"))
+    )
 
 
-def parse_timestamp(c: Column) -> Column:
+def parse_timestamp(c: Column, stripped: bool = False) -> Column:
     """Coerce text in any accepted format to a zone-less timestamp."""
-    text = strip(c)
-    parsed = [F.when(text.rlike(ISO_TIMESTAMP), text.try_cast("timestamp_ntz"))]
-    for shape, pattern in DATE_FORMATS:
-        parsed.append(F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz")))
-    return F.coalesce(*parsed)
+    text = c if stripped else strip(c)
+    parsed = F.when(text.rlike(_whole(ISO_TIMESTAMP)), text.try_cast("timestamp_ntz"))
+    for shape, patterns in DATE_FORMATS.items():
+        tries = [F.try_to_timestamp(text, F.lit(p)).cast("timestamp_ntz") for p in patterns]
+        parsed = parsed.when(text.rlike(_whole(shape)), F.coalesce(*tries) if len(tries) > 1 else tries[0])
+    # Most text has no accepted shape at all and is settled by one test.
+    return F.when(text.rlike(_whole("|".join([ISO_TIMESTAMP, *DATE_FORMATS]))), parsed)
+
+
+def _whole(shape: str) -> str:
+    return f"^({shape})$"
 
 
 def looks_like_date(c: Column) -> Column:
-    return strip(c).rlike(DATE_SHAPE)
+    return c.rlike(DATE_SHAPE)
 
 
 def half_even_integer(c: Column) -> Column:

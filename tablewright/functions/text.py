@@ -9,6 +9,9 @@ from pyspark.sql import Column, functions as F
 # Every character Python treats as white space.
 WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
 
+# Only text made of letters, spaces and hyphens can be a number in words.
+WORDS_ONLY = r"(?U)^[A-Za-z\s-]+$"
+
 # English number words in order; a word's position gives its value.
 SMALL_NUMBERS = (
     "zero one two three four five six seven eight nine ten eleven twelve thirteen "
@@ -41,17 +44,24 @@ def lowercase(c: Column) -> Column:
     return F.lower(c)
 
 
+def _spoken_numbers() -> dict[str, int]:
+    """Every phrase understood: the words themselves, and tens followed by a small number."""
+    values = {w: i for i, w in enumerate(SMALL_NUMBERS)}
+    for i, ten in enumerate(ROUND_TENS, start=2):
+        values[ten] = 10 * i
+        values |= {f"{ten} {word}": 10 * i + j for j, word in enumerate(SMALL_NUMBERS)}
+    return values
+
+
+def spoken_number(c: Column) -> Column:
+    """'forty' -> 40, 'Twenty-one' -> 21; null for anything else."""
+    phrase = F.regexp_replace(strip(F.replace(F.lower(c), F.lit("-"), F.lit(" "))), r"(?U)\s+", " ")
+    return F.when(c.rlike(WORDS_ONLY), F.try_element_at(literal_map(_spoken_numbers()), phrase))
+
+
 def number_words(c: Column) -> Column:
-    """'forty' -> '40', 'twenty one' -> '21'; every other value is returned unchanged."""
-    small = literal_map({w: i for i, w in enumerate(SMALL_NUMBERS)})
-    tens = literal_map({w: 10 * i for i, w in enumerate(ROUND_TENS, start=2)})
-    words = F.split(strip(F.lower(F.replace(c, F.lit("-"), F.lit(" ")))), r"(?U)\s+")
-    first, second = F.get(words, F.lit(0)), F.get(words, F.lit(1))
-    spoken = F.when(
-        F.size(words) == 1, F.coalesce(F.try_element_at(small, first), F.try_element_at(tens, first))
-    ).when(F.size(words) == 2, F.try_element_at(tens, first) + F.try_element_at(small, second))
-    # Only values made of letters can be number words; skip the lookups for the rest.
-    return F.when(c.rlike(r"(?U)^[A-Za-z\s-]+$"), F.coalesce(spoken.cast("string"), c)).otherwise(c)
+    """Number words as digits; every other value is returned unchanged."""
+    return F.coalesce(spoken_number(c).cast("string"), c)
 
 
 def canonical(c: Column, labels: dict[str, list[str]] = GENDER_LABELS) -> Column:

@@ -7,12 +7,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tablewright.durable import scratch_path
 from tablewright.functions import lexicon, parse, text
 from tablewright.functions.measures import corrected_skew
 from tablewright.operators import profile as profiles
 from tablewright.operators.frequency import modes, quoted, without_nan
 from tablewright.operators.ordering import forward_backward_fill
 from tablewright.operators.quantiles import medians
+from tablewright.sources.tables import replace_files
 
 # The operations a plan may name.
 OPERATIONS = [
@@ -65,32 +67,34 @@ def validated_plan(plan: Plan, columns: list[str]) -> Plan:
     return {c: ops for c, ops in kept.items() if ops}
 
 
-def _apply(c: Column, data_type: T.DataType, op: str) -> tuple[Column, T.DataType]:
-    """One operation on one column. Only text is touched: numbers and dates are already parsed."""
-    if not isinstance(data_type, T.StringType):
-        return c, data_type
-    if op == "trim":
-        return text.strip(c), data_type
-    if op == "lowercase":
-        return text.lowercase(c), data_type
-    if op == "normalize_empty_to_null":
-        return text.blank_to_null(c), data_type
-    if op == "parse_numeric":
-        return parse.parse_messy_number(c), T.DoubleType()
-    if op == "parse_date":
-        return parse.parse_timestamp(c), T.TimestampNTZType()
-    return c, data_type
+def _planned(c: Column, ops: list[str]) -> Column:
+    """A text column after its operations; white space is stripped at most once."""
+    stripped = False
+    for op in ops:
+        if op in ("trim", "normalize_empty_to_null") and not stripped:
+            c, stripped = text.strip(c), True
+        if op == "normalize_empty_to_null":
+            c = F.nullif(c, F.lit(""))
+        elif op == "lowercase":
+            c = text.lowercase(c)
+        elif op == "parse_numeric":
+            return parse.parse_messy_number(c, stripped)
+        elif op == "parse_date":
+            return parse.parse_timestamp(c, stripped)
+    return c
 
 
 def apply_plan(df: DataFrame, plan: Plan) -> DataFrame:
-    """Run the value operations of the plan as one projection; no rows are dropped here."""
-    out = []
-    for f in df.schema.fields:
-        c, kind = quoted(f.name), f.dataType
-        for op in plan.get(f.name, []):
-            c, kind = _apply(c, kind, op)
-        out.append(c.alias(f.name))
-    return df.select(*out)
+    """Run the value operations of the plan as one projection; no rows are dropped here.
+
+    Only text is touched: numbers and dates are parsed already.
+    """
+    planned = {
+        f.name: _planned(quoted(f.name), plan[f.name])
+        for f in df.schema.fields
+        if f.name in plan and isinstance(f.dataType, T.StringType)
+    }
+    return df.withColumns(planned) if planned else df
 
 
 def canonicalise(df: DataFrame, semantics: dict[str, str]) -> DataFrame:
@@ -141,18 +145,24 @@ def measure(df: DataFrame, semantics: dict[str, str]) -> tuple[int, dict[str, di
     rows = 0
     for start in range(0, len(fields), COLUMNS_PER_SCAN):
         chunk = fields[start:start + COLUMNS_PER_SCAN]
-        entries = [F.count(F.lit(1)).alias("rows")]
+        # Each value is parsed once per row, in a projection below the aggregates.
+        parsed, entries = [], [F.count(F.lit(1)).alias("rows")]
         for i, f in enumerate(chunk):
             c = quoted(f.name)
-            wanted = {"present": F.count(c)}
+            parsed.append(c.isNotNull().alias(f"present_{i}"))
+            wanted = {"present": F.count_if(f"present_{i}")}
             number = _number_form(f, semantics.get(f.name, ""))
             if number is not None:
-                wanted |= {"numbers": F.count(number), "mean": F.avg(number), "skew": corrected_skew(number)}
+                parsed.append(number.alias(f"number_{i}"))
+                v = F.col(f"number_{i}")
+                wanted |= {"numbers": F.count(v), "mean": F.avg(v), "skew": corrected_skew(v)}
             if isinstance(f.dataType, T.StringType):
-                wanted["date_like"] = F.count_if(parse.looks_like_date(c))
-                wanted["dates"] = F.count(parse.parse_timestamp(c))
+                like = parse.looks_like_date(c)
+                parsed.append(like.alias(f"like_{i}"))
+                parsed.append(F.when(like, parse.parse_timestamp(c)).isNotNull().alias(f"date_{i}"))
+                wanted |= {"date_like": F.count_if(f"like_{i}"), "dates": F.count_if(f"date_{i}")}
             entries.append(F.struct(*[e.alias(k) for k, e in wanted.items()]).alias(f"c{i}"))
-        row = df.agg(*entries).first()
+        row = df.select(*parsed).agg(*entries).first()
         rows = row["rows"]
         facts |= {f.name: row[f"c{i}"].asDict() for i, f in enumerate(chunk)}
     return rows, facts
@@ -338,11 +348,14 @@ def clean(
     order_by: list[str] | None = None,
     partition_by: list[str] | None = None,
     drop_duplicates: bool = True,
+    materialise: bool = True,
 ) -> Cleaned:
     """Profile, parse, canonicalise, impute, and drop empty, incomplete and repeated rows.
 
     Types are coerced only where nulls remain after the plan; required columns
     are tested after imputation. ``order_by`` is needed when dates are filled.
+    ``materialise`` writes the parsed table to the shared folder, so that the
+    later passes read the columns they need instead of parsing everything again.
     """
     df = without_nan(df)
     spark = df.sparkSession
@@ -350,10 +363,12 @@ def clean(
     columns = [row.asDict() for row in prof]
     semantics = {c["column_name"]: c["semantic"] for c in columns}
     plan = validated_plan(heuristic_plan(columns) if plan is None else plan, df.columns)
-    importance = {
-        r["feature"]: r["importance_score"] for r in profiles.feature_importance(df).collect()  # at most 25 rows
-    }
+    ratios = {c["column_name"]: c["unique_count"] / max(c["row_count"], 1) for c in columns}
+    scored = profiles.feature_importance(df, ratios=ratios).collect()  # at most 25 rows
+    importance = {r["feature"]: r["importance_score"] for r in scored}
     staged = canonicalise(apply_plan(df, plan), semantics)
+    if materialise:
+        staged = replace_files(staged, scratch_path(spark, "staged"))
     rows, choices = fill_choices(staged, semantics, importance)
     filled = apply_choices(staged, choices, order_by, partition_by)
 

@@ -327,10 +327,13 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     return out
 
 
-def feature_importance(df: DataFrame, top: int = TOP_FEATURES) -> DataFrame:
+def feature_importance(
+    df: DataFrame, top: int = TOP_FEATURES, ratios: dict[str, float] | None = None
+) -> DataFrame:
     """Columns by importance: spread and correlation of numbers, cardinality of the rest.
 
-    Dates are left out. Ties keep numbers first, then table order.
+    Dates are left out. Ties keep numbers first, then table order. ``ratios``
+    (distinct values per row) saves counting them when a profile has done so.
     """
     df = without_nan(df)
     kinds = {f.name: type_label(f.dataType) for f in df.schema.fields}
@@ -362,9 +365,12 @@ def feature_importance(df: DataFrame, top: int = TOP_FEATURES) -> DataFrame:
             )
         )
     if others:
-        freq = value_frequencies(df, others, digest_long=True)
-        ratio = F.count("value") / F.greatest(F.sum("n"), F.lit(1))
-        counted = freq.groupBy(F.col("column_name").alias("feature")).agg(ratio.alias("u"))
+        if ratios is None:
+            freq = value_frequencies(df, others, digest_long=True)
+            ratio = F.count("value") / F.greatest(F.sum("n"), F.lit(1))
+            counted = freq.groupBy(F.col("column_name").alias("feature")).agg(ratio.alias("u"))
+        else:
+            counted = spark.createDataFrame([(c, ratios[c]) for c in others], "feature string, u double")
         score = 0.4 * F.col("u") + 0.2 * (1 - F.abs(0.5 - F.col("u")))
         parts.append(
             counted.select(

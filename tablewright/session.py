@@ -8,6 +8,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # HotSpot never compiles a method of more than 8000 bytes of bytecode. Wide cleaning
+    # projections exceed that as one generated method, and run faster without fusing.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
