@@ -71,8 +71,7 @@ def csv_export(spark, sf_dir):
     df = views.dirty(spark, sf_dir)
     path = scratch_path(spark, "dirty_csv")
     files.export_csv(df, path)
-    read = spark.read.schema(df.schema).option("header", True)
-    return read.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return files.read_csv_robust(spark, path, df.schema)
 
 
 @query("s08_json_export", "SELECT doc_id, md5(text) AS digest, lang FROM documents")

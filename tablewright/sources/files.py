@@ -10,11 +10,13 @@ from tablewright.operators.frequency import quoted
 
 PROFILE_ROWS = 2000
 _SURPLUS = "_surplus"
+# A quote inside quotes is doubled, as most tools write it.
+QUOTE = '"'
 
 
 def infer_csv_schema(spark: SparkSession, path: str, sampling_ratio: float = 1.0) -> T.StructType:
     """Column names from the header, types inferred over the given share of the file."""
-    reader = spark.read.option("header", True).option("inferSchema", True)
+    reader = spark.read.option("header", True).option("inferSchema", True).option("escape", QUOTE)
     return reader.option("samplingRatio", sampling_ratio).csv(path).schema
 
 
@@ -37,7 +39,8 @@ def read_csv_robust(
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
     wide = T.StructType([*schema.fields, T.StructField(_SURPLUS, T.StringType())])
-    raw = spark.read.schema(wide).option("header", header).option("multiLine", multi_line).csv(path)
+    reader = spark.read.schema(wide).option("header", header).option("multiLine", multi_line)
+    raw = reader.option("escape", QUOTE).csv(path)
     return raw.where(F.col(_SURPLUS).isNull()).drop(_SURPLUS)
 
 
@@ -59,7 +62,7 @@ def read_json_records(spark: SparkSession, path: str, schema: T.StructType | str
 
 def export_csv(df: DataFrame, path: str) -> None:
     """CSV with a header and white space kept; nulls as empty fields, empty strings quoted."""
-    writer = df.write.mode("overwrite").option("header", True).option("emptyValue", '""')
+    writer = df.write.mode("overwrite").option("header", True).option("emptyValue", '""').option("escape", QUOTE)
     writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
