@@ -9,6 +9,7 @@ from tablewright.catalogue.clean_queries import cleaned_sql
 from tablewright.catalogue.registry import query, rounded, table
 from tablewright.durable import scratch_path
 from tablewright.plans import flow, models
+from tablewright.sources.tables import replace_files
 
 ROLES = {
     "id": ["transaction_id"], "categorical": ["symbol", "type", "broker"],
@@ -58,8 +59,10 @@ def intermediate(spark, sf_dir):
     FROM staging s LEFT JOIN intermediate i ON s.symbol = i.symbol"""),
 )
 def mart(spark, sf_dir):
+    """The intermediate model is written first, so its size is known before the join."""
     rows = staged(spark, sf_dir).drop("fee")
-    return rounded(models.mart(rows, models.intermediate(rows, "symbol", "total_value"), "symbol", "total_value"))
+    grouped = replace_files(models.intermediate(rows, "symbol", "total_value"), scratch_path(spark, "intermediate"))
+    return rounded(models.mart(rows, grouped, "symbol", "total_value"))
 
 
 def order_lines(spark, sf_dir):

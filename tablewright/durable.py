@@ -1,4 +1,4 @@
-"""Shared storage, lineage cuts and size-checked broadcasts."""
+"""Shared storage and size-checked broadcasts."""
 
 from __future__ import annotations
 
@@ -25,9 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
         return sc.getCheckpointDir().rstrip("/")
     if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="tablewright-")
-    sc.setCheckpointDir(folder)
-    return folder
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="tablewright-"))
+    return sc.getCheckpointDir().rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -35,15 +34,6 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tablewright/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to reliable storage, so that its rows and their partitions stay fixed."""
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting that ``df`` has at most ``max_rows`` rows.
 

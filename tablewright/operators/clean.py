@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -11,7 +11,7 @@ from tablewright.durable import scratch_path
 from tablewright.functions import lexicon, parse, text
 from tablewright.functions.measures import corrected_skew
 from tablewright.operators import profile as profiles
-from tablewright.operators.frequency import modes, quoted, without_nan
+from tablewright.operators.frequency import quoted, value_frequencies, without_nan
 from tablewright.operators.ordering import forward_backward_fill
 from tablewright.operators.quantiles import medians
 from tablewright.sources.tables import replace_files
@@ -129,7 +129,9 @@ class Choice:
     numeric: Column | None = None  # set when the column is replaced by its coerced form
     ordered: Column | None = None  # set when the fill follows the row order
     needs: str = ""  # "median" or "mode" while the value is still open
-    count: int = 0
+    count: int = 0  # numbers the median is taken from
+    present: int = 0
+    text: bool = False  # a text column that may still turn out to hold dates
 
     @property
     def preview(self) -> str | None:
@@ -139,7 +141,7 @@ class Choice:
 
 
 def measure(df: DataFrame, semantics: dict[str, str]) -> tuple[int, dict[str, dict]]:
-    """Row count and, per column, everything the choice of a fill depends on."""
+    """Row count and, per column, its values, and the count, mean and skew of its numbers."""
     fields = df.schema.fields
     facts: dict[str, dict] = {}
     rows = 0
@@ -148,19 +150,13 @@ def measure(df: DataFrame, semantics: dict[str, str]) -> tuple[int, dict[str, di
         # Each value is parsed once per row, in a projection below the aggregates.
         parsed, entries = [], [F.count(F.lit(1)).alias("rows")]
         for i, f in enumerate(chunk):
-            c = quoted(f.name)
-            parsed.append(c.isNotNull().alias(f"present_{i}"))
+            parsed.append(quoted(f.name).isNotNull().alias(f"present_{i}"))
             wanted = {"present": F.count_if(f"present_{i}")}
             number = _number_form(f, semantics.get(f.name, ""))
             if number is not None:
                 parsed.append(number.alias(f"number_{i}"))
                 v = F.col(f"number_{i}")
                 wanted |= {"numbers": F.count(v), "mean": F.avg(v), "skew": corrected_skew(v)}
-            if isinstance(f.dataType, T.StringType):
-                like = parse.looks_like_date(c)
-                parsed.append(like.alias(f"like_{i}"))
-                parsed.append(F.when(like, parse.parse_timestamp(c)).isNotNull().alias(f"date_{i}"))
-                wanted |= {"date_like": F.count_if(f"like_{i}"), "dates": F.count_if(f"date_{i}")}
             entries.append(F.struct(*[e.alias(k) for k, e in wanted.items()]).alias(f"c{i}"))
         row = df.select(*parsed).agg(*entries).first()
         rows = row["rows"]
@@ -168,6 +164,19 @@ def measure(df: DataFrame, semantics: dict[str, str]) -> tuple[int, dict[str, di
     return rows, facts
 
 
+def text_facts(df: DataFrame, columns: list[str]) -> dict[str, dict]:
+    """Mode and date shares of text columns, each distinct value tested once."""
+    freq = value_frequencies(df, columns).where(F.col("value").isNotNull())
+    value, n = F.col("value"), F.col("n")
+    like = parse.looks_like_date(value)
+    found = freq.groupBy("column_name").agg(
+        F.min(F.struct((-n).alias("neg"), value)).getField("value").alias("mode"),
+        F.sum(F.when(like, n).otherwise(0)).alias("date_like"),
+        F.sum(F.when(like & parse.parse_timestamp(value).isNotNull(), n).otherwise(0)).alias("dates"),
+    )
+    return {r["column_name"]: r.asDict() for r in found.collect()}  # one row per column
+
+
 def _number_form(f: T.StructField, semantic: str) -> Column | None:
     """The column as a number: itself, or text coerced as its intent allows."""
     c = quoted(f.name)
@@ -181,45 +190,56 @@ def _number_form(f: T.StructField, semantic: str) -> Column | None:
 def choose(
     f: T.StructField, rows: int, fact: dict, semantic: str, importance: float, typical: float
 ) -> Choice | None:
-    """Pick the fill for one column; None when nothing is missing."""
+    """Pick the fill for one column; None when nothing is missing.
+
+    ``needs`` of the result tells what is still to be found out: the median, or
+    whether the text is a date and which value is its mode.
+    """
     present, missing = fact["present"], rows - fact["present"]
     if missing == 0:
         return None
     if missing / rows > MOSTLY_MISSING and importance < typical:
         return Choice(f.name, missing, "skipped_low_priority_high_missing")
     kind = profiles.type_label(f.dataType)
-    number = _number_form(f, semantic)
+    number, numbers = _number_form(f, semantic), fact.get("numbers", 0)
     if kind in ("int64", "float64"):
         if present == 0:
             return Choice(f.name, missing, "mean")
-        if abs(fact["skew"]) > SKEWED:
-            return Choice(f.name, missing, "median", numeric=number, needs="median", count=present)
-        return Choice(f.name, missing, "mean", fact["mean"], numeric=number)
+        return _central(f.name, missing, "", number, fact)
     if kind == "datetime64":
         return Choice(f.name, missing, "forward_backward_fill", ordered=quoted(f.name))
-    if number is not None and present:
-        intent = numeric_intent(f.name, semantic)
-        numbers = fact["numbers"]
-        if numbers / present >= (INTENT_SHARE if intent else NUMERIC_SHARE):
-            if abs(fact["skew"]) > SKEWED:
-                return Choice(f.name, missing, "numeric_coerce_median", numeric=number, needs="median", count=numbers)
-            return Choice(f.name, missing, "numeric_coerce_mean", fact["mean"], numeric=number)
-        if fact["date_like"] / present >= DATE_LIKE_SHARE and fact["dates"] / rows >= DATE_PARSED_SHARE:
-            parsed = parse.parse_timestamp(quoted(f.name))
-            return Choice(f.name, missing, "forward_backward_fill_datetime", ordered=parsed)
-        if intent and numbers:
-            return Choice(
+    intent = number is not None and numeric_intent(f.name, semantic)
+    if numbers and numbers / present >= (INTENT_SHARE if intent else NUMERIC_SHARE):
+        return _central(f.name, missing, "numeric_coerce_", number, fact)
+    if intent:
+        fallback = Choice(f.name, missing, "numeric_intent_skip_no_valid_values", numeric=number)
+        if numbers:
+            fallback = Choice(
                 f.name, missing, "numeric_intent_median_fallback", numeric=number, needs="median", count=numbers
             )
-        if intent:
-            return Choice(f.name, missing, "numeric_intent_skip_no_valid_values", numeric=number)
-    elif number is not None and numeric_intent(f.name, semantic):
-        return Choice(f.name, missing, "numeric_intent_skip_no_valid_values", numeric=number)
-    if present == 0 and kind == "object":
-        return Choice(f.name, missing, "unknown", "Unknown")
+        return replace(fallback, present=present, text=True) if present else fallback
     if present == 0:
-        return Choice(f.name, missing, "mode")
-    return Choice(f.name, missing, "mode", needs="mode")
+        return Choice(f.name, missing, "unknown", "Unknown") if kind == "object" else Choice(f.name, missing, "mode")
+    return Choice(f.name, missing, "mode", needs="mode", present=present, text=True)
+
+
+def _central(name: str, missing: int, prefix: str, number: Column, fact: dict) -> Choice:
+    if abs(fact["skew"]) > SKEWED:
+        return Choice(name, missing, f"{prefix}median", numeric=number, needs="median", count=fact["numbers"])
+    return Choice(name, missing, f"{prefix}mean", fact["mean"], numeric=number)
+
+
+def _as_text_choice(choice: Choice, rows: int, fact: dict) -> Choice:
+    """Turn an open choice for a text column into a date fill or a mode, if that is what it is."""
+    date_like = fact["date_like"] / choice.present >= DATE_LIKE_SHARE
+    if date_like and fact["dates"] / rows >= DATE_PARSED_SHARE:
+        parsed = parse.parse_timestamp(quoted(choice.column))
+        return Choice(choice.column, choice.missing, "forward_backward_fill_datetime", ordered=parsed)
+    if choice.needs == "mode":
+        if fact["mode"].strip():
+            return replace(choice, needs="", value=fact["mode"])
+        return replace(choice, needs="", strategy="unknown", value="Unknown")
+    return choice
 
 
 def fill_choices(
@@ -235,19 +255,11 @@ def fill_choices(
         for f in df.schema.fields
     ]
     choices = [c for c in found if c is not None]
-    open_medians = {c.column: c for c in choices if c.needs == "median"}
-    if open_medians:
-        exprs = {name: c.numeric for name, c in open_medians.items()}
-        for name, value in medians(df, exprs, {n: c.count for n, c in open_medians.items()}).items():
-            open_medians[name].value = value
-    open_modes = {c.column: c for c in choices if c.needs == "mode"}
-    if open_modes:
-        for row in modes(df, list(open_modes)).collect():  # one row per column
-            choice = open_modes[row["column_name"]]
-            choice.value = row["value"]
-            if not row["value"].strip():
-                choice.strategy, choice.value = "unknown", "Unknown"
-    return rows, choices
+    texts = text_facts(df, names) if (names := [c.column for c in choices if c.text]) else {}
+    choices = [_as_text_choice(c, rows, texts[c.column]) if c.text else c for c in choices]
+    waiting = [c for c in choices if c.needs == "median"]
+    values = medians(df, {c.column: c.numeric for c in waiting}, {c.column: c.count for c in waiting})
+    return rows, [replace(c, value=values[c.column]) if c.needs == "median" else c for c in choices]
 
 
 def apply_choices(

@@ -11,20 +11,25 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tablewright.durable import cut_lineage
+from tablewright.durable import scratch_path
 from tablewright.operators.frequency import quoted
+from tablewright.sources.tables import replace_files
 
 # monotonically_increasing_id keeps the partition above and the row within it below this bit.
 ROW_BITS = 33
 
 
 def _ranged(df: DataFrame, order_by: list[str]) -> DataFrame:
-    """Sorted range partitions, fixed on disk, with ``_seg`` (partition) and ``_row`` (row in it)."""
+    """Sorted range partitions with ``_seg`` (partition) and ``_row`` (row in it).
+
+    Written to the shared folder, since the places would change if a lost
+    partition were computed again from a new sample of the keys.
+    """
     keys = [quoted(c).asc_nulls_last() for c in order_by]
     ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     place = ordered.withColumn("_place", F.monotonically_increasing_id())
     return (
-        cut_lineage(place)
+        replace_files(place, scratch_path(df.sparkSession, "ranged"))
         .withColumn("_seg", F.shiftright("_place", ROW_BITS))
         .withColumn("_row", F.col("_place").bitwiseAND(F.lit((1 << ROW_BITS) - 1)))
     )

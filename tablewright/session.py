@@ -28,6 +28,7 @@ def local_session(cores: int | str = "*", memory: str = "8g", name: str = "table
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", partitions)
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")

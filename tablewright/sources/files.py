@@ -31,7 +31,8 @@ def read_csv_robust(
     """Read CSV, skipping rows that have too many fields.
 
     Short rows are kept and padded with nulls. One extra text column catches
-    the surplus; values that do not fit their type become null. ``multi_line``
+    the surplus; values that do not fit their type become null, and so do empty
+    fields, quoted or not. ``multi_line``
     allows line breaks inside quotes, at the price of one task per file.
     """
     if schema is None:
@@ -62,7 +63,7 @@ def read_json_records(spark: SparkSession, path: str, schema: T.StructType | str
 
 def export_csv(df: DataFrame, path: str) -> None:
     """CSV with a header and white space kept; nulls as empty fields, empty strings quoted."""
-    writer = df.write.mode("overwrite").option("header", True).option("emptyValue", '""').option("escape", QUOTE)
+    writer = df.write.mode("overwrite").option("header", True).option("escape", QUOTE)
     writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 

@@ -41,14 +41,21 @@ def test_json_array_and_lines(spark, tmp_path):
         files.read_table_file(spark, "x.avro")
 
 
-def test_csv_round_trip_keeps_nulls_blanks_and_spaces(spark, tmp_path):
-    rows = [("", None), (" a ", "x,y"), (None, 'say "hi"')]
+def test_csv_round_trip_keeps_nulls_quotes_and_spaces(spark, tmp_path):
+    rows = [(" ", None), (" a ", "x,y"), (None, 'say "hi"'), (None, None)]
     df = spark.createDataFrame(rows, "a string, b string")
     files.export_csv(df, str(tmp_path / "out"))
     back = files.read_csv_robust(spark, str(tmp_path / "out"), df.schema)
     assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
 
 
+def test_empty_strings_are_written_quoted_and_read_as_null(spark, tmp_path):
+    df = spark.createDataFrame([("", "x")], "a string, b string")
+    files.export_csv(df, str(tmp_path / "out"))
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()][1:] == ['"",x']
+    assert files.read_csv_robust(spark, str(tmp_path / "out"), df.schema).first()["a"] is None
+
+
 def test_names():
     assert naming.table_name("2024 Sales-Q1.csv") == "_sales_q1"
     assert naming.table_name("123.csv") == "data_table"
