@@ -18,7 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
     without it is an error, since executors do not share a local disk.
     """
     sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir")
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     if sc.getCheckpointDir():

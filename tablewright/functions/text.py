@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import chain
 
 from pyspark.sql import Column, functions as F
@@ -76,11 +77,12 @@ def replace_values(c: Column, mapping: dict[str, str]) -> Column:
 
 
 def contains_any(c: Column, words: list[str]) -> Column:
-    """True when the text contains at least one of the words."""
-    found = F.lit(False)
-    for word in words:
-        found = found | c.contains(word)
-    return found
+    """True when the text contains at least one of the words.
+
+    A word that contains another word of the list cannot add a hit and is not searched for.
+    """
+    needed = [w for w in dict.fromkeys(words) if not any(o != w and o in w for o in words)]
+    return reduce(Column.__or__, [c.contains(w) for w in needed])
 
 
 def first_match(c: Column, rules: dict[str, list[str]], default: str | None) -> Column:

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablewright.functions import parse
+from tablewright.functions.measures import varies
 from tablewright.operators.frequency import quoted, without_nan
 from tablewright.operators.profile import correlations, is_numeric, type_label
 from tablewright.operators.questions import ranked
@@ -127,15 +128,15 @@ def heatmap(df: DataFrame, columns: list[str]) -> DataFrame:
     """(x, y, value) for every ordered pair; undefined correlations are 0."""
     pairs = correlations(without_nan(df.select(*[quoted(c) for c in columns])), columns)
     mirrored = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"), "value"))
-    varies = [
+    self_pairs = [
         F.struct(
             F.lit(c).alias("x"),
             F.lit(c).alias("y"),
-            F.when(F.coalesce(F.var_samp(quoted(c).cast("double")), F.lit(0.0)) > 0, 1.0).otherwise(0.0).alias("value"),
+            F.when(varies(quoted(c)), 1.0).otherwise(0.0).alias("value"),
         )
         for c in columns
     ]
-    diagonal = df.agg(F.array(*varies).alias("d")).select(F.inline("d"))
+    diagonal = df.agg(F.array(*self_pairs).alias("d")).select(F.inline("d"))
     return mirrored.unionByName(diagonal).withColumn("value", F.round("value", 4) + F.lit(0.0))
 
 

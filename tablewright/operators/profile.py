@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tablewright.functions import lexicon, parse
-from tablewright.functions.measures import pairwise_corr, percent, variance
+from tablewright.functions.measures import pairwise_corr, percent, variance, varies
 from tablewright.functions.text import contains_any
 from tablewright.operators.frequency import quoted, value_frequencies, without_nan
 
 SAMPLES = 3
 TOP_FEATURES = 25
-# Correlation pairs computed by one aggregation; more pairs take further scans.
-PAIRS_PER_SCAN = 100
+# Correlation pairs computed as aggregate expressions.
+PAIRS_PER_SCAN = 45
 
 
 def type_label(data_type: T.DataType) -> str:
@@ -308,23 +312,72 @@ def workbook_semantics(profile: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- importance
 
 
-def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(x, y, value) for every unordered pair of distinct columns, pairwise complete."""
+def correlations(df: DataFrame, columns: list[str], max_pairs: int = PAIRS_PER_SCAN) -> DataFrame:
+    """(x, y, value) for every unordered pair of distinct columns, pairwise complete.
+
+    Few pairs are aggregate expressions of one scan. Many pairs would need more
+    expressions than one stage can hold, and come from matrix products per task.
+    """
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    parts = []
-    for start in range(0, len(pairs), PAIRS_PER_SCAN):
-        chunk = pairs[start:start + PAIRS_PER_SCAN]
-        entries = [
-            F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), pairwise_corr(quoted(a), quoted(b)).alias("value"))
-            for a, b in chunk
-        ]
-        parts.append(df.agg(F.array(*entries).alias("e")).select(F.inline("e")))
-    if not parts:
+    if not pairs:
         return df.sparkSession.createDataFrame([], "x string, y string, value double")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    if len(pairs) > max_pairs:
+        return _correlations_by_products(df, columns)
+    entries = [
+        F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), pairwise_corr(quoted(a), quoted(b)).alias("value"))
+        for a, b in pairs
+    ]
+    return df.agg(F.array(*entries).alias("e")).select(F.inline("e"))
+
+
+def _correlations_by_products(df: DataFrame, columns: list[str]) -> DataFrame:
+    """All pairs in two scans: centre and spread of each column, then sums of products.
+
+    Each task adds up five k x k matrices over its batches and emits one row per
+    pair, so the shuffle does not grow with the rows.
+    """
+    numbers = df.select(*[quoted(c).cast("double").alias(c) for c in columns])
+    stats = [
+        F.struct(
+            F.min(quoted(c)).alias("low"),
+            F.avg(quoted(c)).alias("mean"),
+            F.when(varies(quoted(c)), F.stddev_samp(quoted(c))).alias("spread"),
+        )
+        for c in columns
+    ]
+    found = numbers.agg(F.array(*stats).alias("f")).first()["f"]  # one row
+    # A constant is centred on its value, which gives products of exactly 0.
+    centre = np.array([(f["mean"] if f["spread"] else f["low"]) or 0.0 for f in found])
+    scale = np.array([f["spread"] or 1.0 for f in found])
+    first, second = np.triu_indices(len(columns), 1)
+    names = np.array(columns, dtype=object)
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        size = len(columns)
+        n, sx, sxx, sxy = (np.zeros((size, size)) for _ in range(4))
+        for batch in batches:
+            raw = batch.to_numpy(dtype=float, na_value=np.nan)
+            there = ~np.isnan(raw)
+            mask, z = there.astype(float), np.where(there, (raw - centre) / scale, 0.0)
+            n += mask.T @ mask
+            sx += z.T @ mask  # [i, j]: sum of column i where column j is present
+            sxx += (z * z).T @ mask
+            sxy += z.T @ z
+        yield pd.DataFrame({
+            "x": names[first], "y": names[second], "n": n[first, second],
+            "sx": sx[first, second], "sy": sx[second, first],
+            "sxx": sxx[first, second], "syy": sxx[second, first], "sxy": sxy[first, second],
+        })
+
+    sums = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+    schema = "x string, y string, " + ", ".join(f"{c} double" for c in sums)
+    total = numbers.mapInPandas(products, schema).groupBy("x", "y").agg(*[F.sum(c).alias(c) for c in sums])
+    covariance = F.expr("sxy - sx * sy / n")
+    spread = F.sqrt(F.greatest(F.expr("sxx - sx * sx / n"), F.lit(0.0)) * F.greatest(F.expr("syy - sy * sy / n"), F.lit(0.0)))
+    # Below the rounding error of the sums a column counts as constant.
+    usable = (F.col("n") > 1) & (spread > F.col("n") * 1e-14)
+    value = F.when(usable, F.try_divide(covariance, spread)).otherwise(0.0)
+    return total.select("x", "y", F.when(F.col("n") > 0, value).otherwise(0.0).alias("value"))
 
 
 def feature_importance(

@@ -112,3 +112,15 @@ def test_question_pattern(spark):
     ]
     only = lambda c: tagging.question_pattern(c, ["by_sector", "top_holdings"])
     assert one(spark, ["portfolio by sector"], only) == ["by_sector"]
+
+
+def test_constants_stay_constant_when_partial_results_are_merged(spark):
+    df = spark.range(1000).repartition(13).select(
+        F.lit(0.1).alias("a"), F.lit(7.3).alias("b"), F.col("id").cast("double").alias("c"),
+        F.when(F.col("id") % 3 == 0, F.col("id")).cast("double").alias("d"),
+    )
+    row = df.agg(
+        measures.corrected_skew(F.col("a")).alias("skew"), measures.variance(F.col("b")).alias("variance"),
+        measures.pairwise_corr(F.col("a"), F.col("c")).alias("ac"), measures.pairwise_corr(F.col("b"), F.col("d")).alias("bd"),
+    ).first()
+    assert tuple(row) == (0.0, 0.0, 0.0, 0.0)

@@ -154,9 +154,26 @@ def test_modes_take_the_smallest_on_ties(spark):
     assert tuple(frequency.modes(df).first()) == ("v", "a", 2)
 
 
-def test_correlations_in_several_scans(spark, monkeypatch):
-    monkeypatch.setattr(p, "PAIRS_PER_SCAN", 2)
-    df = spark.createDataFrame([(float(i), float(-i), float(i % 3), 1.0) for i in range(30)], "a double, b double, c double, d double")
-    found = {(r["x"], r["y"]): r["value"] for r in p.correlations(df, df.columns).collect()}
-    assert len(found) == 6
-    assert found[("a", "b")] == pytest.approx(-1.0) and found[("a", "d")] == 0.0
+def test_correlations_by_products_equal_those_by_expressions(spark):
+    import random
+
+    rng = random.Random(3)
+
+    def row(i):
+        a = rng.gauss(1e6, 5.0)
+        values = [a, -2 * a + rng.gauss(0, 1), rng.random(), 7.0, float(i)]
+        return tuple(None if j in (1, 2) and rng.random() < 0.3 else v for j, v in enumerate(values)) + (None,)
+
+    df = spark.createDataFrame([row(i) for i in range(500)], "a double, b double, c double, d double, e double, f double")
+    df = df.repartition(7)
+    by_expression = {(r["x"], r["y"]): r["value"] for r in p.correlations(df, df.columns).collect()}
+    by_product = {(r["x"], r["y"]): r["value"] for r in p.correlations(df, df.columns, max_pairs=1).collect()}
+    assert set(by_expression) == set(by_product) and len(by_product) == 15
+    for pair, value in by_expression.items():
+        assert by_product[pair] == pytest.approx(value, abs=1e-9), pair
+    pandas = df.toPandas().corr().fillna(0)
+    assert by_product[("a", "b")] == pytest.approx(pandas.loc["a", "b"], abs=1e-9)
+
+
+def test_no_pairs(spark):
+    assert p.correlations(spark.createDataFrame([(1.0,)], "a double"), ["a"]).collect() == []
