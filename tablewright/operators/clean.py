@@ -11,7 +11,7 @@ from tablewright.durable import scratch_path
 from tablewright.functions import lexicon, parse, text
 from tablewright.functions.measures import corrected_skew
 from tablewright.operators import profile as profiles
-from tablewright.operators.frequency import quoted, value_frequencies, without_nan
+from tablewright.operators.frequency import complete, quoted, value_frequencies, without_nan
 from tablewright.operators.ordering import forward_backward_fill
 from tablewright.operators.quantiles import medians
 from tablewright.sources.tables import replace_files
@@ -312,7 +312,7 @@ def drop_empty_rows(df: DataFrame) -> DataFrame:
 
 
 def drop_incomplete_rows(df: DataFrame, required: list[str]) -> DataFrame:
-    return df.dropna("any", subset=required) if required else df
+    return complete(df, required)
 
 
 def drop_repeated_rows(df: DataFrame) -> DataFrame:

@@ -21,6 +21,15 @@ def without_nan(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(quoted(c)), quoted(c)) for c in floats})
 
 
+def complete(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows in which none of the columns is missing; one predicate per column, so that scans can use them."""
+    for c in columns:
+        df = df.where(quoted(c).isNotNull())
+        if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)):
+            df = df.where(~F.isnan(quoted(c)))
+    return df
+
+
 def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 

@@ -81,7 +81,7 @@ def frequent_groups(df: DataFrame, groups: list[str], metrics: dict[str, Column]
 def distribution(df: DataFrame, group: str) -> DataFrame:
     """Count and percentage of all rows per group."""
     counts = df.groupBy(quoted(group)).agg(F.count(F.lit(1)).alias("count"))
-    total = df.agg(F.count(F.lit(1))).scalar()
+    total = counts.agg(F.sum("count")).scalar()  # reads the same shuffle as the counts
     return ranked(counts.withColumn("percentage", F.round(F.col("count") * 100.0 / total, 2)), "count")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tablewright.durable import BROADCAST_ROWS, broadcast_if_small
 from tablewright.functions import text
-from tablewright.operators.frequency import quoted
+from tablewright.operators.frequency import complete, quoted
 from tablewright.operators.ordering import number_rows
 from tablewright.operators.questions import ranked
 from tablewright.plans.spec import repeated, typed
@@ -89,7 +89,7 @@ def cast_by_schema(
         out.append(c.alias(name))
         if meaning in ("id", "name") and not (stamped and col.get("nullable", True)):
             required.append(name)
-    kept = df.dropna("any", subset=required) if required else df
+    kept = complete(df, required)
     if stamped:
         out.append((loaded_at if loaded_at is not None else F.current_timestamp()).alias("transformed_at"))
     return kept.select(*out)

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tablewright.functions import parse, text
-from tablewright.operators.frequency import quoted
+from tablewright.operators.frequency import complete, quoted
 
 # Spark type of each declared type; anything else is text.
 DECLARED_TYPES = {
@@ -137,8 +137,7 @@ def required_columns(spec: DatasetSpec, declared_only: bool = False) -> list[str
 
 
 def drop_missing_required(df: DataFrame, spec: DatasetSpec, declared_only: bool = False) -> DataFrame:
-    names = [c for c in required_columns(spec, declared_only) if c in df.columns]
-    return df.dropna("any", subset=names) if names else df
+    return complete(df, [c for c in required_columns(spec, declared_only) if c in df.columns])
 
 
 def keep_positive(df: DataFrame, spec: DatasetSpec) -> DataFrame:
