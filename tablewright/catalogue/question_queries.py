@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablewright.catalogue import views
-from tablewright.catalogue.registry import query, rounded, table
+from tablewright.catalogue.registry import DIGITS, query, rounded, table
 from tablewright.functions.measures import corrected_skew, pairwise_corr
 from tablewright.operators import charts, frequency, quantiles, questions as q
 from tablewright.plans import models, patterns
@@ -26,10 +26,14 @@ def dirty_sql(then: str) -> str:
 # ---------------------------------------------------------------- Q: query shapes
 
 
-def sales_query(name: str, then: str, build) -> None:
-    @query(name, sales_sql(then))
+# Unit prices have up to seven decimals: at eight, no value lies between two roundings.
+UNIT_DIGITS = 8
+
+
+def sales_query(name: str, then: str, build, digits: int = DIGITS) -> None:
+    @query(name, sales_sql(then.replace(f", {DIGITS})", f", {digits})")))
     def run(spark, sf_dir):
-        return rounded(build(views.sales(spark, sf_dir)))
+        return rounded(build(views.sales(spark, sf_dir)), digits)
 
 
 sales_query(
@@ -57,6 +61,7 @@ sales_query(
     """SELECT product, region, date, ROUND(sales, 4) AS sales, quantity, ROUND(total_revenue, 4) AS total_revenue FROM sales
     ORDER BY sales.total_revenue DESC, product, region, date LIMIT 10""",
     lambda df: q.top_rows(df, "total_revenue"),
+    UNIT_DIGITS,
 )
 sales_query(
     "q05_bottom_groups",
@@ -92,6 +97,7 @@ sales_query(
     "q08_aggregate_by_group",
     "SELECT region, ROUND(MIN(sales), 4) AS min_sales FROM sales GROUP BY region",
     lambda df: q.agg_by_group(df, "region", "sales", "min", "min_sales"),
+    UNIT_DIGITS,
 )
 sales_query(
     "q09_count_by_group",
@@ -120,6 +126,7 @@ sales_query(
     """SELECT product, region, date, ROUND(sales, 4) AS sales, quantity, ROUND(total_revenue, 4) AS total_revenue FROM sales
     ORDER BY date, product, region, sales.sales, quantity LIMIT 20""",
     lambda df: q.first_rows(df, ["date", "product", "region", "sales", "quantity"], 20),
+    UNIT_DIGITS,
 )
 sales_query(
     "q16_compare",
@@ -137,11 +144,13 @@ sales_query(
     """SELECT product, region, date, ROUND(sales, 4) AS sales, quantity, ROUND(total_revenue, 4) AS total_revenue FROM sales
     ORDER BY date DESC, product, region, sales.sales, quantity LIMIT 10""",
     lambda df: q.latest(df, "date"),
+    UNIT_DIGITS,
 )
 sales_query(
     "q19_value_series",
     "SELECT date, ROUND(sales, 4) AS sales FROM sales ORDER BY date DESC, sales.sales LIMIT 10",
     lambda df: q.value_series(df, "date", "sales"),
+    UNIT_DIGITS,
 )
 
 

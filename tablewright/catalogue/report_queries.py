@@ -26,9 +26,9 @@ def report_sql(value: str) -> str:
     ROUND(MIN({value}), 4) AS min_{value}, ROUND(MAX({value}), 4) AS max_{value}"""
 
 
-@query("r01_group_report", sales_sql(f"SELECT product, {report_sql('total_revenue')} FROM sales GROUP BY product"))
+@query("r01_group_report", dirty_sql(f"SELECT payment_method, {report_sql('skewed_value')} FROM dirty GROUP BY payment_method"))
 def group_report(spark, sf_dir):
-    return rounded(charts.group_report(views.sales(spark, sf_dir), "product", "total_revenue"))
+    return rounded(charts.group_report(views.dirty(spark, sf_dir), "payment_method", "skewed_value"))
 
 
 @query("r02_group_report_counts", dirty_sql("SELECT payment_method, COUNT(*) AS record_count FROM dirty GROUP BY payment_method"))

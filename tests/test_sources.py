@@ -50,7 +50,7 @@ def test_csv_round_trip_keeps_nulls_quotes_and_spaces(spark, tmp_path):
 
 
 def test_empty_strings_are_written_quoted_and_read_as_null(spark, tmp_path):
-    df = spark.createDataFrame([("", "x")], "a string, b string")
+    df = spark.createDataFrame([("", "x")], "a string, b string").coalesce(1)
     files.export_csv(df, str(tmp_path / "out"))
     assert [r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()][1:] == ['"",x']
     assert files.read_csv_robust(spark, str(tmp_path / "out"), df.schema).first()["a"] is None
