@@ -14,11 +14,14 @@ QUALITY_RULES = rf"""
 WITH w AS (
   SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text,
     regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
-    list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM documents
+), places AS (
+  SELECT row, unnest(words) AS a, unnest(range(1, len(words) + 1)) AS i FROM w
+), followed AS (
+  SELECT row, i, a, lead(a, 1) OVER o AS b, lead(a, 2) OVER o AS c FROM places WINDOW o AS (PARTITION BY row ORDER BY i)
 ), windows AS (
-  SELECT row, i, count(*) OVER (PARTITION BY row, words[i], words[i + 1], words[i + 2]) AS found
-  FROM (SELECT row, words, unnest(range(1, len(words) - 1)) AS i FROM w)
+  SELECT row, i, count(*) OVER (PARTITION BY row, a, b, c) AS found FROM followed WHERE c IS NOT NULL
 ), covered AS (
   SELECT row, count(DISTINCT i + k) AS n FROM windows, (SELECT unnest([0, 1, 2]) AS k) WHERE found > 1 GROUP BY row
 ), counted AS (
@@ -26,8 +29,8 @@ WITH w AS (
     length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
     len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
     len(lines) AS n_lines, length(text) - length(replace(text, '!', '')) AS n_exclamations,
-    len(list_filter(words, x -> x IN ({_STOP}))) AS n_stop_words,
-    len(list_filter(lines, x -> regexp_matches(x, '^[\x20\x09]*[-*•]'))) AS n_bullet_lines
+    len(list_filter(words, lambda x: x IN ({_STOP}))) AS n_stop_words,
+    len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09]*[-*•]'))) AS n_bullet_lines
   FROM w LEFT JOIN covered USING (row)
 ), base AS (
   SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM counted
