@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewright.llm import byte_bpe, packing, quality, twins
+from tablewright.llm import byte_bpe, packing, quality, simhash, twins
 from tablewright.llm.common import table
 
 
@@ -19,11 +19,15 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents")))
     digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_packing, op6_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_packing, op5_simhash, op6_byte_bpe)}
 ORACLES = {"op3_quality_rules": twins.QUALITY_RULES}
