@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewright.llm import byte_bpe, packing, quality, simhash, twins
+from tablewright.durable import scratch_path
+from tablewright.llm import byte_bpe, chat, packing, quality, simhash, twins, warc
 from tablewright.llm.common import table
 
 
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archives(warc.with_revisits(table(spark, sf_dir, "pages")), path)
+    found = warc.resolve(warc.read_archives(spark, path))
+    return found.select(
+        F.col("page_id").cast("long"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long")
+    )
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -29,5 +39,21 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_packing, op5_simhash, op6_byte_bpe)}
-ORACLES = {"op3_quality_rules": twins.QUALITY_RULES}
+def op8_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+    rows = rows.unionByName(spark.createDataFrame(said, rows.schema))
+    found = chat.read_back(chat.conversations(chat.linear_tree(rows)))
+    turns = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return found.select(
+        F.expr("try_cast(substring_index(root, ':', 1) as long)").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(turns, ""), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op3_quality_rules, op4_packing, op5_simhash, op6_byte_bpe, op8_reply_trees)}
+ORACLES = {"op1_warc_revisits": twins.WARC_REVISITS, "op3_quality_rules": twins.QUALITY_RULES, "op8_reply_trees": twins.REPLY_TREES}

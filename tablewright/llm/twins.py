@@ -1,6 +1,6 @@
 """SQL twins of the queries that SQL can express."""
 
-from tablewright.llm import quality
+from tablewright.llm import chat, quality, warc
 
 _STOP = ", ".join(f"'{w}', '{w.capitalize()}'" for w in quality.STOP_WORDS)
 _TESTS = " AND ".join(
@@ -39,3 +39,31 @@ SELECT doc_id, n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, n_symbols
   NOT base_failed AND {_TESTS} AS kept
 FROM base
 """
+
+WARC_REVISITS = f"""
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (
+  SELECT *, CASE WHEN payload_bytes >= {warc.MIN_BYTES} THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+_ESCAPES = " + ".join(f"(length(text) - length(replace(text, '{c}', ''))) // {len(c)}" for c in chat.CONTROLS)
+_AROUND = " ".join(f"WHEN '{role}' THEN {len(a) + len(b)}" for role, (a, b) in chat.AROUND.items())
+
+REPLY_TREES = f"""
+WITH c AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized AS (
+  SELECT *, CASE role {_AROUND} END + length(text) + length(text) - length(replace(text, '\\', '')) + {_ESCAPES} AS chars FROM c
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  ({len(chat.START)} + sum(chars))::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
