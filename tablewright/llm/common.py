@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablewright.durable import scratch_path
 
@@ -28,12 +29,44 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def arrow_task(fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: pa.Schema) -> Callable:
-    """A function for ``mapInArrow`` from one that turns a batch into dicts of columns."""
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """The rows of each key, from batches sorted by ``keys``; a key's rows must be few enough to hold."""
+    key, parts = None, []
+    for batch in batches:
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        changed = np.zeros(max(batch.num_rows - 1, 0), bool)
+        for c in columns:
+            changed |= c[1:] != c[:-1]
+        cuts = [0, *(np.flatnonzero(changed) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            found = tuple(c[a] for c in columns)
+            if found != key and parts:
+                yield key, pa.Table.from_batches(parts)
+                parts = []
+            key = found
+            parts.append(batch.slice(a, b - a))
+    if parts:
+        yield key, pa.Table.from_batches(parts)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for columns in fn(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
 
-    return run
+def meetings(held: DataFrame, passing: DataFrame, key: list[str], place: str, held_rows: int, passing_rows: int) -> DataFrame:
+    """Bring the held and the passing rows of each key together, in groups of bounded size.
+
+    Both sides have the columns of ``key`` and the same others; ``place`` names a column that rows are spread by.
+    Held rows of a key are cut into blocks of about ``held_rows``, passing rows into slices of about
+    ``passing_rows``; every block meets every slice, so a hot key is shared out over many tasks. Keys without rows
+    on one side are left out. The result is sorted by key, ``block``, ``slice`` and ``side`` (0: held) within tasks.
+    """
+    both = held.withColumn("side", F.lit(0)).unionByName(passing.withColumn("side", F.lit(1)))
+    sizes = both.groupBy(*key).agg(F.count(F.when(F.col("side") == 0, 1)).alias("_h"), F.count(F.when(F.col("side") == 1, 1)).alias("_p"))
+    sizes = sizes.where("_h > 0 and _p > 0")
+    sizes = sizes.select(*key, F.ceil(F.col("_h") / held_rows).alias("_blocks"), F.ceil(F.col("_p") / passing_rows).alias("_slices"))
+    spread = F.xxhash64(place)
+    own, every = F.when(F.col("side") == 0, F.pmod(spread, "_blocks")), F.sequence(F.lit(0).cast("long"), F.when(F.col("side") == 0, F.col("_slices")).otherwise(F.col("_blocks")) - 1)
+    rows = both.join(sizes, key).withColumn("_own", F.coalesce(own, F.pmod(spread, "_slices"))).withColumn("_other", F.explode(every))
+    rows = rows.withColumn("block", F.when(F.col("side") == 0, F.col("_own")).otherwise(F.col("_other")))
+    rows = rows.withColumn("slice", F.when(F.col("side") == 0, F.col("_other")).otherwise(F.col("_own")))
+    rows = rows.drop("_blocks", "_slices", "_own", "_other").repartition(*key, "block", "slice")
+    return rows.sortWithinPartitions(*key, "block", "slice", "side")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablewright.durable import scratch_path
-from tablewright.llm import byte_bpe, chat, packing, quality, simhash, twins, warc
+from tablewright.llm import byte_bpe, chat, cover_tree, packing, quality, simhash, twins, warc
 from tablewright.llm.common import table
 
 
@@ -55,5 +55,9 @@ def op8_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisits, op3_quality_rules, op4_packing, op5_simhash, op6_byte_bpe, op8_reply_trees)}
+def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op3_quality_rules, op4_packing, op5_simhash, op6_byte_bpe, op8_reply_trees, op10_cover_tree)}
 ORACLES = {"op1_warc_revisits": twins.WARC_REVISITS, "op3_quality_rules": twins.QUALITY_RULES, "op8_reply_trees": twins.REPLY_TREES}
