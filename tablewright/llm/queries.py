@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablewright.durable import scratch_path
-from tablewright.llm import byte_bpe, chat, cover_tree, packing, quality, simhash, twins, warc
+from tablewright.llm import byte_bpe, chat, cover_tree, edit_counts, packing, quality, simhash, twins, warc
 from tablewright.llm.common import table
 
 
@@ -39,6 +39,13 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document before and after its personal data is replaced."""
+    docs = edit_counts.redactions(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = edit_counts.apply(edit_counts.count(docs))
+    return found.select("doc_id", "n_edits", "tokens_before", "tokens_after", "encoded_chars", F.size("leaf_chars").cast("long").alias("n_leaves"))
+
+
 def op8_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
@@ -59,5 +66,5 @@ def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisits, op3_quality_rules, op4_packing, op5_simhash, op6_byte_bpe, op8_reply_trees, op10_cover_tree)}
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op3_quality_rules, op4_packing, op5_simhash, op6_byte_bpe, op7_edit_counts, op8_reply_trees, op10_cover_tree)}
 ORACLES = {"op1_warc_revisits": twins.WARC_REVISITS, "op3_quality_rules": twins.QUALITY_RULES, "op8_reply_trees": twins.REPLY_TREES}
