@@ -11,8 +11,8 @@ MAX_ROUNDS = 60
 
 
 def _state(links: DataFrame) -> tuple:
-    hashed = F.xxhash64("v", "r") % F.lit(1 << 31)
-    return tuple(links.agg(F.count("*"), F.sum(hashed), F.sum(F.col("r").cast("decimal(38,0)"))).first())
+    hashes = [F.sum(h % F.lit(1 << 31)) for h in (F.xxhash64("v", "r"), F.xxhash64("r", "v"))]
+    return tuple(links.agg(F.count("*"), *hashes).first())
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

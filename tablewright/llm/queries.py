@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablewright.durable import scratch_path
-from tablewright.llm import byte_bpe, chat, cover_tree, edit_counts, packing, quality, simhash, twins, warc
+from tablewright.llm import byte_bpe, chat, cover_tree, edit_counts, line_dedup, packing, quality, simhash, twins, warc
 from tablewright.llm.common import table
 
 
@@ -18,6 +18,17 @@ def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every document its number of lines, and which of them repeat an earlier line of the corpus."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    text = F.coalesce("text", F.lit(""))
+    lines = docs.select("doc_id", F.xxhash64(text).alias("mark"), F.size(F.split(text, "\n")).cast("long").alias("n_lines"))
+    repeats = line_dedup.repeated_lines(docs).toDF("id", "text_mark", "places")
+    joined = lines.join(repeats, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("text_mark")), "left")
+    places = F.coalesce("places", F.array().cast("array<int>"))
+    return joined.select("doc_id", "n_lines", F.size(places).cast("long").alias("n_repeated"), places.alias("repeated_lines"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -66,5 +77,5 @@ def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisits, op3_quality_rules, op4_packing, op5_simhash, op6_byte_bpe, op7_edit_counts, op8_reply_trees, op10_cover_tree)}
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_line_dedup, op3_quality_rules, op4_packing, op5_simhash, op6_byte_bpe, op7_edit_counts, op8_reply_trees, op10_cover_tree)}
 ORACLES = {"op1_warc_revisits": twins.WARC_REVISITS, "op3_quality_rules": twins.QUALITY_RULES, "op8_reply_trees": twins.REPLY_TREES}
