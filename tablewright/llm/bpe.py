@@ -14,7 +14,7 @@ import tiktoken
 
 PRE_TOKEN = regex.compile(public_tokenizers.PATTERN)
 #: Bound on the units an encoder remembers, and on their length.
-UNITS, UNIT_CHARS = 300_000, 60
+UNITS, UNIT_CHARS = 100_000, 60
 #: Longer units are split by pattern here, one pre-token at a time.
 LONG_UNIT = 5_000
 
@@ -44,16 +44,26 @@ class _Remembered(dict):
         return found
 
 
+def ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
+@functools.lru_cache(maxsize=2)
+def pieces(path: str) -> list[bytes]:
+    """The raw bytes of each id."""
+    found = ranks(path)
+    out = [b""] * (max(found.values()) + 1)
+    for piece, i in found.items():
+        out[i] = piece
+    return out
+
+
 class Encoder:
     """Ids as little-endian 32-bit unsigned integers in bytes."""
 
     def __init__(self, path: str):
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self._encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.raw: list[bytes] = [b""] * (max(ranks.values()) + 1)
-        for piece, i in ranks.items():
-            self.raw[i] = piece
+        self._encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(path), special_tokens={})
         self._first = _Remembered(self._unit)
         self._rest = _Remembered(lambda unit: self._unit(" " + unit))
 
@@ -70,9 +80,6 @@ class Encoder:
         first, *rest = units(text)
         return self._first[first] + b"".join(map(self._rest.__getitem__, rest))
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.raw.__getitem__, ids))
-
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:

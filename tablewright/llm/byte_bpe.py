@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tablewright.llm import bpe
-from tablewright.llm.common import written
+from tablewright.llm.common import small_batches, written
 
 #: Characters of a chunk, and those it shares with the next one.
 CHUNK, OVERLAP = 32_768, 512
@@ -29,7 +29,7 @@ def _encode(df: DataFrame, path: str, keep: str) -> DataFrame:
             names = [n for n in batch.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), ids], [*names, "ids"])
 
-    return df.mapInArrow(run, f"{keep}, ids array<int>")
+    return df.transform(small_batches).mapInArrow(run, f"{keep}, ids array<int>")
 
 
 def _chunks(df: DataFrame, key_ddl: str, chunk: int, overlap: int) -> DataFrame:
@@ -47,7 +47,7 @@ def _chunks(df: DataFrame, key_ddl: str, chunk: int, overlap: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(arrays, ["row", "key", "k", "last", "text"])
                 row += 1
 
-    return df.mapInArrow(run, f"row long, {key_ddl}, k long, last boolean, text string")
+    return df.transform(small_batches).mapInArrow(run, f"row long, {key_ddl}, k long, last boolean, text string")
 
 
 def _pre_tokenise(df: DataFrame, key_ddl: str, chunk: int, overlap: int) -> DataFrame:
@@ -65,7 +65,7 @@ def _pre_tokenise(df: DataFrame, key_ddl: str, chunk: int, overlap: int) -> Data
             lists = [pa.array(x, pa.list_(pa.int32())) for x in (heads, tails)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *lists], [*batch.schema.names, "head", "tail"])
 
-    return df.mapInArrow(run, f"row long, {key_ddl}, k long, last boolean, text string, head array<int>, tail array<int>")
+    return df.transform(small_batches).mapInArrow(run, f"row long, {key_ddl}, k long, last boolean, text string, head array<int>, tail array<int>")
 
 
 def encode(
@@ -114,9 +114,9 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = bpe.encoder(path)
+        pieces = bpe.pieces(path)
         for batch in batches:
-            raw = [None if not x.is_valid else encoder.decode(x.values.to_pylist()) for x in batch.column("ids")]
+            raw = [None if not x.is_valid else b"".join(map(pieces.__getitem__, x.values.to_pylist())) for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], [*batch.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, f"{ddl}, decoded binary")
+    return encoded.transform(small_batches).mapInArrow(run, f"{ddl}, decoded binary")

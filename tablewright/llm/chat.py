@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tablewright.llm.common import written
+from tablewright.llm.common import small_batches, written
 
 #: The strings that mark turns; inside texts they are escaped.
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<<ROLE>>", "<</ROLE>>")
@@ -116,7 +116,7 @@ def conversations(nodes: DataFrame, best: int = 1) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([f for f, _ in found], pa.string()), spans], ["root", "leaf", "place", "formatted", "loss_spans"])
 
     ddl = f"root {id_type}, leaf {id_type}, place int, formatted string, loss_spans array<struct<start: long, end: long>>"
-    return gathered.mapInArrow(run, ddl)
+    return gathered.transform(small_batches).mapInArrow(run, ddl)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -131,7 +131,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
             losses = [[unescape(x[s["start"] : s["end"]]) for s in spans] for x, spans in zip(texts, batch.column("loss_spans").to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, turns, pa.array(["".join(x) for x in losses], pa.string())], [*batch.schema.names, "turns", "loss_text"])
 
-    return formatted.mapInArrow(run, f"{ddl}, turns array<struct<role: string, text: string>>, loss_text string")
+    return formatted.transform(small_batches).mapInArrow(run, f"{ddl}, turns array<struct<role: string, text: string>>, loss_text string")
 
 
 def linear_tree(rows: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tablewright.llm.common import groups, meetings, written
+from tablewright.llm.common import groups, meetings, small_batches, written
 from tablewright.llm.components import components
 
 COSINE = 0.93
@@ -38,7 +38,7 @@ def unit_vectors(rows: DataFrame, id_col: str, vector_col: str, label_col: str)
                 units.append(unit)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(units, pa.binary())], ["id", "label", "unit"])
 
-    return rows.select(id_col, label_col, vector_col).mapInArrow(run, f"id {rows.schema[id_col].dataType.simpleString()}, label {label}, unit binary")
+    return rows.select(id_col, label_col, vector_col).transform(small_batches).mapInArrow(run, f"id {rows.schema[id_col].dataType.simpleString()}, label {label}, unit binary")
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -172,10 +172,10 @@ def build(points: DataFrame, reach: float) -> tuple[DataFrame, DataFrame]:
         sample = points.join(big, "cell").where(dealt * F.col("n") < F.lit(SAMPLE << 30))
         sample = sample.select("cell", "unit", dealt.alias("order"), F.greatest(F.lit(4), F.ceil(4 * F.col("n") / LEAF)).cast("long").alias("most"))
         sample = sample.repartition("cell").sortWithinPartitions("cell", "order")
-        centres = written(sample.mapInArrow(_centres(2.0 ** (1 - level)), "cell string, id long, unit binary"), "cover-centres")
+        centres = written(sample.transform(small_batches).mapInArrow(_centres(2.0 ** (1 - level)), "cell string, id long, unit binary"), "cover-centres")
         split = points.join(big.select("cell"), "cell", "left_semi").select("cell", "id", "unit", "weight")
         met = meetings(centres.withColumn("weight", F.lit(0).cast("long")), split, ["cell"], "id", CENTRES * 8, 20_000)
-        moved = met.mapInArrow(_assign, "id long, unit binary, weight long, cell string, far double, centre binary")
+        moved = met.transform(small_batches).mapInArrow(_assign, "id long, unit binary, weight long, cell string, far double, centre binary")
         rest = points.join(big.select("cell"), "cell", "left_anti")
         points = written(rest.select(columns).unionByName(moved.select(columns)), "cover-points")
     return points, functools.reduce(DataFrame.unionByName, nodes)
@@ -196,7 +196,7 @@ def traverse(nodes: DataFrame, reach: float) -> DataFrame:
         left = frontier.join(below, F.col("a") == F.col("parent")).drop("parent")
         right = frontier.join(below, F.col("b") == F.col("parent")).drop("parent")
         met = meetings(left, right, ["a", "b"], "cell", 2048, 2048)
-        found = written(met.mapInArrow(_expand(reach), "a string, b string, ends boolean, inside boolean"), "cover-pairs")
+        found = written(met.transform(small_batches).mapInArrow(_expand(reach), "a string, b string, ends boolean, inside boolean"), "cover-pairs")
         ended.append(found.where("ends").select("a", "b", "inside"))
         frontier = found.where("not ends").select("a", "b")
         if not frontier.limit(1).count():
@@ -222,7 +222,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     slim = points.select("cell", "id", "unit", "weight")
     left = open_pairs.join(slim, F.col("a") == F.col("cell")).drop("cell")
     right = open_pairs.join(slim, F.col("b") == F.col("cell")).drop("cell")
-    compared = meetings(left, right, ["a", "b"], "id", 2 * LEAF, 2 * LEAF).mapInArrow(_compare(cosine), "id long, other long, weight long")
+    compared = meetings(left, right, ["a", "b"], "id", 2 * LEAF, 2 * LEAF).transform(small_batches).mapInArrow(_compare(cosine), "id long, other long, weight long")
     compared = written(compared, "vector-links")
 
     cells = points.groupBy("cell").agg(F.min("id").alias("low"), F.sum("weight").alias("weight"))

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tablewright.llm import bpe
+from tablewright.llm.common import small_batches
 
 #: Characters of a leaf at least; a leaf ends at the next place where a pre-token surely ends.
 LEAF = 512
@@ -143,7 +144,7 @@ def _with(df: DataFrame, ddl: str, fn, drop: tuple[str, ...] = ()) -> DataFrame:
                 new = fn(part)
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), *new.values()], [*(f.name for f in kept), *new])
 
-    return df.mapInArrow(run, f"{prefix}, {ddl}")
+    return df.transform(small_batches).mapInArrow(run, f"{prefix}, {ddl}")
 
 
 def _vocabulary(path: str | None) -> str:

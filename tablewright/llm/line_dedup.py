@@ -10,7 +10,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tablewright.llm.common import groups, meetings, written
+from tablewright.llm.common import groups, meetings, small_batches, written
 from tablewright.llm.components import components
 
 #: Edits that two lines may be apart, and the characters of a line for each edit; shorter lines are left alone.
@@ -177,7 +177,7 @@ def _verified(pairs: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
             good = pa.array([within(p, q, allowed(max(len(p), len(q)), threshold)) for p, q in zip(x, y)], pa.bool_())
             yield batch.select(["a", "b"]).filter(good)
 
-    return written(both.mapInArrow(run, "a long, b long"), "line-links")
+    return written(both.transform(small_batches).mapInArrow(run, "a long, b long"), "line-links")
 
 
 def links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -191,7 +191,7 @@ def links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     worked off in blocks, so that a key of any size is shared out. Sketches of a line's character pairs drop most
     pairs before the edit distance, without dropping any that is near enough.
     """
-    rows = lines.select("node", "line").mapInArrow(_keys(threshold), "key long, node long, kind byte, mark int")
+    rows = lines.select("node", "line").transform(small_batches).mapInArrow(_keys(threshold), "key long, node long, kind byte, mark int")
     indexed = F.when(F.col("kind") == 0, F.struct("node", "mark"))
     keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(indexed).alias("pivot")).where("n > 1 and pivot is not null")
     keys = keys.select("key", F.col("pivot.node").alias("pivot"), F.col("pivot.mark").alias("pivot_mark"))
@@ -206,7 +206,7 @@ def links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     held = open_rows.where("kind = 0").withColumn("part", F.col("near").cast("int"))
     passing = open_rows.withColumn("part", F.lit(0)).unionByName(open_rows.where("not near").withColumn("part", F.lit(1)))
     shared = meetings(held.drop("kind", "near"), passing.drop("kind", "near"), ["key", "part"], "node", HELD, PASSING)
-    second = _verified(shared.mapInArrow(_candidates(threshold), "a long, b long"), lines, threshold)
+    second = _verified(shared.transform(small_batches).mapInArrow(_candidates(threshold), "a long, b long"), lines, threshold)
     return first.unionByName(second)
 
 
@@ -229,7 +229,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = F.min(F.struct("id", "mark", "place")).alias("first")
     per_text = seen.groupBy("line").agg(first, F.count("*").alias("n"))
     fields = "node long, line string, first struct<id: {}, mark: long, place: int>, n long".format(docs.schema[id_col].dataType.simpleString())
-    lines = written(per_text.mapInArrow(_numbered, fields), "lines")
+    lines = written(per_text.transform(small_batches).mapInArrow(_numbered, fields), "lines")
     classes = components(links(lines, threshold))
     named = lines.select("node", F.md5("line").alias("digest"), "first", "n").join(classes, "node", "left")
     named = written(named.select("digest", "first", "n", F.coalesce("component", "node").alias("class")), "line-classes")

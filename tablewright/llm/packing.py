@@ -12,6 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tablewright.llm import bpe
+from tablewright.llm.common import small_batches
 
 CAPACITY = 1024
 END = 0
@@ -118,4 +119,4 @@ def pack(
             yield from flush()
 
     schema = f"`{id_col}` {id_type.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).transform(small_batches).mapInArrow(run, schema)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tablewright.llm import golay
-from tablewright.llm.common import written
+from tablewright.llm.common import small_batches, written
 from tablewright.llm.components import components
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
@@ -48,7 +48,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = pa.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), found], ["id", "fp"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, fp long")
+    return docs.select(id_col, text_col).transform(small_batches).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, fp long")
 
 
 def fuzzy_keys(fps: DataFrame) -> DataFrame:
@@ -72,7 +72,7 @@ def fuzzy_keys(fps: DataFrame) -> DataFrame:
                     rows = np.nonzero(valid)[0]
                     yield pa.RecordBatch.from_arrays([pa.array(keys[valid].astype(np.int32)), pa.array(part[rows])], ["key", "fp"])
 
-    return fps.select("fp").mapInArrow(run, "key int, fp long")
+    return fps.select("fp").transform(small_batches).mapInArrow(run, "key int, fp long")
 
 
 def _forest(held: np.ndarray, passing: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
@@ -158,7 +158,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(place, "slices").alias("slice"), F.lit(1).alias("side"), "fp"
     )
     shared = held.unionByName(passing).repartition("key", "block", "slice").sortWithinPartitions("key", "block", "slice", "side")
-    return star.unionByName(shared.mapInArrow(_verify(max_bits), "a long, b long"))
+    return star.unionByName(shared.transform(small_batches).mapInArrow(_verify(max_bits), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tablewright.llm.common import written
+from tablewright.llm.common import small_batches, written
 
 MIN_BYTES = 100
 #: Records of an archive file, which one task reads as a whole.
@@ -115,7 +115,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(arrays, columns)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(run, ", ".join(f"{c} {'binary' if c == 'payload' else 'string'}" for c in columns))
+    return files.transform(small_batches).mapInArrow(run, ", ".join(f"{c} {'binary' if c == 'payload' else 'string'}" for c in columns))
 
 
 def resolve(records: DataFrame) -> DataFrame:
