@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablewright.durable import scratch_path
-from tablewright.llm import byte_bpe, chat, cover_tree, edit_counts, line_dedup, packing, quality, simhash, twins, warc
+from tablewright.llm import byte_bpe, chat, cover_tree, edit_counts, line_dedup, mixing, packing, quality, simhash, twins, warc
 from tablewright.llm.common import table
 
 
@@ -77,5 +77,14 @@ def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_line_dedup, op3_quality_rules, op4_packing, op5_simhash, op6_byte_bpe, op7_edit_counts, op8_reply_trees, op10_cover_tree)}
+def op9_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = mixing.train(docs.where(~mixing.held_out("doc_id")))
+    return mixing.score(docs, model).select(
+        "doc_id", mixing.held_out("doc_id").alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "base_score", "score", "bits_per_byte",
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_line_dedup, op3_quality_rules, op4_packing, op5_simhash, op6_byte_bpe, op7_edit_counts, op8_reply_trees, op9_context_mixing, op10_cover_tree)}
 ORACLES = {"op1_warc_revisits": twins.WARC_REVISITS, "op3_quality_rules": twins.QUALITY_RULES, "op8_reply_trees": twins.REPLY_TREES}
