@@ -11,12 +11,13 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tablewright.llm import golay
-from tablewright.llm.common import small_batches, written
+from tablewright.llm.common import groups, meetings, small_batches, written
 from tablewright.llm.components import components
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
-#: Width of the three segments of a fingerprint.
-SEGMENTS = (22, 21, 21)
+#: Width of the four segments of a fingerprint, and the pairs of an equal and a nearly equal one that are looked for.
+WIDTH, SEGMENTS = 16, 4
+PAIRS = [(i, (i + step) % SEGMENTS) for step in (1, 2) for i in range(SEGMENTS)]
 #: Rows of a bucket that one task holds, and rows that it lets pass by them.
 HELD, PASSING = 512, 8192
 
@@ -52,27 +53,32 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def fuzzy_keys(fps: DataFrame) -> DataFrame:
-    """(key, fp): buckets that any two fingerprints with at most five differing bits share.
+    """(key, fp, own): of any two fingerprints with at most four differing bits, one has a key that is the other's own.
 
-    The fingerprint has three segments. With five errors or fewer, two of them have at most two errors each, and
-    words with at most two errors share a codeword near both. A key is a pair of segments with a codeword of each.
+    Of the four segments with four errors at most, either each has one error, or some segment has none and at least
+    two of the others have one at most, of which ``PAIRS`` holds one. A segment's own codeword is its nearest. With
+    one error at most it is among the codewords near the other's segment, which are six at most. So keys are an equal
+    segment with a codeword near another, and codewords near the first two segments for one error each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column(0).to_numpy(zero_copy_only=False)
             for part in np.array_split(values, max(1, len(values) // 2048)):
-                bits, near = part.view(np.uint64).copy(), []
-                for width in SEGMENTS:
-                    near.append(golay.keys((bits & np.uint64((1 << width) - 1)).astype(np.int64)))
-                    bits >>= np.uint64(width)
-                for pair, (a, b) in enumerate(itertools.combinations(near, 2)):
-                    keys = (pair << 24) | (a[:, :, None] << 12) | b[:, None, :]
-                    valid = (a[:, :, None] >= 0) & (b[:, None, :] >= 0)
-                    rows = np.nonzero(valid)[0]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[valid].astype(np.int32)), pa.array(part[rows])], ["key", "fp"])
-
-    return fps.select("fp").transform(small_batches).mapInArrow(run, "key int, fp long")
+                bits = part.view(np.uint64)
+                segments = [(bits >> np.uint64(WIDTH * i) & np.uint64((1 << WIDTH) - 1)).astype(np.int64) for i in range(SEGMENTS)]
+                near = [golay.keys(x) for x in segments]
+                found = []
+                for kind, (same, other) in enumerate(PAIRS):
+                    row, place = np.nonzero(near[other] >= 0)
+                    found.append((kind << 48 | segments[same][row] << 12 | near[other][row, place], row, place == 0))
+                a, b = near[0][:, :, None], near[1][:, None, :]
+                row, i, j = np.nonzero((a >= 0) & (b >= 0))
+                found.append((len(PAIRS) << 48 | near[0][row, i] << 12 | near[1][row, j], row, (i == 0) & (j == 0)))
+                keys, rows, own = (np.concatenate(x) for x in zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[rows]), pa.array(own)], ["key", "fp", "own"])
+
+    return fps.select("fp").transform(small_batches).mapInArrow(run, "key long, fp long, own boolean")
 
 
 def _forest(held: np.ndarray, passing: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
@@ -100,64 +106,42 @@ def _forest(held: np.ndarray, passing: np.ndarray, max_bits: int) -> list[tuple[
 
 
 def _verify(max_bits: int):
-    """Sorted rows (bucket, side, fp) to links; a bucket's held rows, side 0, come first."""
+    """Held and passing fingerprints of each block and slice to links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, held, passing = None, [], []
-
-        def close() -> Iterator[pa.RecordBatch]:
-            if held and passing:
-                found = _forest(np.concatenate(held), np.concatenate(passing), max_bits)
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
-
-        for batch in batches:
-            buckets = np.column_stack([batch.column(n).to_numpy(zero_copy_only=False) for n in ("key", "block", "slice")])
-            sides, fps = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("side", "fp"))
-            cuts = [0, *(np.flatnonzero((buckets[1:] != buckets[:-1]).any(axis=1)) + 1).tolist(), len(fps)]
-            for a, b in zip(cuts, cuts[1:]):
-                if a == b:
-                    continue
-                if tuple(buckets[a]) != bucket:
-                    yield from close()
-                    bucket, held, passing = tuple(buckets[a]), [], []
-                middle = a + int((sides[a:b] == 0).sum())
-                if middle > a:
-                    held.append(fps[a:middle])
-                if b > middle:
-                    passing.append(fps[middle:b])
-        yield from close()
+        for _, rows in groups(batches, ["key", "part", "block", "slice"]):
+            held = int((rows["side"].to_numpy() == 0).sum())
+            fps = rows["fp"].to_numpy()
+            if 0 < held < len(fps) and (found := _forest(fps[:held], fps[held:], max_bits)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
 
     return run
 
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(a, b): links between distinct fingerprints, as many as connect what pairs with ``max_bits`` (to 5) connect.
+    """(a, b): links between distinct fingerprints, as many as connect what pairs with ``max_bits`` (to 4) connect.
 
-    Every bucket's smallest fingerprint is its pivot. Rows near the pivot are linked to it and so connected to each
-    other. What is left are pairs with a row that is not near: those rows are held in blocks, and the bucket's rows
-    pass by each block in slices, so that a bucket of any size is shared out over tasks of bounded size. A large
-    group of near copies costs its size, not its square, as long as it is near its pivot.
+    Pairs meet under a key that is one's own. Of each key the smallest fingerprint that owns it is the pivot. Rows
+    near the pivot are linked to it and so connected to each other. What is left are pairs of an owner and another
+    row, not both near the pivot: owners are held in blocks, and the rows they need pass by each block in slices, so
+    that a key of any size is shared out over tasks of bounded size. A large group of near copies costs its size, not
+    its square, as long as it is near its pivot.
     """
-    if not 0 <= max_bits <= 5:
-        raise ValueError("max_bits is from 0 to 5")
-    keys = fuzzy_keys(fps)
-    buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("pivot")).where("n > 1")
+    if not 0 <= max_bits <= 4:
+        raise ValueError("max_bits is from 0 to 4")
+    rows = fuzzy_keys(fps)
+    keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.when(F.col("own"), F.col("fp"))).alias("pivot"))
+    keys = keys.where("n > 1 and pivot is not null").select("key", "pivot")
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("pivot"))) <= max_bits
-    rows = written(keys.join(buckets, "key").where("fp != pivot").select("key", "fp", "pivot", "n", near.alias("near")), "simhash-buckets")
-    star = rows.where("near").select(F.col("fp").alias("a"), F.col("pivot").alias("b")).distinct()
-
-    left = rows.groupBy("key").agg(F.sum((~F.col("near")).cast("long")).alias("m"), F.count("*").alias("rest")).where("m > 0 and rest > 1")
-    left = left.select("key", F.ceil(F.col("m") / HELD).alias("blocks"), F.ceil(F.col("rest") / PASSING).alias("slices"))
-    open_rows = rows.join(left, "key")
-    place = F.xxhash64("fp")
-    held = open_rows.where("not near").select(
-        "key", F.pmod(place, "blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(0).alias("side"), "fp"
-    )
-    passing = open_rows.select(
-        "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(place, "slices").alias("slice"), F.lit(1).alias("side"), "fp"
-    )
-    shared = held.unionByName(passing).repartition("key", "block", "slice").sortWithinPartitions("key", "block", "slice", "side")
+    met = written(rows.join(keys, "key").where("fp != pivot").withColumn("near", near), "simhash-keys")
+    star = met.where("near").select(F.col("fp").alias("a"), F.col("pivot").alias("b")).distinct()
+
+    sizes = met.groupBy("key").agg(F.count("*").alias("n"), F.count(F.when(~F.col("near"), 1)).alias("far"), F.count(F.when(F.col("own"), 1)).alias("owners"))
+    left = met.join(sizes.where("n > 1 and far > 0 and owners > 0").select("key"), "key", "left_semi").select("key", "fp", "own", "near")
+    # Owners not near the pivot meet all rows; owners near it meet those that are not.
+    held = left.where("own").select("key", F.col("near").cast("int").alias("part"), "fp")
+    passing = left.select("key", F.lit(0).alias("part"), "fp").unionByName(left.where("not near").select("key", F.lit(1).alias("part"), "fp"))
+    shared = meetings(held, passing, ["key", "part"], "fp", HELD, PASSING)
     return star.unionByName(shared.transform(small_batches).mapInArrow(_verify(max_bits), "a long, b long"))
 
 
