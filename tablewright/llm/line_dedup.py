@@ -240,8 +240,11 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return places.where(later).groupBy("id", "mark").agg(F.sort_array(F.collect_set("place")).alias("places"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """``docs`` with repeated lines taken out of the texts; a null text stays null, an empty table stays empty."""
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_kept: float = 0.0) -> DataFrame:
+    """``docs`` with repeated lines taken out of the texts; a null text stays null, an empty table stays empty.
+
+    A row of which less than the share ``min_kept`` of its characters is left, though it had repeats, is dropped.
+    """
     places = repeated_lines(docs, id_col, text_col, threshold)
     names = [f"_own_{i}" for i in range(len(docs.columns))]
     own_id, own_text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
@@ -249,4 +252,6 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     joined = docs.toDF(*names).withColumn("mark", mark).join(places.toDF("_id", "_mark", "places"), F.col(own_id).eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left")
     kept = F.array_join(F.filter(F.split(own_text, "\n"), lambda x, i: ~F.array_contains("places", i)), "\n")
     text: Column = F.when(F.col("places").isNull(), F.col(own_text)).otherwise(kept)
-    return joined.withColumn(own_text, text).select(*names).toDF(*docs.columns)
+    found = joined.withColumn("_text", text)
+    found = found.where(F.col("places").isNull() | (F.length("_text") >= F.lit(min_kept) * F.length(own_text)))
+    return found.withColumn(own_text, F.col("_text")).select(*names).toDF(*docs.columns)

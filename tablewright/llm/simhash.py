@@ -164,7 +164,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their group."""
-    groups = near_duplicates(docs, id_col, text_col, shingle, max_bits)
-    first = groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(first, id_col, "left_semi")
+    """One row of ``docs`` for each group of near duplicates: that of the smallest id, of these the smallest hash of the text."""
+    names = [f"_own_{i}" for i in range(len(docs.columns))]
+    own_id, own_text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
+    marked = docs.toDF(*names).withColumn("_key", F.struct(F.col(own_id).alias("id"), F.xxhash64(F.coalesce(own_text, F.lit(""))).alias("mark")))
+    groups_ = near_duplicates(marked, "_key", own_text, shingle, max_bits)
+    first = groups_.where(F.col("_key").eqNullSafe(F.col("component_id"))).select(F.col("_key").alias("_first")).distinct()
+    kept = marked.join(first, F.col("_key").eqNullSafe(F.col("_first")), "left_semi")
+    return kept.dropDuplicates(["_key"]).select(*names).toDF(*docs.columns)
