@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -92,41 +91,66 @@ def _unlike(a: str, b: str) -> tuple[str, str]:
     return a[low:], b[low:]
 
 
-def sketch(line: str) -> int:
-    """Parity of the pairs of characters in 31 bits; an edit changes four at most."""
-    codes = np.frombuffer(f" {line} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
+def _codes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the lines with a space before, between and behind them; the place of the space before each."""
+    codes = np.frombuffer(" ".join(["", *lines, ""]).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    sizes = np.array([len(x) + 1 for x in lines])
+    return codes, np.cumsum(sizes) - sizes
+
+
+def sketches(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Of each line the parity of its pairs of characters in 63 bits; an edit changes four at most."""
     pairs = (codes[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(40)
-    return int(np.bitwise_xor.reduce(np.uint64(1) << pairs % np.uint64(31)))
+    return np.bitwise_xor.reduceat(np.uint64(1) << pairs % np.uint64(63), starts).view(np.int64)
+
+
+def sketch(line: str) -> int:
+    return int(sketches(*_codes([line]))[0])
+
+
+#: A number's hash among keys, and the base of the hash of a substring.
+_MIX, _BASE = np.uint64(0xD6E8FEB86659FD93), 0x9E3779B97F4A7C15
+
+
+def _shape(length: int, threshold: int) -> np.ndarray:
+    """Columns of a line's keys: segment's length and number hashed, start, end, side (0: its own segments)."""
+    own = [(length, i, p, size, 0) for i, (p, size) in enumerate(segments(length, threshold))]
+    seen = {(m, i, p) for m, i, p, _, _ in own}
+    other = [(m, i, p, size, 1) for m in range(max(length - threshold, 0), length + 1) for i, p, size in probes(length, m, threshold) if (m, i, p) not in seen]
+    return np.array([(m * (threshold + 1) + i, p, p + size, side) for m, i, p, size, side in own + other]).T
 
 
 def _keys(threshold: int):
-    """Lines to (key, node, side, sketch): side 0 for segments, 1 for substrings of other lengths or places."""
+    """Lines to (key, node, kind, mark): kind 0 for segments, 1 for substrings of other lengths or places.
+
+    A key hashes a substring, as a difference of running sums of characters times powers, with the segment it may be.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shapes: dict[int, list] = {}
-        digest = xxhash.xxh64_intdigest
+        shapes: dict[int, np.ndarray] = {}
+        inverse = pow(_BASE, -1, 1 << 64)
         for batch in batches:
-            for part in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
-                keys, counts, sides, marks = [], [], [], []
-                for line in part.column("line").to_pylist():
-                    n = len(line)
-                    if n not in shapes:
-                        if len(shapes) > 20_000:
-                            shapes.clear()
-                        own = [(n, i, p, size, 0) for i, (p, size) in enumerate(segments(n, threshold))]
-                        seen = {(m, i, p) for m, i, p, _, _ in own}
-                        other = [(m, i, p, size, 1) for m in range(max(n - threshold, 0), n + 1) for i, p, size in probes(n, m, threshold) if (m, i, p) not in seen]
-                        shapes[n] = [(f"{m}:{i}:", p, p + size, side) for m, i, p, size, side in own + other]
-                    shape = shapes[n]
-                    keys += [digest(head + line[p:q]) for head, p, q, _ in shape]
-                    sides += [side for *_, side in shape]
-                    counts.append(len(shape))
-                    marks.append(sketch(line))
-                repeat = np.array(counts)
+            for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
+                lines = part.column("line").to_pylist()
+                if len(shapes) > 20_000:
+                    shapes.clear()
+                for n in {len(x) for x in lines} - shapes.keys():
+                    shapes[n] = _shape(n, threshold)
+                found = [shapes[len(x)] for x in lines]
+                codes, starts = _codes(lines)
+                counts = np.array([x.shape[1] for x in found])
+                tag, low, high, kind = np.concatenate(found, axis=1)
+                base = np.repeat(starts + 1, counts)
+                low, high = low + base, high + base
+                powers, back = (np.cumprod(np.r_[np.ones(1, np.uint64), np.full(len(codes), f, np.uint64)]) for f in (_BASE, inverse))
+                sums = np.r_[np.zeros(1, np.uint64), np.cumsum((codes + np.uint64(1)) * powers[:-1])]
+                keys = (sums[high] - sums[low]) * back[low]
+                keys = (keys ^ keys >> np.uint64(31)) * _MIX + tag.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+                keys = (keys ^ keys >> np.uint64(29)) * _MIX
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.repeat(part.column("node").to_numpy(), repeat)),
-                        pa.array(np.array(sides, np.int8)), pa.array(np.repeat(np.array(marks, np.int32), repeat)),
+                        pa.array(keys.view(np.int64)), pa.array(np.repeat(part.column("node").to_numpy(), counts)),
+                        pa.array(kind.astype(np.int8)), pa.array(np.repeat(sketches(codes, starts), counts)),
                     ],
                     ["key", "node", "kind", "mark"],
                 )
@@ -134,23 +158,56 @@ def _keys(threshold: int):
     return run
 
 
-def _candidates(threshold: int):
-    """Pairs of a key's held and passing rows whose sketches are close enough, unless both are near the pivot."""
+def _close(x: np.ndarray, y: np.ndarray, threshold: int) -> np.ndarray:
+    return np.bitwise_count(x[:, None] ^ y[None, :]) <= 4 * threshold
+
+
+def _promising(threshold: int):
+    """Of a key's held and passing rows those with a partner whose sketch is close enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, part, _, _), rows in groups(batches, ["key", "part", "block", "slice"]):
+            n = int((rows["side"].to_numpy() == 0).sum())
+            node, mark = rows["node"].to_numpy(), rows["mark"].to_numpy()
+            held, passing = np.zeros(n, bool), np.zeros(len(node) - n, bool)
+            for k in range(n, len(node), 2048):
+                close = _close(mark[:n], mark[k : k + 2048], threshold) & (node[:n, None] != node[None, k : k + 2048])
+                held |= close.any(axis=1)
+                passing[k - n : k - n + 2048] = close.any(axis=0)
+            kept = np.concatenate([held, passing])
+            if kept.any():
+                size = int(kept.sum())
+                side = np.concatenate([np.zeros(n, bool), np.ones(len(passing), bool)])[kept]
+                yield pa.RecordBatch.from_arrays([pa.array([key] * size, pa.int64()), pa.array([part] * size, pa.int32()), pa.array(side), pa.array(node[kept])], ["key", "part", "passes", "node"])
+
+    return run
+
+
+def _connected(threshold: int):
+    """Links that connect what a key's held and passing lines within the edits allowed connect."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in groups(batches, ["key", "part", "block", "slice"]):
             n = int((rows["side"].to_numpy() == 0).sum())
-            left, right = rows.slice(0, n), rows.slice(n)
-            if not n or not len(right):
+            node, lines = rows["node"].to_pylist(), rows["line"].to_pylist()
+            if not 0 < n < len(node):
                 continue
-            a, b = left["node"].to_numpy(), right["node"].to_numpy()
-            x, y = left["mark"].to_numpy(), right["mark"].to_numpy()
-            for k in range(0, len(b), 2048):
-                close = np.bitwise_count((x[:, None] ^ y[None, k : k + 2048]).view(np.uint32)) <= 4 * threshold
-                i, j = np.nonzero(close & (a[:, None] != b[None, k : k + 2048]))
-                low, high = np.minimum(a[i], b[k + j]), np.maximum(a[i], b[k + j])
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["a", "b"])
+            marks, parent, found = sketches(*_codes(lines)), {x: x for x in node}, []
+
+            def root(x: int) -> int:
+                while parent[x] != x:
+                    parent[x] = parent[parent[x]]
+                    x = parent[x]
+                return x
+
+            for i in range(n):
+                for j in (np.flatnonzero(_close(marks[i : i + 1], marks[n:], threshold)[0]) + n).tolist():
+                    a, b = root(node[i]), root(node[j])
+                    if a != b and within(lines[i], lines[j], allowed(max(len(lines[i]), len(lines[j])), threshold)):
+                        parent[a] = b
+                        found.append((node[i], node[j]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
 
     return run
 
@@ -162,13 +219,16 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node += batch.num_rows
 
 
+def _texts(nodes: DataFrame, lines: DataFrame) -> DataFrame:
+    """(node, line) of the nodes; their ids are broadcast where they are few, so that other lines are not shuffled."""
+    ids = written(nodes.select("node").distinct(), "line-ids")
+    return written(lines.select("node", "line").join(F.broadcast(ids) if ids.count() <= SMALL_IDS else ids, "node", "left_semi"), "line-texts")
+
+
 def _verified(pairs: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) whose lines are within the edits allowed."""
     pairs = written(pairs.distinct(), "line-pairs")
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "line-ids")
-    if ids.count() <= SMALL_IDS:
-        ids = F.broadcast(ids)
-    texts = written(lines.select("node", "line").join(ids, "node", "left_semi"), "line-texts")
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("node")), lines)
     both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,10 +248,11 @@ def links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     that could be a segment of a line as long as itself or shorter by up to the threshold. Of each key the smallest
     indexed line is the pivot, which all others are verified against first. Only where a line is not linked to its
     pivot are the key's other pairs needed, since lines linked to the pivot are connected already; those keys are
-    worked off in blocks, so that a key of any size is shared out. Sketches of a line's character pairs drop most
-    pairs before the edit distance, without dropping any that is near enough.
+    worked off in blocks, so that a key of any size is shared out, and give links enough to connect what is near, not
+    all pairs. Sketches of a line's character pairs drop most pairs before the edit distance, without dropping any
+    that is near enough.
     """
-    rows = lines.select("node", "line").transform(small_batches).mapInArrow(_keys(threshold), "key long, node long, kind byte, mark int")
+    rows = lines.select("node", "line").transform(small_batches).mapInArrow(_keys(threshold), "key long, node long, kind byte, mark long")
     indexed = F.when(F.col("kind") == 0, F.struct("node", "mark"))
     keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(indexed).alias("pivot")).where("n > 1 and pivot is not null")
     keys = keys.select("key", F.col("pivot.node").alias("pivot"), F.col("pivot.mark").alias("pivot_mark"))
@@ -206,8 +267,11 @@ def links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     held = open_rows.where("kind = 0").withColumn("part", F.col("near").cast("int"))
     passing = open_rows.withColumn("part", F.lit(0)).unionByName(open_rows.where("not near").withColumn("part", F.lit(1)))
     shared = meetings(held.drop("kind", "near"), passing.drop("kind", "near"), ["key", "part"], "node", HELD, PASSING)
-    second = _verified(shared.transform(small_batches).mapInArrow(_candidates(threshold), "a long, b long"), lines, threshold)
-    return first.unionByName(second)
+    promising = shared.transform(small_batches).mapInArrow(_promising(threshold), "key long, part int, passes boolean, node long")
+    promising = written(promising.distinct(), "line-promising")
+    texts = promising.join(_texts(promising, lines), "node")
+    shared = meetings(texts.where("not passes").drop("passes"), texts.where("passes").drop("passes"), ["key", "part"], "node", HELD, PASSING)
+    return first.unionByName(shared.transform(small_batches).mapInArrow(_connected(threshold), "a long, b long"))
 
 
 def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
