@@ -58,7 +58,8 @@ def fuzzy_keys(fps: DataFrame) -> DataFrame:
     Of the four segments with four errors at most, either each has one error, or some segment has none and at least
     two of the others have one at most, of which ``PAIRS`` holds one. A segment's own codeword is its nearest. With
     one error at most it is among the codewords near the other's segment, which are six at most. So keys are an equal
-    segment with a codeword near another, and codewords near the first two segments for one error each.
+    segment with a codeword near another. For one error in each segment they are a codeword near the first with an
+    equal half of the second and of the third, and the parities of all four, each of which the other has opposite.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,9 +73,12 @@ def fuzzy_keys(fps: DataFrame) -> DataFrame:
                 for kind, (same, other) in enumerate(PAIRS):
                     row, place = np.nonzero(near[other] >= 0)
                     found.append((kind << 48 | segments[same][row] << 12 | near[other][row, place], row, place == 0))
-                a, b = near[0][:, :, None], near[1][:, None, :]
-                row, i, j = np.nonzero((a >= 0) & (b >= 0))
-                found.append((len(PAIRS) << 48 | near[0][row, i] << 12 | near[1][row, j], row, (i == 0) & (j == 0)))
+                parity = sum((np.bitwise_count(x) & 1).astype(np.int64) << i for i, x in enumerate(segments))
+                row, place = np.nonzero(near[0] >= 0)
+                for kind, (a, b) in enumerate(itertools.product((0, 8), repeat=2), len(PAIRS)):
+                    halves = kind << 48 | (segments[1] >> a & 255) << 12 | (segments[2] >> b & 255) << 4
+                    found.append((halves | near[0][:, 0] << 20 | parity, np.arange(len(part)), np.ones(len(part), bool)))
+                    found.append((halves[row] | near[0][row, place] << 20 | parity[row] ^ 15, row, np.zeros(len(row), bool)))
                 keys, rows, own = (np.concatenate(x) for x in zip(*found))
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[rows]), pa.array(own)], ["key", "fp", "own"])
 

@@ -73,6 +73,22 @@ def test_links_of_crowded_fingerprints(spark, monkeypatch, held, passing):
     assert [got.get(f, f) for f in fps] == want
 
 
+def test_any_four_errors_share_a_key(spark):
+    rng = random.Random(8)
+    pairs = []
+    for _ in range(400):
+        fp = rng.getrandbits(64)
+        for bits in (rng.sample(range(64), rng.randint(1, 4)), [rng.randrange(16) + 16 * i for i in range(4)]):
+            other = fp
+            for b in bits:
+                other ^= 1 << b
+            pairs.append(tuple(x - (1 << 64) if x >> 63 else x for x in (fp, other)))
+    found = {}
+    for r in simhash.fuzzy_keys(spark.createDataFrame([(x,) for p in pairs for x in p], "fp long")).collect():
+        found.setdefault(r.fp, (set(), set()))[r.own].add(r.key)
+    assert all(found[a][1] & (found[b][0] | found[b][1]) for a, b in pairs)
+
+
 def test_query(spark, tmp_path, odd_texts):
     rng = random.Random(4)
     base = [" ".join(rng.choice(["a", "bb", "c", "dd"]) for _ in range(200)) for _ in range(10)]
