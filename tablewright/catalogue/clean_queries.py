@@ -205,6 +205,29 @@ def impute_category(spark, sf_dir):
     return c.impute(df.select("order_id", "payment_method", F.lit(None).cast("string").alias("empty")))
 
 
+# Ids above 2^53 that lie one apart, a fifth of them missing. Every known one must survive a fill.
+_EXACT_SQL = dirty_sql("""SELECT order_id, CASE WHEN order_id % 5 <> 0 THEN CAST(9007199254740992 + order_id AS VARCHAR) END AS known,
+  true AS filled FROM dirty WHERE order_id IS NOT NULL""")
+
+
+def exact(spark, sf_dir, kind):
+    df = views.dirty(spark, sf_dir).where(F.col("order_id").isNotNull())
+    known = F.when(F.col("order_id") % 5 != 0, (F.lit(9007199254740992) + F.col("order_id")).cast(kind))
+    done = c.impute(df.select("order_id", known.alias("exact")))
+    shown = F.when(F.col("order_id") % 5 != 0, F.col("exact").cast("string"))
+    return done.select("order_id", shown.alias("known"), F.col("exact").isNotNull().alias("filled"))
+
+
+@query("c11_impute_bigint", _EXACT_SQL)
+def impute_bigint(spark, sf_dir):
+    return exact(spark, sf_dir, "bigint")
+
+
+@query("c11_impute_decimal", _EXACT_SQL)
+def impute_decimal(spark, sf_dir):
+    return exact(spark, sf_dir, "decimal(20,0)")
+
+
 # ---------------------------------------------------------------- rows
 
 
@@ -221,15 +244,15 @@ def drop_repeated_rows(spark, sf_dir):
 # ---------------------------------------------------------------- the whole run
 
 # The plan's effect, value by value.
-STAGED_SQL = f"""staged AS (SELECT CAST(order_id AS DOUBLE) AS order_id,
+STAGED_SQL = f"""staged AS (SELECT order_id,
   {number_sql('customer_name')} AS customer_name,
   {GENDER_SQL.format(s=stripped('gender'), c=f"NULLIF({stripped('gender')}, '')")} AS gender,
   {messy_number_sql('age')} AS age, {messy_number_sql('price')} AS price, quantity, skewed_value,
-  {DATE_SQL.format(c='order_date')} AS order_date, payment_method, notes FROM dirty
-), fills AS (SELECT {', '.join(f'{typical_sql(n)} AS {n}' for n in ('order_id', 'customer_name', 'age', 'price', 'quantity', 'skewed_value'))},
+  {DATE_SQL.format(c='order_date')} AS order_date, payment_method, notes FROM dirty WHERE order_id IS NOT NULL
+), fills AS (SELECT {', '.join(f'{typical_sql(n)} AS {n}' for n in ('customer_name', 'age', 'price', 'quantity', 'skewed_value'))},
   (SELECT gender FROM staged WHERE gender IS NOT NULL GROUP BY 1 ORDER BY COUNT(*) DESC, 1 LIMIT 1) AS gender,
   (SELECT payment_method FROM staged WHERE payment_method IS NOT NULL GROUP BY 1 ORDER BY COUNT(*) DESC, 1 LIMIT 1) AS payment_method FROM staged
-), filled AS (SELECT {', '.join(f'COALESCE(s.{n}, f.{n}) AS {n}' for n in ('order_id', 'customer_name', 'gender', 'age', 'price', 'quantity', 'skewed_value', 'payment_method'))},
+), filled AS (SELECT s.order_id, {', '.join(f'COALESCE(s.{n}, f.{n}) AS {n}' for n in ('customer_name', 'gender', 'age', 'price', 'quantity', 'skewed_value', 'payment_method'))},
   s.order_date, s.notes FROM staged s, fills f
 ), cleaned AS (SELECT DISTINCT order_id, customer_name, gender, age, price, quantity, skewed_value,
   {_FILLED.format(d='order_date', g='1')} AS order_date, payment_method, notes FROM filled)"""
@@ -240,7 +263,7 @@ def cleaned_sql(then: str) -> str:
 
 
 _ROUNDED = ", ".join(
-    f"ROUND({n}, 4) AS {n}" if n in ("order_id", "customer_name", "age", "price", "quantity", "skewed_value") else n
+    f"ROUND({n}, 4) AS {n}" if n in ("customer_name", "age", "price", "quantity", "skewed_value") else n
     for n in views.DIRTY_COLUMNS
 )
 
@@ -252,7 +275,7 @@ def cleaned_table(spark, sf_dir):
 
 # Fixed steps of this view: column, operations, fill strategy. Counts come from the data.
 _STEPS = [
-    ("order_id", "normalize_empty_to_null,parse_numeric,drop_row_if_null", "mean"),
+    ("order_id", "normalize_empty_to_null,parse_numeric,drop_row_if_null", None),
     ("customer_name", "trim,normalize_empty_to_null", "numeric_coerce"),
     ("gender", "trim,normalize_empty_to_null", "mode"),
     ("age", "trim,normalize_empty_to_null", "numeric_coerce"),
@@ -263,9 +286,9 @@ _STEPS = [
     ("payment_method", "trim,normalize_empty_to_null", "mode"),
     ("notes", "trim,normalize_empty_to_null", "skipped_low_priority_high_missing"),
 ]
-# What the plan leaves missing. Coercion to numbers comes after it.
+# What the plan leaves missing in rows that have an id. Coercion to numbers comes after it.
 _LEFT = {
-    n: f"(SELECT COUNT(*) FROM dirty WHERE {e} IS NULL)"
+    n: f"(SELECT COUNT(*) FROM dirty WHERE order_id IS NOT NULL AND {e} IS NULL)"
     for n, e in {
         **{n: n for n in views.DIRTY_COLUMNS},
         "customer_name": f"NULLIF({stripped('customer_name')}, '')",
@@ -282,19 +305,21 @@ def _strategy(name: str, strategy: str) -> str:
     return f"(SELECT CASE WHEN abs(SKEWNESS({name})) > 1 THEN '{prefix}median' ELSE '{prefix}mean' END FROM staged)"
 
 
+# The id has no fill, so the other columns' steps begin at 1.
 _LOG_SQL = " UNION ALL ".join(
-    f"""SELECT {2 * i} AS step, '{n}' AS column_name, 'preclean' AS operation, '{ops}' AS strategy,
-      (SELECT COUNT(*) FROM dirty WHERE {n} IS NULL) AS missing_before, {_LEFT[n]} AS missing_after, CAST(NULL AS BIGINT) AS rows_removed
-    UNION ALL SELECT {2 * i + 1}, '{n}', 'missing_value_imputation', {_strategy(n, s)}, {_LEFT[n]},
-      {_LEFT[n] if s.startswith('skipped') else 0}, NULL"""
+    f"""SELECT {max(2 * i - 1, 0)} AS step, '{n}' AS column_name, 'preclean' AS operation, '{ops}' AS strategy,
+      (SELECT COUNT(*) FROM dirty WHERE {n} IS NULL) AS missing_before, {_LEFT[n]} AS missing_after, CAST(NULL AS BIGINT) AS rows_removed"""
+    + (f""" UNION ALL SELECT {2 * i}, '{n}', 'missing_value_imputation', {_strategy(n, s)}, {_LEFT[n]},
+      {_LEFT[n] if s.startswith('skipped') else 0}, NULL""" if s else "")
     for i, (n, ops, s) in enumerate(_STEPS)
 )
 
 
 @query(
     "c19_cleaning_log",
-    cleaned_sql(f"""{_LOG_SQL} UNION ALL SELECT 22, NULL, 'deduplicate', 'deduplicate', NULL, NULL,
-    (SELECT COUNT(*) FROM dirty) - (SELECT COUNT(*) FROM cleaned)"""),
+    cleaned_sql(f"""{_LOG_SQL} UNION ALL SELECT 19, NULL, 'row_removal', 'all_columns_null', NULL, NULL,
+    (SELECT COUNT(*) FROM dirty WHERE order_id IS NULL) UNION ALL SELECT 21, NULL, 'deduplicate', 'deduplicate', NULL, NULL,
+    (SELECT COUNT(*) FROM staged) - (SELECT COUNT(*) FROM cleaned)"""),
 )
 def cleaning_log(spark, sf_dir):
     return c.clean(views.dirty(spark, sf_dir), order_by=["order_id"]).log.drop("fill_preview")
@@ -313,7 +338,7 @@ def row_counts(spark, sf_dir):
 @query(
     "c16_fill_strategies",
     cleaned_sql(" UNION ALL ".join(
-        f"SELECT '{n}' AS column_name, {_strategy(n, s)} AS strategy, {_LEFT[n]} AS missing" for n, _, s in _STEPS
+        f"SELECT '{n}' AS column_name, {_strategy(n, s)} AS strategy, {_LEFT[n]} AS missing" for n, _, s in _STEPS if s
     )),
 )
 def fill_strategies(spark, sf_dir):

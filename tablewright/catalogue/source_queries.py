@@ -214,7 +214,7 @@ def preview(spark, sf_dir):
 
 @query("s11_page_with_default_limit", "SELECT * FROM customer ORDER BY c_custkey LIMIT 100")
 def page(spark, sf_dir):
-    return tables.page(table(spark, sf_dir, "customer"), 1_000_000, ["c_custkey"])
+    return tables.page(table(spark, sf_dir, "customer"), ["c_custkey"])
 
 
 @query(

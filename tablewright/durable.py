@@ -1,14 +1,11 @@
-"""Shared storage and size-checked broadcasts."""
+"""Shared storage for intermediate tables."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-# A broadcast relation is kept below this many rows, whatever the data size.
-BROADCAST_ROWS = 200_000
+from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,14 +29,3 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/tablewright/{label}-{uuid.uuid4().hex}"
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting that ``df`` has at most ``max_rows`` rows.
-
-    Beyond the bound the join is left to Spark (sort-merge with AQE skew
-    splitting). The count reads at most ``max_rows + 1`` result rows.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df

@@ -14,8 +14,19 @@ DATE_SHAPE = r"(?:\d{1,4}[-/]\d{1,2}[-/]\d{1,4}|\d{1,2}:\d{2}|[A-Za-z]{3,9}\s+\d
 
 ISO_TIMESTAMP = r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([ T][0-9]{1,2}:[0-9]{1,2}(:[0-9]{1,2}(\.[0-9]{1,9})?)?)?"
 
-# Accepted beside ISO: shape -> Spark patterns, in order of preference.
+# An ISO time with its zone; the result is the time in UTC.
+ZONED_TIMESTAMP = r"[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,9})?)?(Z|[+-][0-9]{2}:?[0-9]{2})"
+
+# Accepted beside ISO: shape -> Spark patterns, in order of preference. The month comes before the day where both fit.
 DATE_FORMATS = {
+    r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{2}": ["M/d/yyyy H:mm", "d/M/yyyy H:mm"],
+    r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{2}:[0-9]{2}": ["M/d/yyyy H:mm:ss", "d/M/yyyy H:mm:ss"],
+    r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{2} [AP]M": ["M/d/yyyy h:mm a", "d/M/yyyy h:mm a"],
+    r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2} [0-9]{1,2}:[0-9]{2} [AP]M": ["yyyy-M-d h:mm a"],
+    r"[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}": ["M-d-yyyy", "d-M-yyyy"],
+    r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{2}": ["M/d/yy", "d/M/yy"],
+    r"[0-9]{1,2}-[A-Za-z]{3}-[0-9]{4}": ["d-MMM-yyyy"],
+    r"(19|20)[0-9]{2}(0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01])": ["yyyyMMdd"],
     r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}": ["M/d/yyyy", "d/M/yyyy"],
     r"[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}": ["yyyy/M/d"],
     r"[A-Za-z]{3} [0-9]{1,2},? [0-9]{4}": ["MMM d[,] yyyy"],
@@ -46,11 +57,12 @@ def parse_timestamp(c: Column, stripped: bool = False) -> Column:
     """Coerce text in any accepted format to a zone-less timestamp."""
     text = c if stripped else strip(c)
     parsed = F.when(text.rlike(_whole(ISO_TIMESTAMP)), text.try_cast("timestamp_ntz"))
+    parsed = parsed.when(text.rlike(_whole(ZONED_TIMESTAMP)), F.to_utc_timestamp(text.try_cast("timestamp"), F.current_timezone()).cast("timestamp_ntz"))
     for shape, patterns in DATE_FORMATS.items():
         tries = [F.try_to_timestamp(text, F.lit(p)).cast("timestamp_ntz") for p in patterns]
         parsed = parsed.when(text.rlike(_whole(shape)), F.coalesce(*tries) if len(tries) > 1 else tries[0])
     # Most text has no accepted shape at all and is settled by one test.
-    return F.when(text.rlike(_whole("|".join([ISO_TIMESTAMP, *DATE_FORMATS]))), parsed)
+    return F.when(text.rlike(_whole("|".join([ISO_TIMESTAMP, ZONED_TIMESTAMP, *DATE_FORMATS]))), parsed)
 
 
 def _whole(shape: str) -> str:

@@ -13,18 +13,50 @@ WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
 # Only text made of letters, spaces and hyphens can be a number in words.
 WORDS_ONLY = r"(?U)^[A-Za-z\s-]+$"
 
-# English number words in order; a word's position gives its value.
-SMALL_NUMBERS = (
-    "zero one two three four five six seven eight nine ten eleven twelve thirteen "
-    "fourteen fifteen sixteen seventeen eighteen nineteen"
-).split()
-ROUND_TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
-
-# Accepted spellings of each canonical gender label.
+# English number words.
+SMALL_NUMBERS = {
+    "zero": 0,
+    "one": 1,
+    "two": 2,
+    "three": 3,
+    "four": 4,
+    "five": 5,
+    "six": 6,
+    "seven": 7,
+    "eight": 8,
+    "nine": 9,
+    "ten": 10,
+    "eleven": 11,
+    "twelve": 12,
+    "thirteen": 13,
+    "fourteen": 14,
+    "fifteen": 15,
+    "sixteen": 16,
+    "seventeen": 17,
+    "eighteen": 18,
+    "nineteen": 19,
+}
+ROUND_TENS = {
+    "twenty": 20,
+    "thirty": 30,
+    "forty": 40,
+    "fifty": 50,
+    "sixty": 60,
+    "seventy": 70,
+    "eighty": 80,
+    "ninety": 90,
+}
+
+# The canonical gender label of each accepted spelling.
 GENDER_LABELS = {
-    "Female": ["f", "female"],
-    "Male": ["m", "male"],
-    "Other": ["other", "non-binary", "nonbinary", "nb"],
+    "f": "Female",
+    "female": "Female",
+    "m": "Male",
+    "male": "Male",
+    "other": "Other",
+    "non-binary": "Other",
+    "nonbinary": "Other",
+    "nb": "Other",
 }
 
 
@@ -47,11 +79,8 @@ def lowercase(c: Column) -> Column:
 
 def _spoken_numbers() -> dict[str, int]:
     """Every phrase understood: the words themselves, and tens followed by a small number."""
-    values = {w: i for i, w in enumerate(SMALL_NUMBERS)}
-    for i, ten in enumerate(ROUND_TENS, start=2):
-        values[ten] = 10 * i
-        values |= {f"{ten} {word}": 10 * i + j for j, word in enumerate(SMALL_NUMBERS)}
-    return values
+    pairs = {f"{ten} {word}": high + low for ten, high in ROUND_TENS.items() for word, low in SMALL_NUMBERS.items()}
+    return SMALL_NUMBERS | ROUND_TENS | pairs
 
 
 def spoken_number(c: Column) -> Column:
@@ -65,10 +94,9 @@ def number_words(c: Column) -> Column:
     return F.coalesce(spoken_number(c).cast("string"), c)
 
 
-def canonical(c: Column, labels: dict[str, list[str]] = GENDER_LABELS) -> Column:
+def canonical(c: Column, labels: dict[str, str] = GENDER_LABELS) -> Column:
     """Replace known spellings by their label; unknown values stay as they are."""
-    spellings = {s: label for label, group in labels.items() for s in group}
-    return F.coalesce(F.try_element_at(literal_map(spellings), F.lower(strip(c))), c)
+    return F.coalesce(F.try_element_at(literal_map(labels), F.lower(strip(c))), c)
 
 
 def replace_values(c: Column, mapping: dict[str, str]) -> Column:

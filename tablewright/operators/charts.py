@@ -179,6 +179,7 @@ def run_rollup(runs: DataFrame, timestamp: str, success: Column) -> DataFrame:
 
 # ---------------------------------------------------------------- report view
 
+# Fixed value: a comparison with a number.
 _COMPARISON = re.compile(r"\s*(>=|<=|>|<|=)?\s*(-?\d+(?:\.\d+)?)\s*")
 NUMERIC_VIEW_SHARE = 0.8
 
@@ -191,16 +192,16 @@ def as_number(f: T.StructField) -> Column:
 def view_filter(df: DataFrame, column: str, wanted: str) -> DataFrame:
     """A comparison such as '>= 10' on a numeric column, else a case-insensitive substring.
 
-    The substring is matched literally.
+    A column of a numeric type is always compared; text is if most of its values
+    that are not null are numbers. The substring is matched literally.
     """
     field = df.schema[column]
     found = _COMPARISON.fullmatch(wanted)
     if found:
         number = as_number(field)
-        if is_numeric(field.dataType) and not field.nullable:
-            share = 1.0
-        else:
-            share = df.agg(F.avg(F.when(number.isNotNull(), 1.0).otherwise(0.0))).first()[0] or 0.0
+        share = 1.0
+        if not is_numeric(field.dataType):
+            share = df.agg(F.avg(F.when(quoted(column).isNotNull(), number.isNotNull().cast("double")))).first()[0] or 0.0
         if share > NUMERIC_VIEW_SHARE:
             op, limit = found.group(1) or "=", F.lit(float(found.group(2)))
             # Numeric columns are compared as they are, so the filter reaches the scan.

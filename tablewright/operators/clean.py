@@ -280,7 +280,9 @@ def apply_choices(
                 if isinstance(f.dataType, T.BooleanType):
                     fill = fill.cast("boolean")
                 elif profiles.is_numeric(f.dataType):
-                    c = c.cast("double")
+                    # The column keeps its type, and so every digit of an id or an amount; the fill is rounded to it.
+                    whole = profiles.type_label(f.dataType) == "int64"
+                    c, fill = quoted(f.name), (F.rint(fill) if whole else fill).cast(f.dataType)
                 c = F.coalesce(c, fill)
         out.append(c.alias(f.name))
     filled = df.select(*out)
@@ -362,10 +364,11 @@ def clean(
     drop_duplicates: bool = True,
     materialise: bool = True,
 ) -> Cleaned:
-    """Profile, parse, canonicalise, impute, and drop empty, incomplete and repeated rows.
+    """Profile, parse, canonicalise, drop empty and incomplete rows, impute, and drop repeated rows.
 
-    Types are coerced only where nulls remain after the plan; required columns
-    are tested after imputation. ``order_by`` is needed when dates are filled.
+    Empty rows and rows without a required value are dropped before anything is
+    filled, so that no fill turns them into records. Types are coerced only where
+    nulls remain after that. ``order_by`` is needed when dates are filled.
     ``materialise`` writes the parsed table to the shared folder, so that the
     later passes read the columns they need instead of parsing everything again.
     """
@@ -374,29 +377,34 @@ def clean(
     prof = profiles.with_semantic(profiles.column_profile(df, samples=0)).orderBy("position").collect()  # one row per column
     columns = [row.asDict() for row in prof]
     semantics = {c["column_name"]: c["semantic"] for c in columns}
+    gaps = [c["column_name"] for c in columns if c["dtype"] == "datetime64" and 0 < c["null_count"] < c["row_count"]]
+    if gaps and not order_by:
+        raise ValueError(f"filling {gaps} needs order_by: rows have no order of their own")
     plan = validated_plan(heuristic_plan(columns) if plan is None else plan, df.columns)
     ratios = {c["column_name"]: c["unique_count"] / max(c["row_count"], 1) for c in columns}
-    scored = profiles.feature_importance(df, ratios=ratios).collect()  # at most 25 rows
+    scored = profiles.feature_importance(df, top=None, ratios=ratios).collect()  # one row per column
     importance = {r["feature"]: r["importance_score"] for r in scored}
     staged = canonicalise(apply_plan(df, plan), semantics)
     if materialise:
         staged = replace_files(staged, scratch_path(spark, "staged"))
-    rows, choices = fill_choices(staged, semantics, importance)
-    filled = apply_choices(staged, choices, order_by, partition_by)
-
     required = [c for c, ops in plan.items() if "drop_row_if_null" in ops]
-    data = drop_incomplete_rows(drop_empty_rows(filled), required)
+    usable = drop_incomplete_rows(drop_empty_rows(staged), required)
+    rows, choices = fill_choices(usable, semantics, importance)
+    data = apply_choices(usable, choices, order_by, partition_by)
     distinct = drop_repeated_rows(data) if drop_duplicates else data
-    log = _log(spark, rows, df, filled, data, plan, columns, choices, required, drop_duplicates)
+    log = _log(spark, rows, staged, data, plan, columns, choices, required, drop_duplicates)
     return Cleaned(distinct, log, plan, choices)
 
 
-def _log(spark, rows, df, filled, data, plan, columns, choices, required, dedup) -> DataFrame:
-    """The steps in order; counts of removed rows stay lazy."""
+def _log(spark, rows, staged, data, plan, columns, choices, required, dedup) -> DataFrame:
+    """The steps by column, then the rows removed; their counts stay lazy.
+
+    What a step leaves missing is counted over the rows that are kept.
+    """
     before = {c["column_name"]: c["null_count"] for c in columns}
     by_name = {c.column: c for c in choices}
     steps = []
-    for name in df.columns:
+    for name in staged.columns:
         choice = by_name.get(name)
         left = choice.missing if choice else 0
         if name in plan:
@@ -408,9 +416,9 @@ def _log(spark, rows, df, filled, data, plan, columns, choices, required, dedup)
             steps.append(
                 (len(steps), name, "missing_value_imputation", choice.strategy, left, after, choice.preview, None)
             )
-    empty = reduce(Column.__and__, [quoted(c).isNull() for c in df.columns])
+    empty = reduce(Column.__and__, [quoted(c).isNull() for c in staged.columns])
     incomplete = reduce(Column.__or__, [quoted(c).isNull() for c in required], F.lit(False))
-    removed = filled.agg(
+    removed = staged.agg(
         F.count_if(empty).alias("all_columns_null"), F.count_if(~empty & incomplete).alias("required_columns_null")
     )
     removals = [

@@ -9,14 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tablewright.functions import lexicon, parse
-from tablewright.functions.measures import pairwise_corr, percent, variance, varies
+from tablewright.functions.measures import percent, variance, varies
 from tablewright.functions.text import contains_any
 from tablewright.operators.frequency import quoted, value_frequencies, without_nan
 
 SAMPLES = 3
 TOP_FEATURES = 25
-# Correlation pairs computed as aggregate expressions.
-PAIRS_PER_SCAN = 45
 
 
 def type_label(data_type: T.DataType) -> str:
@@ -312,30 +310,16 @@ def workbook_semantics(profile: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- importance
 
 
-def correlations(df: DataFrame, columns: list[str], max_pairs: int = PAIRS_PER_SCAN) -> DataFrame:
+def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """(x, y, value) for every unordered pair of distinct columns, pairwise complete.
 
-    Few pairs are aggregate expressions of one scan. Many pairs would need more
-    expressions than one stage can hold, and come from matrix products per task.
+    Two scans: centre and spread of each column, then sums of products. Values are
+    centred first, so a large offset costs no digits, and any number of columns
+    takes the same way. Each task adds up k x k matrices over its batches and emits
+    one row per pair, so the shuffle does not grow with the rows.
     """
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    if not pairs:
+    if len(columns) < 2:
         return df.sparkSession.createDataFrame([], "x string, y string, value double")
-    if len(pairs) > max_pairs:
-        return _correlations_by_products(df, columns)
-    entries = [
-        F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), pairwise_corr(quoted(a), quoted(b)).alias("value"))
-        for a, b in pairs
-    ]
-    return df.agg(F.array(*entries).alias("e")).select(F.inline("e"))
-
-
-def _correlations_by_products(df: DataFrame, columns: list[str]) -> DataFrame:
-    """All pairs in two scans: centre and spread of each column, then sums of products.
-
-    Each task adds up five k x k matrices over its batches and emits one row per
-    pair, so the shuffle does not grow with the rows.
-    """
     numbers = df.select(*[quoted(c).cast("double").alias(c) for c in columns])
     stats = [
         F.struct(
@@ -381,12 +365,13 @@ def _correlations_by_products(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def feature_importance(
-    df: DataFrame, top: int = TOP_FEATURES, ratios: dict[str, float] | None = None
+    df: DataFrame, top: int | None = TOP_FEATURES, ratios: dict[str, float] | None = None
 ) -> DataFrame:
     """Columns by importance: spread and correlation of numbers, cardinality of the rest.
 
     Dates are left out. Ties keep numbers first, then table order. ``ratios``
     (distinct values per row) saves counting them when a profile has done so.
+    ``top`` bounds the listing; None gives every column.
     """
     df = without_nan(df)
     kinds = {f.name: type_label(f.dataType) for f in df.schema.fields}
@@ -438,11 +423,9 @@ def feature_importance(
     for part in parts[1:]:
         scored = scored.unionByName(part)
     ranked = scored.join(F.broadcast(order), "feature")
-    return (
-        ranked.orderBy(F.desc("importance_score"), "rank_group", "position")
-        .limit(top)
-        .select("feature", "type", "variance", "mean_abs_correlation", "cardinality_ratio", "importance_score")
-    )
+    ordered = ranked.orderBy(F.desc("importance_score"), "rank_group", "position")
+    listed = ordered if top is None else ordered.limit(top)
+    return listed.select("feature", "type", "variance", "mean_abs_correlation", "cardinality_ratio", "importance_score")
 
 
 # ---------------------------------------------------------------- quality

@@ -6,21 +6,20 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tablewright.durable import BROADCAST_ROWS, broadcast_if_small
 from tablewright.functions import text
 from tablewright.operators.frequency import complete, quoted
 from tablewright.operators.ordering import number_rows
 from tablewright.operators.questions import ranked
 from tablewright.plans.spec import repeated, typed
 
-IDS, CATEGORIES, NUMBERS, DATES = 3, 3, 3, 2
-
 
 def staging(df: DataFrame, roles: dict[str, list[str]], loaded_at: Column | None = None) -> DataFrame:
-    """Ids, trimmed categories, rounded numbers, dates and load time; the first id is required."""
+    """Ids, trimmed categories, rounded numbers, dates and load time; the first id is required.
+
+    Every column that has one of these roles is kept.
+    """
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    ids, categories = roles.get("id", [])[:IDS], roles.get("categorical", [])[:CATEGORIES]
-    numbers, dates = roles.get("numeric", [])[:NUMBERS], roles.get("date", [])[:DATES]
+    ids, categories, numbers, dates = (roles.get(role, []) for role in ("id", "categorical", "numeric", "date"))
     columns = [quoted(c) for c in ids]
     columns += [text.strip(quoted(c)).alias(c) for c in categories]
     columns += [F.round(quoted(c).cast("double"), 2).alias(c) for c in numbers]
@@ -42,14 +41,14 @@ def intermediate(staged: DataFrame, group: str, metric: str) -> DataFrame:
     return ranked(grouped, f"total_{metric}")
 
 
-def mart(staged: DataFrame, aggregated: DataFrame, group: str, metric: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def mart(staged: DataFrame, aggregated: DataFrame, group: str, metric: str) -> DataFrame:
     """Every staged row with the count, sum and average of its group.
 
-    The aggregates are broadcast when there are few; otherwise the join shuffles
-    and AQE splits a group that holds a large share of the rows.
+    Spark broadcasts the aggregates when they turn out small; otherwise the join
+    shuffles and AQE splits a group that holds a large share of the rows.
     """
     added = aggregated.select(quoted(group), "record_count", quoted(f"total_{metric}"), quoted(f"avg_{metric}"))
-    return staged.join(broadcast_if_small(added, max_rows), group, "left")
+    return staged.join(added, group, "left")
 
 
 def order_totals(sales: DataFrame, order: str = "order_id", keep: tuple[str, ...] = ("city",)) -> DataFrame:

@@ -52,13 +52,6 @@ class DatasetSpec:
     transformation_rules: dict = field(default_factory=dict)
     aggregation_rules: dict = field(default_factory=dict)
     query_patterns: dict = field(default_factory=dict)
-    report_columns: list[str] = field(default_factory=list)
-    report_aggregations: list[str] = field(default_factory=list)
-    primary_key: str = ""
-    date_column: str = ""
-    category_columns: list[str] = field(default_factory=list)
-    numeric_columns: list[str] = field(default_factory=list)
-    text_columns: list[str] = field(default_factory=list)
 
     def save(self, path: str) -> None:
         with open(path, "w", encoding="utf-8") as f:
@@ -90,17 +83,7 @@ def spec_from_types(name: str, types: list[dict]) -> DatasetSpec:
         ColumnSpec(t["column_name"], t["data_type"], f"Auto-detected {t['data_type']} column", t["is_required"])
         for t in types
     ]
-    by_type = {k: [c.name for c in columns if c.data_type in v] for k, v in {
-        "date": ["date"], "category": ["string"], "numeric": ["integer", "float"], "text": ["text"],
-    }.items()}
-    return DatasetSpec(
-        name=name,
-        columns=columns,
-        date_column=(by_type["date"] or [""])[-1],
-        category_columns=by_type["category"],
-        numeric_columns=by_type["numeric"],
-        text_columns=by_type["text"],
-    )
+    return DatasetSpec(name=name, columns=columns)
 
 
 # ---------------------------------------------------------------- types and rows

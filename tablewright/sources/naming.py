@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import re
+import string
+from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame
 
@@ -14,11 +17,15 @@ def is_identifier(name: object) -> bool:
     return isinstance(name, str) and IDENTIFIER.fullmatch(name) is not None
 
 
+# Characters of a table name; any other becomes an underscore.
+_TABLE_CHARACTERS = frozenset(string.ascii_letters + string.digits)
+
+
 def table_name(file_name: str) -> str:
     """'2024 Sales-Q1.csv' -> '_sales_q1'; 'data_table' when nothing is left."""
-    stem = file_name.rsplit(".", 1)[0] if "." in file_name.lstrip(".") else file_name
-    safe = re.sub(r"[^a-zA-Z0-9]", "_", stem).lstrip("0123456789")
-    return safe.lower() or "data_table"
+    name = PurePosixPath(file_name.replace("/", "_"))
+    marks = (c.lower() if c in _TABLE_CHARACTERS else "_" for c in name.stem)
+    return "".join(itertools.dropwhile(str.isdigit, marks)) or "data_table"
 
 
 def stage_names(file_name: str) -> tuple[str, str]:
@@ -30,12 +37,15 @@ def stage_names(file_name: str) -> tuple[str, str]:
     return table_name(f"{stem}_raw"), table_name(f"{stem}_clean")
 
 
+# A word of a column name: letters and digits; other symbols than these separators are passed over.
+_SEPARATORS = re.compile(r"[ _-]+")
+
+
 def column_name(name: object) -> str:
     """Lower case, words joined by single underscores, other symbols dropped."""
-    text = "" if name is None else str(name).lower().strip()
-    text = text.replace(" ", "_").replace("-", "_")
-    text = "".join(ch for ch in text if ch.isalnum() or ch == "_")
-    return re.sub(r"_+", "_", text).strip("_") or "unnamed_column"
+    pieces = _SEPARATORS.split(str(name or "").strip().lower()) if name is not None else []
+    words = ["".join(filter(str.isalnum, piece)) for piece in pieces]
+    return "_".join(filter(None, words)) or "unnamed_column"
 
 
 def column_names(names: list) -> list[str]:

@@ -86,6 +86,8 @@ def preview(df: DataFrame, n: int, order_by: list[str]) -> DataFrame:
     return _first(df, n, order_by)
 
 
-def page(df: DataFrame, n: int, order_by: list[str]) -> DataFrame:
-    """The first ``n`` rows; a limit outside 1..10000 becomes 100."""
-    return _first(df, n if 1 <= n <= PAGE_LIMIT else DEFAULT_PAGE, order_by)
+def page(df: DataFrame, order_by: list[str], n: int = DEFAULT_PAGE) -> DataFrame:
+    """The first ``n`` rows; between 1 and 10000 or an error."""
+    if not 1 <= n <= PAGE_LIMIT:
+        raise ValueError(f"limit must be between 1 and {PAGE_LIMIT}")
+    return _first(df, n, order_by)

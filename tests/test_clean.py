@@ -2,6 +2,7 @@
 
 import datetime
 import random
+from decimal import Decimal
 
 import pandas as pd
 import pytest
@@ -182,3 +183,26 @@ def test_lazy_parts_agree_with_the_written_stage(spark):
 def test_a_plan_may_keep_copies(spark):
     done = c.clean(dirty(spark), plan={"price": ["parse_numeric"]}, order_by=["order_id"], drop_duplicates=False)
     assert done.data.count() == 5 and done.plan == {"price": ["parse_numeric"]}
+
+
+def test_whole_numbers_and_amounts_stay_exact(spark):
+    ids = [9007199254740992, 9007199254740993, None, 9007199254740992]
+    df = spark.createDataFrame([(i, None if i is None else Decimal(i) / 4) for i in ids], "k long, amount decimal(25, 2)")
+    out = c.impute(df)
+    assert out.schema.simpleString() == "struct<k:bigint,amount:decimal(25,2)>"
+    assert {r["k"] for r in out.collect()} >= set(ids) - {None}
+    assert {r["amount"] for r in out.collect()} >= {Decimal("2251799813685248.00"), Decimal("2251799813685248.25")}
+
+
+def test_empty_and_incomplete_rows_are_not_filled(spark):
+    rows = [(1, 2.0, "a"), (2, None, "b"), (None, 5.0, "c"), (None, None, None), (3, 4.0, None)]
+    done = c.clean(spark.createDataFrame(rows, "order_id long, amount double, note string"))
+    assert sorted(r["order_id"] for r in done.data.collect()) == [1, 2, 3]
+    removed = {r["strategy"]: r["rows_removed"] for r in done.log.collect() if r["rows_removed"]}
+    assert removed == {"all_columns_null": 1, "required_columns_null": 1}
+
+
+def test_dates_without_order_fail_before_the_work(spark):
+    df = spark.createDataFrame([(1, None), (2, datetime.datetime(2024, 1, 1))], "k long, day timestamp_ntz")
+    with pytest.raises(ValueError, match="order_by"):
+        c.clean(df)

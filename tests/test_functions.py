@@ -19,9 +19,9 @@ def test_strip_removes_all_white_space(spark):
 
 
 def test_number_words_cover_zero_to_ninety_nine(spark):
-    tens = ["", "", *text.ROUND_TENS]
+    tens, small = ["", "", *text.ROUND_TENS], list(text.SMALL_NUMBERS)
     words = [
-        text.SMALL_NUMBERS[n] if n < 20 else (tens[n // 10] + ("-" + text.SMALL_NUMBERS[n % 10] if n % 10 else ""))
+        small[n] if n < 20 else (tens[n // 10] + ("-" + small[n % 10] if n % 10 else ""))
         for n in range(100)
     ]
     assert one(spark, words, text.number_words) == [str(n) for n in range(100)]
@@ -124,3 +124,13 @@ def test_constants_stay_constant_when_partial_results_are_merged(spark):
         measures.pairwise_corr(F.col("a"), F.col("c")).alias("ac"), measures.pairwise_corr(F.col("b"), F.col("d")).alias("bd"),
     ).first()
     assert tuple(row) == (0.0, 0.0, 0.0, 0.0)
+
+
+def test_more_date_forms(spark):
+    values = ["2024-01-05T10:00:00Z", "2024-01-05T12:00:00+02:00", "25-01-2024", "05-01-2024", "01/25/24", "01/05/2024 10:30", "01/05/2024 10:30 PM",
+              "2024-01-05 10:30 AM", "20240105", "5-Jan-2024", "20241305", "32-01-2024", "12345678"]
+    found = [None if v is None else v.isoformat() for v in one(spark, values, parse.parse_timestamp)]
+    assert found == [
+        "2024-01-05T10:00:00", "2024-01-05T10:00:00", "2024-01-25T00:00:00", "2024-05-01T00:00:00", "2024-01-25T00:00:00", "2024-01-05T10:30:00",
+        "2024-01-05T22:30:00", "2024-01-05T10:30:00", "2024-01-05T00:00:00", "2024-01-05T00:00:00", None, None, None,
+    ]

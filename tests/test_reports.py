@@ -6,7 +6,6 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F, types as T
 
-from tablewright.durable import broadcast_if_small
 from tablewright.operators import charts, questions as q
 from tablewright.plans import models, patterns, presets, spec as specs
 
@@ -106,16 +105,29 @@ def test_percentages_sum_to_hundred(shares):
     assert sum(r["percentage"] for r in q.distribution(shares, "exchange").collect()) == pytest.approx(100, abs=0.05)
 
 
-def test_mart_gives_the_same_rows_with_and_without_broadcast(spark):
+def test_mart_keeps_every_row_and_starts_no_job(spark):
     rows = [("hot", float(i)) for i in range(300)] + [(f"g{i}", 1.0) for i in range(50)] + [(None, 2.0)]
     staged = spark.createDataFrame(rows, "g string, v double")
-    grouped = models.intermediate(staged, "g", "v")
-    small = models.mart(staged, grouped, "g", "v")
-    large = models.mart(staged, grouped, "g", "v", max_rows=10)
-    assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
-    assert small.count() == len(rows)
-    assert "broadcast" in small._jdf.queryExecution().optimizedPlan().toString().lower()
-    assert broadcast_if_small(grouped, 10) is grouped
+    spark.sparkContext.setJobGroup("mart", "")
+    joined = models.mart(staged, models.intermediate(staged, "g", "v"), "g", "v")
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("mart")
+    assert "hint" not in joined._jdf.queryExecution().optimizedPlan().toString().lower()
+    found = joined.collect()
+    assert len(found) == len(rows)
+    assert {r["record_count"] for r in found if r["g"] == "hot"} == {300}
+
+
+def test_staging_keeps_every_column_with_a_role(spark):
+    names = {"id": ["i1", "i2", "i3", "i4"], "categorical": ["c1", "c2", "c3", "c4"], "numeric": ["n1", "n2", "n3", "n4"], "date": ["d1", "d2", "d3"]}
+    kinds = {"id": "long", "categorical": "string", "numeric": "double", "date": "date"}
+    df = spark.createDataFrame([], ", ".join(f"{c} {kinds[k]}" for k, cs in names.items() for c in cs))
+    assert models.staging(df, names).columns == [*(c for cs in names.values() for c in cs), "_loaded_at"]
+
+
+@pytest.mark.parametrize("wanted, found", [(">5", 4), (" = 2 ", 1), ("<=1", 2)])
+def test_typed_numbers_are_compared_however_many_are_null(spark, wanted, found):
+    df = spark.createDataFrame([(float(i),) for i in range(10)] + [(None,)] * 30, "x double")
+    assert charts.view_filter(df, "x", wanted).count() == found
 
 
 def test_data_tests_find_planted_failures(spark):

@@ -71,8 +71,11 @@ def test_preview_bounds(spark):
     for n in (0, 1001):
         with pytest.raises(ValueError):
             tables.preview(df, n, ["k"])
-    assert tables.page(df, 2000, ["k"]).count() == 2000
-    assert tables.page(df, 0, ["k"]).count() == 100
+    assert tables.page(df, ["k"], 2000).count() == 2000
+    assert tables.page(df, ["k"]).count() == 100
+    for n in (0, 10_001):
+        with pytest.raises(ValueError):
+            tables.page(df, ["k"], n)
 
 
 def test_table_names_are_checked(spark):
