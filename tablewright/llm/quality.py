@@ -121,4 +121,6 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str =
     names = [f"_own_{i}" for i in range(len(docs.columns))]
     packed = docs.toDF(*names)
     judged = judge(packed, rules, names[docs.columns.index(text_col)])
-    return judged.where("kept").select(*names).toDF(*docs.columns)
+    # Needed by the filter, the row number keeps it above the counts; pushed below them it would repeat them for each rule.
+    numbered = judged.withColumn("_row", F.monotonically_increasing_id())
+    return numbered.where("kept and _row >= 0").select(*names).toDF(*docs.columns)
