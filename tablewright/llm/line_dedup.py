@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tablewright.llm.common import groups, meetings, small_batches, written
 from tablewright.llm.components import components
 
-#: Edits that two lines may be apart, and the characters of a line for each edit; shorter lines are left alone.
+#: Edits that two lines may be apart, and the characters of a line for each edit; shorter lines have only exact copies.
 THRESHOLD, CHARS_PER_EDIT = 2, 16
 #: Rows of a key that a task holds, and those it lets pass by them.
 HELD, PASSING = 512, 8192
@@ -274,27 +274,27 @@ def links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return first.unionByName(shared.transform(small_batches).mapInArrow(_connected(threshold), "a long, b long"))
 
 
-def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, mark, place, line, chars) for each line long enough; ``mark`` tells texts of one id apart."""
+def _occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+    """(id, mark, place, line) for each line long enough; ``mark`` tells texts of one id apart."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), F.posexplode(F.split(text, "\n")).alias("place", "line"))
     line = F.trim(F.regexp_replace("line", r"[\x09-\x0D]+", " "))
-    return found.withColumn("line", line).where(F.length("line") >= CHARS_PER_EDIT)
+    return found.withColumn("line", line).where(F.length("line") >= max(min_chars, 1))
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = 1) -> DataFrame:
     """(id, mark, places): numbers of the lines of each text that repeat an earlier line of the corpus.
 
-    Lines are compared without white space around them; lines of fewer than ``CHARS_PER_EDIT`` characters never
-    count as repeats. Near lines form classes by reachability. The earliest line of a class, by id, then ``mark``,
+    Lines are compared without white space around them; lines of fewer than ``min_chars`` characters, and blank ones,
+    never count as repeats. Lines of fewer than ``CHARS_PER_EDIT`` repeat exact copies only. Near lines form classes by reachability. The earliest line of a class, by id, then ``mark``,
     then place, is no repeat; rows equal in id and text are one text. Texts without repeats have no row.
     """
-    seen = _occurrences(docs, id_col, text_col)
+    seen = _occurrences(docs, id_col, text_col, min_chars)
     first = F.min(F.struct("id", "mark", "place")).alias("first")
     per_text = seen.groupBy("line").agg(first, F.count("*").alias("n"))
     fields = "node long, line string, first struct<id: {}, mark: long, place: int>, n long".format(docs.schema[id_col].dataType.simpleString())
     lines = written(per_text.transform(small_batches).mapInArrow(_numbered, fields), "lines")
-    classes = components(links(lines, threshold))
+    classes = components(links(lines.where(F.length("line") >= CHARS_PER_EDIT), threshold))
     named = lines.select("node", F.md5("line").alias("digest"), "first", "n").join(classes, "node", "left")
     named = written(named.select("digest", "first", "n", F.coalesce("component", "node").alias("class")), "line-classes")
     heads = named.groupBy("class").agg(F.min("first").alias("head"), F.sum("n").alias("total")).where("total > 1")
@@ -304,12 +304,13 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return places.where(later).groupBy("id", "mark").agg(F.sort_array(F.collect_set("place")).alias("places"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_kept: float = 0.0) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_kept: float = 0.0, min_chars: int = CHARS_PER_EDIT) -> DataFrame:
     """``docs`` with repeated lines taken out of the texts; a null text stays null, an empty table stays empty.
 
+    Lines of fewer than ``min_chars`` characters stay, as prose and dialogue repeat them by chance.
     A row of which less than the share ``min_kept`` of its characters is left, though it had repeats, is dropped.
     """
-    places = repeated_lines(docs, id_col, text_col, threshold)
+    places = repeated_lines(docs, id_col, text_col, threshold, min_chars)
     names = [f"_own_{i}" for i in range(len(docs.columns))]
     own_id, own_text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
     mark = F.xxhash64(F.coalesce(F.col(own_text), F.lit("")))
