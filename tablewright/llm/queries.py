@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablewright.durable import scratch_path
-from tablewright.llm import byte_bpe, chat, cover_tree, edit_counts, line_dedup, mixing, packing, quality, simhash, twins, warc
+from tablewright.llm import byte_bpe, chat, cover_tree, edit_counts, line_dedup, merkle, mixing, packing, quality, simhash, twins, vantage, variants, warc
 from tablewright.llm.common import table
 
 
@@ -86,5 +86,24 @@ def op9_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_line_dedup, op3_quality_rules, op4_packing, op5_simhash, op6_byte_bpe, op7_edit_counts, op8_reply_trees, op9_context_mixing, op10_cover_tree)}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in the manifest, and whether the root shows that its text was tampered with."""
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    lowered = F.when(tampered, F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise(F.col("text"))
+    return merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], {"text": lowered})
+
+
+def op12_vantage_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors to every twentieth one; factor one, so that none is missed."""
+    found = vantage.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(variants.vocabulary(table(spark, sf_dir, "documents"), drop=97))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_line_dedup, op3_quality_rules, op4_packing, op5_simhash, op6_byte_bpe, op7_edit_counts, op8_reply_trees, op9_context_mixing, op10_cover_tree, op11_merkle, op12_vantage_points, op13_spelling_variants)}
 ORACLES = {"op1_warc_revisits": twins.WARC_REVISITS, "op3_quality_rules": twins.QUALITY_RULES, "op8_reply_trees": twins.REPLY_TREES}
+ORACLES |= {"op11_merkle": twins.MERKLE, "op12_vantage_points": twins.VANTAGE_POINTS, "op13_spelling_variants": twins.SPELLING_VARIANTS}

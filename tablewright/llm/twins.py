@@ -1,6 +1,6 @@
 """SQL twins of the queries that SQL can express."""
 
-from tablewright.llm import chat, quality, warc
+from tablewright.llm import chat, quality, vantage, variants, warc
 
 _STOP = ", ".join(f"'{w}', '{w.capitalize()}'" for w in quality.STOP_WORDS)
 _TESTS = " AND ".join(
@@ -67,3 +67,127 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   ({len(chat.START)} + sum(chars))::BIGINT AS formatted_chars
 FROM sized GROUP BY conv_id
 """
+
+
+def _crc_table() -> list[int]:
+    """CRC-32 of every byte, by its polynomial."""
+    out = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        out.append(value)
+    return out
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes in SQL."""
+    digits = f"hex(encode({text}))"
+    values = f"list_transform(range(length({digits}) // 2), lambda i: ('0x' || substr({digits}, 2 * i + 1, 2))::BIGINT)"
+    step = f"lambda s, b: xor(s >> 8, list_extract({_crc_table()}::BIGINT[], (xor(s, b) & 255) + 1))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {values}), {step}), 4294967295)"
+
+
+def _field(name: str) -> str:
+    return f"coalesce(strlen({name}::VARCHAR) || ':' || {name}::VARCHAR, '-')"
+
+
+_FIELDS = ["doc_id", "source", "lang", "n_chars"]
+_LEAF = "sha256(" + " || ".join(_field(f) for f in _FIELDS) + " || {text})"
+
+MERKLE = f"""
+WITH RECURSIVE d AS (
+  SELECT *, {_crc32("doc_id::VARCHAR")} % 5 = 0 AS tampered FROM documents
+), hashed AS (
+  SELECT doc_id, source, {_LEAF.format(text=_field("text"))} AS leaf,
+    CASE WHEN tampered THEN {_LEAF.format(text=_field("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"))} END AS changed
+  FROM d
+), placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, count(*) OVER (PARTITION BY source) AS n,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos
+  FROM hashed
+), low AS (
+  SELECT 0 AS level, tree, pos, n, leaf AS digest FROM placed
+  UNION ALL
+  SELECT level + 1, tree, pos // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos)) FROM low WHERE n > 1 GROUP BY level, tree, pos // 16, n
+), subroots AS (
+  SELECT tree, level AS height, digest FROM low WHERE n = 1
+), high AS (
+  SELECT 0 AS level, tree AS pos, (SELECT count(*) FROM subroots) AS n, digest FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos)) FROM high WHERE n > 1 GROUP BY level, pos // 16, n
+), every AS (
+  SELECT level, tree, pos, n, digest FROM low WHERE n > 1
+  UNION ALL
+  SELECT level + 1000, -1, pos, n, digest FROM high WHERE n > 1
+), fold AS (
+  SELECT row_number() OVER (ORDER BY tree, pos) AS row, CASE WHEN n > 1 THEN 0 ELSE 1000 END AS level, CASE WHEN n > 1 THEN tree ELSE -1 END AS inside, CASE WHEN n > 1 THEN pos ELSE tree END AS pos,
+    tree, height, coalesce(changed, leaf) AS digest, ''::VARCHAR AS beside
+  FROM placed JOIN subroots USING (tree)
+  UNION ALL
+  SELECT row, CASE WHEN inside >= 0 AND level + 1 = height THEN 1000 ELSE level + 1 END, CASE WHEN level + 1 = height THEN -1 ELSE inside END,
+    CASE WHEN inside >= 0 AND level + 1 = height THEN tree ELSE pos // 16 END, tree, height, sha256(string_agg(value, '' ORDER BY place)),
+    beside || coalesce(string_agg(value, '' ORDER BY place) FILTER (place <> pos), '')
+  FROM (
+    SELECT f.row, f.level, f.inside, f.pos, f.tree, f.height, f.beside, e.pos AS place, CASE WHEN e.pos = f.pos THEN f.digest ELSE e.digest END AS value
+    FROM fold f JOIN every e ON e.level = f.level AND e.tree = f.inside AND e.pos // 16 = f.pos // 16
+  )
+  GROUP BY row, level, inside, pos, tree, height, beside
+), ended AS (
+  SELECT row, arg_max(digest, level) AS folded_root, arg_max(beside, level) AS beside FROM fold GROUP BY row
+), numbered AS (
+  SELECT row_number() OVER (ORDER BY tree, pos) AS row, doc_id, leaf, tree FROM placed JOIN subroots USING (tree)
+), root AS (
+  SELECT digest AS root FROM high WHERE n = 1
+)
+SELECT doc_id, leaf, digest AS subroot, root, sha256(beside) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM numbered JOIN ended USING (row) JOIN subroots USING (tree), root
+"""
+
+VANTAGE_POINTS = f"""
+WITH v AS (
+  SELECT row_number() OVER () AS row, vec_id, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+    AND len(list_filter(embedding, lambda e: e <> 0)) > 0
+), p AS (
+  SELECT q.row, q.vec_id AS query_id, c.row AS other, c.vec_id, list_inner_product(q.x, c.x) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.row <> c.row AND len(q.x) = len(c.x)
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id, other)::INTEGER AS rank FROM p
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {vantage.NEIGHBOURS}
+"""
+
+SPELLING_VARIANTS = f"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+), counted AS (
+  SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= {variants.MIN_CHARS} GROUP BY doc_id, run
+), marked AS (
+  SELECT run, n, {_crc32("doc_id || ':' || run")} AS h FROM counted
+), words AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+  FROM marked GROUP BY 1 HAVING length(word) >= {variants.MIN_CHARS} AND sum(n) >= {variants.MIN_COUNT}
+), cut AS (
+  SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+), pairs AS (
+  SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION
+  SELECT c.word, w.word FROM cut c JOIN words w ON c.rest = w.word
+  UNION
+  SELECT w.word, c.word FROM cut c JOIN words w ON c.rest = w.word
+), near AS (
+  SELECT p.word, count(*) AS n_near, arg_min(p.other, {{'less': -o.n, 'other': p.other}}) AS best, max(o.n) AS best_n
+  FROM pairs p JOIN words o ON o.word = p.other GROUP BY p.word
+), formed AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= {variants.DOMINANCE} * n THEN best END AS form,
+    CASE WHEN best_n >= {variants.DOMINANCE} * n THEN best_n END AS form_n
+  FROM words LEFT JOIN near USING (word)
+), chain AS (
+  SELECT word, word AS last, 0 AS depth FROM words
+  UNION ALL
+  SELECT c.word, f.form, depth + 1 FROM chain c JOIN formed f ON f.word = c.last WHERE f.form IS NOT NULL
+), ends AS (
+  SELECT word, arg_max(last, depth) AS root FROM chain GROUP BY word
+)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)
+"""
