@@ -12,4 +12,4 @@ def test_query_equals_its_sql(spark, sf_dir, name):
 
 def test_every_operator_is_registered():
     names = entry.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
