@@ -13,25 +13,39 @@ from tablewright.llm.common import groups, meetings, small_batches, written
 #: Words are runs of these letters.
 RUN = "[A-Za-zÀ-ÿ]+"
 MIN_CHARS, MIN_COUNT = 5, 3
-#: Letters fall into so many groups by code point; the counts of the first few are a word's shard.
-GROUPS, SHARD = 13, 3
+#: Letters fall into so many groups by code point, each of a-z into one of its own. Groups are taken in the order of
+#: their letters here, frequent ones first; the counts of the first few and the length are a word's shard.
+GROUPS, SHARD, ORDER = 32, 3, "eaoinrtslucdmpghbvfyqxzjwk"
 #: A word has to be found so many times as often as its variant.
 DOMINANCE = 2
 #: Words whose trie a task holds, and those that it looks up in it.
-HELD, PASSING = 4096, 16384
+HELD, PASSING = 16_384, 131_072
 #: So few words below a node of a trie are looked at without going further down.
 LEAF = 8
+#: Letters of words compared as numbers; longer ones are compared as text.
+WIDTH = 32
 #: Far above the logarithm of any chain of forms.
 MAX_ROUNDS = 60
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+_first = [ord(c) % GROUPS for c in ORDER]
+#: The place of each group among a word's counts.
+_PLACE = np.argsort(_first + [g for g in range(GROUPS) if g not in _first])
+
+
 def vectors(words: list[str]) -> np.ndarray:
     """The counts of each word's letters by group."""
     sizes = np.array([len(w) for w in words])
-    codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64) % GROUPS
+    codes = _PLACE[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32) % GROUPS]
     owner = np.repeat(np.arange(len(words)), sizes)
-    return np.bincount(owner * GROUPS + codes, minlength=len(words) * GROUPS).reshape(len(words), GROUPS)
+    return np.bincount(owner * GROUPS + codes, minlength=len(words) * GROUPS).reshape(len(words), GROUPS).astype(np.int32)
+
+
+def shards(words: list[str]) -> np.ndarray:
+    """The counts of each word's first groups, and the number of its other letters."""
+    counts = vectors(words)
+    return np.column_stack([counts[:, :SHARD], counts[:, SHARD:].sum(axis=1)])
 
 
 def one_edit(a: str, b: str) -> bool:
@@ -50,25 +64,53 @@ def one_edit(a: str, b: str) -> bool:
     return a[low + (len(a) == len(b)) :] == b[low + 1 :]
 
 
-def reachable(prefix: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
-    """Prefixes that a surplus and a deficit of one each lead to, with what is spent (1: surplus, 2: deficit)."""
-    base, out = tuple(prefix.tolist()), [(tuple(prefix.tolist()), 0)]
-    for i in range(len(base)):
+def reachable(shard: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """Shards that a surplus and a deficit of one each lead to, own one first, with what the first groups spend of them (1: surplus, 2: deficit)."""
+    base = tuple(shard.tolist())
+    out = [(base, 0)]
+    steps = [(i, 1 if i < SHARD else 0) for i in range(SHARD + 1)]
+    for i, cost in steps:
         more = (*base[:i], base[i] + 1, *base[i + 1 :])
-        out.append((more, 1))
-        for source, spent in ((base, 2), (more, 3)):
-            for j in range(len(base)):
-                if source[j] and (spent == 2 and j == i or spent == 3 and j != i):
-                    out.append(((*source[:j], source[j] - 1, *source[j + 1 :]), spent))
+        out.append((more, cost))
+        if base[i]:
+            out.append(((*base[:i], base[i] - 1, *base[i + 1 :]), 2 * cost))
+        out += [((*more[:j], more[j] - 1, *more[j + 1 :]), cost + 2 * other) for j, other in steps if j != i and more[j]]
     return out
 
 
+class Spelled:
+    """Words as rows of letters from the left and from the right, as far as ``WIDTH`` letters."""
+
+    def __init__(self, words: list[str]):
+        self.words, self.sizes = words, np.array([len(w) for w in words])
+        self.left, self.right = (self._letters([cut(w) for w in words]) for cut in (lambda w: w[:WIDTH].ljust(WIDTH, "\0"), lambda w: w[-WIDTH:].rjust(WIDTH, "\0")))
+
+    @staticmethod
+    def _letters(rows: list[str]) -> np.ndarray:
+        text = "".join(rows)
+        wide = max(text, default="") > "\xff"
+        return np.frombuffer(text.encode("utf-32-le" if wide else "latin-1"), np.uint32 if wide else np.uint8).reshape(-1, WIDTH)
+
+    def near(self, place: int, other: Spelled, places: np.ndarray) -> np.ndarray:
+        """Those of the other's places whose words are one edit from the word at ``place``.
+
+        One edit leaves all of the longer word but a letter to a common beginning and a common end.
+        """
+        size = self.sizes[place]
+        places = places[np.abs(other.sizes[places] - size) <= 1]
+        if size >= WIDTH:
+            return np.array([i for i in places.tolist() if one_edit(self.words[place], other.words[i])], int)
+        apart = other.left[places] != self.left[place]
+        same = apart.argmax(axis=1) + (other.right[places] != self.right[place])[:, ::-1].argmax(axis=1)
+        return places[(same >= np.maximum(other.sizes[places], size) - 1) & apart.any(axis=1)]
+
+
 class Trie:
     """Words arranged by successive letter-group counts: sorted vectors, of which a node is a range with one beginning."""
 
     def __init__(self, words: list[str], counts: np.ndarray):
         order = np.lexsort(counts.T[::-1]) if len(words) else np.zeros(0, int)
-        self.words, self.order, self.counts = [words[i] for i in order], order, counts[order]
+        self.order, self.counts, self.words = order, counts[order], Spelled([words[i] for i in order])
 
     def search(self, words: list[str], counts: np.ndarray, spent: np.ndarray) -> Iterator[tuple[int, int]]:
         """(place of a word looked up, place of a held word) for each two within one edit.
@@ -76,11 +118,12 @@ class Trie:
         Goes down depth first with all words that still have budget: a child's count may exceed a word's by one
         once (surplus) and fall short of it by one once (deficit). Words at the leaves are compared themselves.
         """
-        stack = [(SHARD, 0, len(self.words), np.arange(len(words)), (spent & 1).astype(bool), (spent & 2).astype(bool))]
+        spelled = Spelled(words)
+        stack = [(SHARD, 0, len(self.order), np.arange(len(words)), (spent & 1).astype(bool), (spent & 2).astype(bool))]
         while stack:
             level, low, high, at, surplus, deficit = stack.pop()
             if high - low <= LEAF or level == GROUPS or (self.counts[low, level:] == self.counts[high - 1, level:]).all():
-                yield from self._leaf(level, low, high, words, counts, at, surplus, deficit)
+                yield from self._leaf(level, low, high, spelled, counts, at, surplus, deficit)
                 continue
             column, own = self.counts[low:high, level], counts[at, level]
             cuts = np.flatnonzero(np.diff(column)) + low + 1
@@ -90,27 +133,28 @@ class Trie:
                 if open_.any():
                     stack.append((level + 1, a, b, at[open_], surplus[open_] | (apart[open_] == 1), deficit[open_] | (apart[open_] == -1)))
 
-    def _leaf(self, level: int, low: int, high: int, words: list[str], counts: np.ndarray, at: np.ndarray, surplus: np.ndarray, deficit: np.ndarray) -> Iterator[tuple[int, int]]:
+    def _leaf(self, level: int, low: int, high: int, words: Spelled, counts: np.ndarray, at: np.ndarray, surplus: np.ndarray, deficit: np.ndarray) -> Iterator[tuple[int, int]]:
         one = (self.counts[low, level:] == self.counts[high - 1, level:]).all()
         for held in range(low, high):
             if held == low or not one:
                 apart = self.counts[held, level:] - counts[at, level:]
                 good = (np.maximum(apart, 0).sum(axis=1) <= ~surplus) & (np.maximum(-apart, 0).sum(axis=1) <= ~deficit)
-                some = at[good].tolist()
-            word = self.words[held]
-            for i in some:
-                if one_edit(word, words[i]):
-                    yield i, int(self.order[held])
+                some = at[good]
+            for i in self.words.near(held, words, some).tolist():
+                yield i, int(self.order[held])
+
+
+#: Of a word looked up in another shard than its own.
+FOREIGN = 4
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A word's shard (held) and the shards it looks itself up in."""
+    """A word's shard (held) and those that it looks itself up in: its own, and of the others those behind it in order."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        prefixes = vectors(batch.column("word").to_pylist())[:, :SHARD]
-        kept, around = np.unique(prefixes, axis=0, return_inverse=True)
-        near = [reachable(p) for p in kept]
+        kept, around = np.unique(shards(batch.column("word").to_pylist()), axis=0, return_inverse=True)
+        near = [[(s, k + FOREIGN * bool(i)) for i, (s, k) in enumerate(reachable(p)) if i == 0 or s > tuple(p.tolist())] for p in kept]
         which = [near[i] for i in around.ravel()]
         source = np.repeat(np.arange(batch.num_rows), [len(w) for w in which])
         rows = batch.take(pa.array(source))
@@ -120,21 +164,27 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each word looked up how many held words are near it, and the most frequent of these."""
+    """Of each word how many near words a block and a slice show, and the most frequent of these.
+
+    In their own shard all words are held and looked up; a pair of two shards is met once and counts for both.
+    """
     for _, rows in groups(batches, ["shard", "block", "slice"]):
         held = int((rows["side"].to_numpy() == 0).sum())
-        words, n = rows["word"].to_pylist(), rows["n"].to_pylist()
+        words, n, spent = rows["word"].to_pylist(), rows["n"].to_pylist(), rows["spent"].to_numpy()
         if not 0 < held < len(words):
             continue
-        counts = vectors(words)
-        near: dict[int, int] = {}
-        best: dict[int, tuple[int, str]] = {}
-        passing = words[held:]
-        for i, j in Trie(words[:held], counts[:held]).search(passing, counts[held:], rows["spent"].to_numpy()[held:]):
-            near[i] = near.get(i, 0) + 1
-            best[i] = min(best.get(i, (1, "")), (-n[j], words[j]))
-        if near:
-            arrays = [pa.array([passing[i] for i in near]), pa.array(near.values(), pa.int64()), pa.array([best[i][0] for i in near], pa.int64()), pa.array([best[i][1] for i in near])]
+        counts, near, best = vectors(words), [0] * len(words), [(1, "")] * len(words)
+        foreign = (spent & FOREIGN).tolist()
+        for i, j in Trie(words[:held], counts[:held]).search(words[held:], counts[held:], spent[held:]):
+            i += held
+            near[i] += 1
+            best[i] = min(best[i], (-n[j], words[j]))
+            if foreign[i]:
+                near[j] += 1
+                best[j] = min(best[j], (-n[i], words[i]))
+        some = np.flatnonzero(near).tolist()
+        if some:
+            arrays = [pa.array([words[i] for i in some]), pa.array([near[i] for i in some], pa.int64()), pa.array([best[i][0] for i in some], pa.int64()), pa.array([best[i][1] for i in some])]
             yield pa.RecordBatch.from_arrays(arrays, ["word", "n_near", "less", "form"])
 
 
@@ -163,8 +213,8 @@ def vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def near_words(words: DataFrame) -> DataFrame:
     """(word, n_near, best_n, best): of each word with near ones their number and the most frequent (smallest first).
 
-    Words are held in shards by the counts of the first ``SHARD`` groups and looked up in the shards that one surplus
-    and one deficit lead to, with what is left of the budget. Held words of a shard are cut into blocks and those
+    Words are held in shards by the counts of the first ``SHARD`` groups and their length, and looked up in the shards
+    that one surplus and one deficit lead to, with what is left of the budget. Held words of a shard are cut into blocks and those
     looked up into slices, so that a shard of any size is shared out; only totals leave a task, no pairs.
     """
     keys = words.select("word", "n").transform(small_batches).mapInArrow(_keys, "shard string, word string, n long, spent int")

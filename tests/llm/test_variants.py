@@ -49,19 +49,17 @@ def test_one_edit(a, b):
 @given(st.text("abcnoé", min_size=1, max_size=6), st.text("abcnoé", min_size=1, max_size=6))
 def test_words_one_edit_apart_reach_each_others_shard(a, b):
     if edits(a, b) == 1:
-        counts = variants.vectors([a, b])
-        assert tuple(counts[1][: variants.SHARD].tolist()) in {p for p, _ in variants.reachable(counts[0][: variants.SHARD])}
+        x, y = variants.shards([a, b])
+        assert tuple(y.tolist()) in {p for p, _ in variants.reachable(x)}
 
 
-def test_trie_finds_all_pairs():
+def test_trie_finds_all_pairs_of_its_shard():
     rng = random.Random(1)
     words = sorted({"".join(rng.choices("abnoé", k=rng.randint(4, 7))) for _ in range(400)})
-    counts = variants.vectors(words)
-    found = sorted(variants.Trie(words, counts).search(words, counts, np.zeros(len(words), int)))
-    shard = [tuple(c[: variants.SHARD]) for c in counts.tolist()]
-    # From the shard's level on, the counts of the first groups are the shard's business.
-    expected = sorted((i, j) for i, a in enumerate(words) for j, b in enumerate(words) if shard[i] == shard[j] and edits(a, b) == 1)
-    assert [p for p in found if shard[p[0]] == shard[p[1]]] == expected
+    counts, shard = variants.vectors(words), variants.shards(words).tolist()
+    found = set(variants.Trie(words, counts).search(words, counts, np.zeros(len(words), int)))
+    same = {(i, j) for i, a in enumerate(words) for j, b in enumerate(words) if shard[i] == shard[j] and edits(a, b) == 1}
+    assert same <= found and all(edits(words[i], words[j]) == 1 for i, j in found)
 
 
 def test_variants_of_random_words(spark):
