@@ -144,7 +144,7 @@ def workbook_semantics(spark, sf_dir):
 
 @query("p05_semantic_by_name", profile_of("SELECT column_name, named AS semantic, total_count FROM named"))
 def semantic_by_name(spark, sf_dir):
-    found = p.column_profile(views.dirty(spark, sf_dir), samples=0, dates=False)
+    found = p.null_counts(views.dirty(spark, sf_dir))
     return found.select("column_name", p.name_semantic(F.col("column_name")).alias("semantic"), "total_count")
 
 
@@ -174,9 +174,8 @@ _MEDICAL_NAMES = ", ".join(
     GROUP BY kind ORDER BY score DESC, MIN(position) LIMIT 1""",
 )
 def dataset_type(spark, sf_dir):
-    found = p.column_profile(views.medical_view(spark, sf_dir), samples=0, dates=False)
-    rows = found.agg(F.max("row_count")).scalar()
-    return p.dataset_type(found).withColumn("row_count", rows)
+    view = views.medical_view(spark, sf_dir)
+    return p.dataset_type(p.column_list(view)).withColumn("row_count", view.agg(F.count(F.lit(1))).scalar())
 
 
 @query("p08_roles", profile_of("SELECT position, column_name, semantic, role, chart_role FROM profile"))
@@ -324,7 +323,7 @@ def quality_report(spark, sf_dir):
     ),
 )
 def quality_score(spark, sf_dir):
-    return p.quality_score(p.column_profile(views.dirty(spark, sf_dir), samples=0, dates=False))
+    return p.quality_score(p.null_counts(views.dirty(spark, sf_dir)))
 
 
 @query(
@@ -381,7 +380,7 @@ def rows_with_nulls(spark, sf_dir):
     ),
 )
 def null_summary(spark, sf_dir):
-    return p.null_summary(p.column_profile(views.dirty(spark, sf_dir), samples=0, dates=False))
+    return p.null_summary(p.null_counts(views.dirty(spark, sf_dir)))
 
 
 @query(

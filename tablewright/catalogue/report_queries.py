@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablewright.catalogue import views
-from tablewright.catalogue.profile_queries import dirty_profile
+from tablewright.catalogue.profile_queries import DATE_SQL, dirty_profile, number_sql
 from tablewright.catalogue.registry import query, rounded, table
 from tablewright.operators import charts, profile
 from tablewright.sources import tables as warehouse
@@ -128,6 +128,18 @@ def last_months(spark, sf_dir):
     return rounded(charts.monthly_trend(table(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice"))
 
 
+@query(
+    "r09_text_dates",
+    views.with_views(
+        views.DIRTY_SQL,
+        then=months_sql(f"(SELECT {DATE_SQL.format(c='order_date')} AS d, COALESCE({number_sql('price')}, 0) AS v FROM dirty) t", "d", "v", "DESC"),
+    ),
+)
+def text_dates(spark, sf_dir):
+    """Dates and values as text, with bad ones among both."""
+    return rounded(charts.monthly_trend(views.dirty(spark, sf_dir), "order_date", "price"))
+
+
 @query(
     "r10_dashboard_primary",
     sales_sql("SELECT region AS category, ROUND(SUM(sales), 4) AS value FROM sales GROUP BY 1 ORDER BY SUM(sales) DESC LIMIT 10"),
@@ -173,6 +185,26 @@ def report_view(spark, sf_dir):
     return rounded(charts.chart_rows(found))
 
 
+_RAW_SQL = f""", raw AS (SELECT payment_method, {DATE_SQL.format(c='order_date')} AS order_date,
+  CASE WHEN order_id % 10 <> 0 THEN skewed_value END AS amount FROM dirty WHERE order_id IS NOT NULL),
+h AS ({histogram_sql('raw', 'amount')}), m AS ({months_sql('raw', 'order_date', 'amount', 'DESC')}),
+p AS (SELECT payment_method AS label, COALESCE(SUM(amount), 0) AS value FROM raw GROUP BY 1 ORDER BY value DESC, label NULLS LAST LIMIT 12)
+SELECT 'total' AS chart, 'rows' AS label, CAST(COUNT(*) AS DOUBLE) AS value FROM raw
+UNION ALL SELECT 'bar', label, ROUND(value, 4) FROM p
+UNION ALL SELECT 'pie', label, ROUND(value, 4) FROM (SELECT * FROM p ORDER BY value DESC LIMIT 6) t
+UNION ALL SELECT 'histogram', CAST(bin AS VARCHAR), CAST(count AS DOUBLE) FROM h
+UNION ALL SELECT 'heatmap', 'amount|amount', 1.0
+UNION ALL SELECT 'line', period, value FROM m"""
+
+
+@query("r13_report_view_text", dirty_sql(_RAW_SQL))
+def report_view_text(spark, sf_dir):
+    """All chart tables of a table of texts, a tenth of its amounts and some of its dates being none."""
+    rows = views.dirty(spark, sf_dir).where(F.col("order_id").isNotNull())
+    amount = F.when(F.col("order_id") % 10 == 0, "unpriced").otherwise(F.col("skewed_value").cast("string"))
+    return rounded(charts.chart_rows(charts.report_view(rows.select("payment_method", "order_date", amount.alias("amount")))))
+
+
 @query(
     "r13_report_view_rows",
     """SELECT * FROM customer WHERE contains(lower(c_mktsegment), 'auto') ORDER BY c_acctbal DESC, c_custkey LIMIT 200""",

@@ -36,21 +36,58 @@ DATE_FORMATS = {
 }
 
 
-def parse_number(c: Column, stripped: bool = False) -> Column:
-    """Coerce text that is already a number. ``stripped`` tells that white space is gone."""
+def number_text(c: Column, messy: bool = False, stripped: bool = False) -> Column:
+    """The digits that text stands for, ready for a cast; null where it is no number.
+
+    ``messy`` takes text such as '$1,234.50 USD' or 'twenty one' too. ``stripped`` tells that white space is gone.
+    """
     text = c if stripped else strip(c)
-    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+    found = F.when(text.rlike(NUMBER), text)
+    if not messy:
+        return found
+    digits = F.replace(F.regexp_replace(text, r"[^0-9+.,-]", ""), F.lit(","), F.lit(""))
+    return found.when(text.rlike("[0-9]"), digits).otherwise(spoken_number(text).cast("string"))
+
+
+def parse_number(c: Column, stripped: bool = False) -> Column:
+    """Coerce text that is already a number."""
+    return number_text(c, stripped=stripped).try_cast("double")
 
 
 def parse_messy_number(c: Column, stripped: bool = False) -> Column:
     """Coerce text such as '$1,234.50 USD' or 'twenty one'; plain numbers are taken as they are."""
-    text = c if stripped else strip(c)
-    digits = F.replace(F.regexp_replace(text, r"[^0-9+.,-]", ""), F.lit(","), F.lit(""))
-    return (
-        F.when(text.rlike(NUMBER), text.try_cast("double"))
-        .when(text.rlike("[0-9]"), digits.try_cast("double"))
-        .otherwise(spoken_number(text).cast("double"))
-    )
+    return number_text(c, messy=True, stripped=stripped).try_cast("double")
+
+
+# Every decimal number of so many digits is told from all others as a double.
+DOUBLE_DIGITS, LONG_DIGITS, DECIMAL_DIGITS = 15, 18, 38
+
+
+def digit_facts(digits: Column) -> dict[str, Column]:
+    """Aggregates over number texts: the most digits before and behind the point, the most of one number, exponents."""
+    plain = F.regexp_replace(digits, "^[+-]|[eE].*$", "")
+    whole = F.ltrim(F.substring_index(plain, ".", 1), F.lit("0"))
+    part = F.rtrim(F.when(plain.contains("."), F.substring_index(plain, ".", -1)).otherwise(F.lit("")), F.lit("0"))
+    own = F.length(F.ltrim(F.concat(whole, part), F.lit("0")))
+    return {
+        "whole": F.max(F.length(whole)), "scale": F.max(F.length(part)), "digits": F.max(own),
+        "exponents": F.count_if(digits.rlike("[eE]")),
+    }
+
+
+def exact_type(facts: dict) -> str | None:
+    """The type that tells all of a column's numbers apart, from its digit facts; None when only text does.
+
+    Double while no number has more digits than a double keeps, else bigint for whole numbers that fit, else a
+    decimal of the digits found.
+    """
+    if (facts["digits"] or 0) <= DOUBLE_DIGITS:
+        return "double"
+    if facts["exponents"] or facts["whole"] + facts["scale"] > DECIMAL_DIGITS:
+        return None
+    if not facts["scale"] and facts["whole"] <= LONG_DIGITS:
+        return "bigint"
+    return f"decimal({facts['whole'] + facts['scale']},{facts['scale']})"
 
 
 def parse_timestamp(c: Column, stripped: bool = False) -> Column:

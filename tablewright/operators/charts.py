@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tablewright.functions import parse
 from tablewright.functions.measures import varies
 from tablewright.operators.frequency import quoted, without_nan
-from tablewright.operators.profile import correlations, is_numeric, type_label
+from tablewright.operators.profile import correlations, is_numeric, type_label, typed_view
 from tablewright.operators.questions import ranked
 
 BAR_GROUPS = 12
@@ -141,11 +141,18 @@ def heatmap(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def monthly_trend(df: DataFrame, date: str, value: str, keep: str = "last", n: int = PERIODS) -> DataFrame:
-    """Monthly sums in ascending order, the last (or first) n months."""
+    """Monthly sums in ascending order, the last (or first) n months.
+
+    Text is parsed: rows whose date is none are left out, and values that are no numbers add nothing.
+    """
+    text_date = isinstance(df.schema[date].dataType, T.StringType)
+    day = parse.parse_timestamp(quoted(date)) if text_date else quoted(date)
+    amount = as_number(df.schema[value]) if isinstance(df.schema[value].dataType, T.StringType) else quoted(value)
     months = (
-        df.where(quoted(date).isNotNull())
-        .groupBy(F.date_format(quoted(date), "yyyy-MM").alias("period"))
-        .agg(F.coalesce(F.sum(quoted(value)), F.lit(0)).cast("double").alias("value"))
+        df.select(day.alias("day"), amount.alias("amount"))
+        .where(F.col("day").isNotNull())
+        .groupBy(F.date_format("day", "yyyy-MM").alias("period"))
+        .agg(F.coalesce(F.sum("amount"), F.lit(0)).cast("double").alias("value"))
     )
     edge = F.col("period").desc() if keep == "last" else F.col("period").asc()
     return months.orderBy(edge).limit(n).orderBy("period")
@@ -224,10 +231,12 @@ def report_view(
 ) -> dict[str, DataFrame]:
     """Rows, total and chart tables of the filtered table, each a query of its own.
 
-    Each chart reads only its columns, with the filter pushed into the scan.
+    Each chart reads only its columns, with the filter pushed into the scan. Text columns of dates and numbers are
+    charted as such (``typed_view``); the rows keep what they are.
     """
     if filter_column and filter_value and filter_column in df.columns:
         df = view_filter(df, filter_column, filter_value)
+    raw, df = df, typed_view(df)
     numbers = [f.name for f in df.schema.fields if is_numeric(f.dataType)]
     others = [c for c in df.columns if c not in numbers]
     if category not in df.columns:
@@ -237,7 +246,7 @@ def report_view(
     if date is None:
         dated = [f.name for f in df.schema.fields if type_label(f.dataType) == "datetime64"]
         date = (dated or [None])[0]
-    rows = ranked(df, sort_by, not descending) if sort_by in df.columns else df
+    rows = ranked(raw, sort_by, not descending) if sort_by in df.columns else raw
     out = {
         "rows": rows.limit(limit),
         "total": df.agg(F.count(F.lit(1)).alias("total_rows")),

@@ -67,8 +67,8 @@ def validated_plan(plan: Plan, columns: list[str]) -> Plan:
     return {c: ops for c, ops in kept.items() if ops}
 
 
-def _planned(c: Column, ops: list[str]) -> Column:
-    """A text column after its operations; white space is stripped at most once."""
+def _planned(c: Column, ops: list[str], kind: str | None) -> Column:
+    """A text column after its operations; white space is stripped at most once. ``kind`` is the type of its numbers."""
     stripped = False
     for op in ops:
         if op in ("trim", "normalize_empty_to_null") and not stripped:
@@ -77,20 +77,38 @@ def _planned(c: Column, ops: list[str]) -> Column:
             c = F.nullif(c, F.lit(""))
         elif op == "lowercase":
             c = text.lowercase(c)
-        elif op == "parse_numeric":
-            return parse.parse_messy_number(c, stripped)
+        elif op == "parse_numeric" and kind is not None:
+            return parse.number_text(c, messy=True, stripped=stripped).try_cast(kind)
         elif op == "parse_date":
             return parse.parse_timestamp(c, stripped)
     return c
 
 
-def apply_plan(df: DataFrame, plan: Plan) -> DataFrame:
+def number_types(df: DataFrame, plan: Plan) -> dict[str, str | None]:
+    """For each text column that the plan parses, the type that tells its numbers apart; one scan of these columns."""
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and "parse_numeric" in plan.get(f.name, [])]
+    found: dict[str, str | None] = {}
+    for start in range(0, len(texts), COLUMNS_PER_SCAN):
+        chunk = texts[start:start + COLUMNS_PER_SCAN]
+        digits = df.select(*[parse.number_text(quoted(c), messy=True).alias(f"d{i}") for i, c in enumerate(chunk)])
+        row = digits.agg(*[_as_struct(parse.digit_facts(F.col(f"d{i}")), f"c{i}") for i in range(len(chunk))]).first()
+        found |= {c: parse.exact_type(row[f"c{i}"].asDict()) for i, c in enumerate(chunk)}
+    return found
+
+
+def _as_struct(entries: dict[str, Column], name: str) -> Column:
+    return F.struct(*[e.alias(k) for k, e in entries.items()]).alias(name)
+
+
+def apply_plan(df: DataFrame, plan: Plan, types: dict[str, str | None] | None = None) -> DataFrame:
     """Run the value operations of the plan as one projection; no rows are dropped here.
 
-    Only text is touched: numbers and dates are parsed already.
+    Only text is touched: numbers and dates are parsed already. ``types`` (from ``number_types``) gives the types
+    of parsed numbers, double where it names none; a column for which it gives None stays text.
     """
+    kinds = types or {}
     planned = {
-        f.name: _planned(quoted(f.name), plan[f.name])
+        f.name: _planned(quoted(f.name), plan[f.name], kinds.get(f.name, "double"))
         for f in df.schema.fields
         if f.name in plan and isinstance(f.dataType, T.StringType)
     }
@@ -126,8 +144,10 @@ class Choice:
     missing: int
     strategy: str
     value: object = None
-    numeric: Column | None = None  # set when the column is replaced by its coerced form
+    numeric: Column | None = None  # the column as doubles, which statistics are taken from
+    digits: Column | None = None  # the text that the coerced form of a text column is read from
     ordered: Column | None = None  # set when the fill follows the row order
+    kind: str = "double"  # type of the coerced form
     needs: str = ""  # "median" or "mode" while the value is still open
     count: int = 0  # numbers the median is taken from
     present: int = 0
@@ -157,7 +177,10 @@ def measure(df: DataFrame, semantics: dict[str, str]) -> tuple[int, dict[str, di
                 parsed.append(number.alias(f"number_{i}"))
                 v = F.col(f"number_{i}")
                 wanted |= {"numbers": F.count(v), "mean": F.avg(v), "skew": corrected_skew(v)}
-            entries.append(F.struct(*[e.alias(k) for k, e in wanted.items()]).alias(f"c{i}"))
+            if isinstance(f.dataType, T.StringType):
+                parsed.append(_digits(f, semantics.get(f.name, "")).alias(f"digits_{i}"))
+                wanted |= parse.digit_facts(F.col(f"digits_{i}"))
+            entries.append(_as_struct(wanted, f"c{i}"))
         row = df.select(*parsed).agg(*entries).first()
         rows = row["rows"]
         facts |= {f.name: row[f"c{i}"].asDict() for i, f in enumerate(chunk)}
@@ -183,10 +206,15 @@ def _number_form(f: T.StructField, semantic: str) -> Column | None:
     if profiles.is_numeric(f.dataType):
         return c.cast("double")
     if isinstance(f.dataType, T.StringType):
-        return parse.parse_messy_number(c) if numeric_intent(f.name, semantic) else parse.parse_number(c)
+        return _digits(f, semantic).try_cast("double")
     return None
 
 
+def _digits(f: T.StructField, semantic: str) -> Column:
+    """What a text column's numbers are read from, as its intent allows."""
+    return parse.number_text(quoted(f.name), messy=numeric_intent(f.name, semantic))
+
+
 def choose(
     f: T.StructField, rows: int, fact: dict, semantic: str, importance: float, typical: float
 ) -> Choice | None:
@@ -208,15 +236,20 @@ def choose(
         return _central(f.name, missing, "", number, fact)
     if kind == "datetime64":
         return Choice(f.name, missing, "forward_backward_fill", ordered=quoted(f.name))
+    exact = parse.exact_type(fact) if number is not None else None
+    if exact is None:
+        # Numbers that no type keeps apart are worth more as the text they are.
+        number, numbers = None, 0
     intent = number is not None and numeric_intent(f.name, semantic)
     if numbers and numbers / present >= (INTENT_SHARE if intent else NUMERIC_SHARE):
-        return _central(f.name, missing, "numeric_coerce_", number, fact)
+        return replace(_central(f.name, missing, "numeric_coerce_", number, fact), kind=exact, digits=_digits(f, semantic))
     if intent:
         fallback = Choice(f.name, missing, "numeric_intent_skip_no_valid_values", numeric=number)
         if numbers:
             fallback = Choice(
                 f.name, missing, "numeric_intent_median_fallback", numeric=number, needs="median", count=numbers
             )
+        fallback = replace(fallback, kind=exact, digits=_digits(f, semantic))
         return replace(fallback, present=present, text=True) if present else fallback
     if present == 0:
         return Choice(f.name, missing, "unknown", "Unknown") if kind == "object" else Choice(f.name, missing, "mode")
@@ -273,10 +306,14 @@ def apply_choices(
         if choice is not None:
             if choice.ordered is not None:
                 c = choice.ordered
-            elif choice.numeric is not None and choice.strategy.startswith("numeric_"):
-                c = choice.numeric
+            elif choice.digits is not None and choice.strategy.startswith("numeric_"):
+                c = choice.digits.try_cast(choice.kind)
             if choice.value is not None and choice.ordered is None:
                 fill = F.lit(choice.value)
+                if choice.digits is not None and choice.strategy.startswith("numeric_") and choice.kind != "double":
+                    # A fill between the numbers is rounded to their type.
+                    whole = choice.kind == "bigint" or choice.kind.endswith(",0)")
+                    fill = (F.rint(fill) if whole else fill).cast(choice.kind)
                 if isinstance(f.dataType, T.BooleanType):
                     fill = fill.cast("boolean")
                 elif profiles.is_numeric(f.dataType):
@@ -384,7 +421,7 @@ def clean(
     ratios = {c["column_name"]: c["unique_count"] / max(c["row_count"], 1) for c in columns}
     scored = profiles.feature_importance(df, top=None, ratios=ratios).collect()  # one row per column
     importance = {r["feature"]: r["importance_score"] for r in scored}
-    staged = canonicalise(apply_plan(df, plan), semantics)
+    staged = canonicalise(apply_plan(df, plan, number_types(df, plan)), semantics)
     if materialise:
         staged = replace_files(staged, scratch_path(spark, "staged"))
     required = [c for c, ops in plan.items() if "drop_row_if_null" in ops]

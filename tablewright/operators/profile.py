@@ -448,7 +448,7 @@ def quality_report(profile: DataFrame) -> DataFrame:
 
 
 def quality_score(profile: DataFrame) -> DataFrame:
-    """One row: the overall score between 0 and 1."""
+    """One row: the overall score between 0 and 1, from a profile or ``null_counts``."""
     issues = F.count_if(F.col("nullable") & (F.col("null_pct") > 5))
     cells = F.max("row_count") * F.greatest(F.count(F.lit(1)), F.lit(1))
     nulls = F.coalesce(F.try_divide(F.sum("null_count"), cells), F.lit(0.0))
@@ -459,7 +459,7 @@ def quality_score(profile: DataFrame) -> DataFrame:
 
 
 def null_summary(profile: DataFrame) -> DataFrame:
-    """One row: total nulls, columns with nulls, share of null cells."""
+    """One row: total nulls, columns with nulls, share of null cells, from a profile or ``null_counts``."""
     cells = F.greatest(F.max("row_count") * F.count(F.lit(1)), F.lit(1))
     return profile.agg(
         F.sum("null_count").alias("total_nulls"),
@@ -468,43 +468,89 @@ def null_summary(profile: DataFrame) -> DataFrame:
     )
 
 
+def likeness(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Per column: rows, values, those shaped like dates and like numbers, and those that parse; one scan, no value is shuffled."""
+    entries = []
+    for c in columns:
+        value = quoted(c).cast("string")
+        counts = {
+            "row_count": F.count(F.lit(1)), "present": F.count(value), "shaped": F.count_if(parse.looks_like_date(value)),
+            "parsed": F.count(parse.parse_timestamp(value)), "plain": F.count(parse.parse_number(value)), "messy": F.count(parse.parse_messy_number(value)),
+        }
+        entries.append(F.struct(F.lit(c).alias("column_name"), *[v.alias(k) for k, v in counts.items()]))
+    return df.agg(F.array(*entries).alias("e")).select(F.inline("e"))
+
+
+def _share(part: str, whole: str) -> Column:
+    return F.coalesce(F.try_divide(F.col(part), F.col(whole)), F.lit(0.0))
+
+
+# What makes text a date column or, in reports, a number column.
+DATE_SHAPED, DATE_PARSED, REPORT_NUMBERS = 0.6, 0.7, 0.7
+
+
 def date_likeness(df: DataFrame, columns: list[str]) -> DataFrame:
     """Per column: share of values shaped like a date, share of rows that parse, and the verdict."""
-    freq = value_frequencies(df, columns)
-    value, n = F.col("value"), F.col("n")
-    present = F.sum(F.when(value.isNotNull(), n))
-    shaped = F.sum(F.when(parse.looks_like_date(value), n).otherwise(0))
-    parsed = F.sum(F.when(parse.parse_timestamp(value).isNotNull(), n).otherwise(0))
-    like = F.coalesce(F.try_divide(shaped, present), F.lit(0.0))
-    share = F.coalesce(F.try_divide(parsed, F.sum(n)), F.lit(0.0))
-    return freq.groupBy("column_name").agg(
+    like, share = _share("shaped", "present"), _share("parsed", "row_count")
+    return likeness(df, columns).select(
+        "column_name",
         F.round(like, 6).alias("date_like_share"),
         F.round(share, 6).alias("parsed_share"),
-        ((like >= 0.6) & (share >= 0.7)).alias("is_datetime"),
+        ((like >= DATE_SHAPED) & (share >= DATE_PARSED)).alias("is_datetime"),
     )
 
 
 def numeric_likeness(df: DataFrame, columns: list[str]) -> DataFrame:
     """Per column: share of non-null values that are numbers, and that become numbers when cleaned."""
-    freq = value_frequencies(df, columns)
-    value, n = F.col("value"), F.col("n")
-    present = F.sum(F.when(value.isNotNull(), n))
-    plain = F.sum(F.when(parse.parse_number(value).isNotNull(), n).otherwise(0))
-    messy = F.sum(F.when(parse.parse_messy_number(value).isNotNull(), n).otherwise(0))
     intent = contains_any(F.lower("column_name"), lexicon.NUMERIC_INTENT_WORDS)
-    plain_share = F.coalesce(F.try_divide(plain, present), F.lit(0.0))
-    messy_share = F.coalesce(F.try_divide(messy, present), F.lit(0.0))
-    shares = freq.groupBy("column_name").agg(plain_share.alias("plain"), messy_share.alias("messy"))
-    return shares.select(
+    plain, messy = _share("plain", "present"), _share("messy", "present")
+    return likeness(df, columns).select(
         "column_name",
-        F.round("plain", 6).alias("numeric_share"),
-        F.round("messy", 6).alias("cleaned_share"),
+        F.round(plain, 6).alias("numeric_share"),
+        F.round(messy, 6).alias("cleaned_share"),
         intent.alias("numeric_intent"),
-        F.when(intent, F.col("messy") >= 0.2).otherwise(F.col("plain") >= 0.85).alias("coerced_when_cleaning"),
-        (F.col("plain") >= 0.7).alias("numeric_in_reports"),
+        F.when(intent, messy >= 0.2).otherwise(plain >= 0.85).alias("coerced_when_cleaning"),
+        (plain >= REPORT_NUMBERS).alias("numeric_in_reports"),
     )
 
 
+def typed_view(df: DataFrame) -> DataFrame:
+    """``df`` for charts: text columns of dates as timestamps and, where no column is numeric by type, those of numbers as doubles.
+
+    Shares are taken in one scan of the text columns; a table with numbers and dates by type is taken as it is. Values
+    that do not parse become null.
+    """
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    if not texts:
+        return df
+    kinds = {type_label(f.dataType) for f in df.schema.fields}
+    has_numbers = bool(kinds & {"int64", "float64"})
+    if has_numbers and "datetime64" in kinds:
+        return df
+    dated = (_share("shaped", "present") >= DATE_SHAPED) & (_share("parsed", "row_count") > DATE_PARSED)
+    numbered = ~dated & (_share("plain", "present") >= REPORT_NUMBERS)
+    found = likeness(df, texts).select("column_name", dated.alias("dated"), numbered.alias("numbered")).collect()  # one row per column
+    typed = {}
+    for row in found:
+        if row["dated"]:
+            typed[row["column_name"]] = parse.parse_timestamp(quoted(row["column_name"]))
+        elif row["numbered"] and not has_numbers:
+            typed[row["column_name"]] = parse.parse_number(quoted(row["column_name"]))
+    return df.select(*[typed.get(c, quoted(c)).alias(c) for c in df.columns])
+
+
+def null_counts(df: DataFrame) -> DataFrame:
+    """Per column: rows, nulls (NaN counts) and whether there are any; one scan, no value is shuffled."""
+    clean = without_nan(df)
+    entries = [
+        F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name"), F.count(F.lit(1)).alias("row_count"), F.count(quoted(c)).alias("total_count"))
+        for i, c in enumerate(df.columns)
+    ]
+    found = clean.agg(F.array(*entries).alias("e")).select(F.inline("e"))
+    nulls = F.col("row_count") - F.col("total_count")
+    return found.withColumns({"null_count": nulls, "nullable": (nulls > 0) | (F.col("total_count") == 0), "null_pct": percent(nulls, F.col("row_count"), 1)})
+
+
 # ---------------------------------------------------------------- suggested measures
 
 

@@ -206,3 +206,40 @@ def test_dates_without_order_fail_before_the_work(spark):
     df = spark.createDataFrame([(1, None), (2, datetime.datetime(2024, 1, 1))], "k long, day timestamp_ntz")
     with pytest.raises(ValueError, match="order_by"):
         c.clean(df)
+
+
+def test_digit_text_keeps_every_digit(spark):
+    """Texts beyond what doubles tell apart: whole numbers, decimals, and what no type holds."""
+    whole = ["9007199254740992", "9007199254740993", "9007199254740994", None]
+    long = ["123456789012345678901", "123456789012345678902", "123456789012345678903", None]
+    part = ["12345678901234567.01", "12345678901234567.02", "12345678901234567.03", None]
+    huge = ["1e300", "9007199254740993", "9007199254740992", None]
+    few = ["1.5", "2.5", "4", None]
+    rows = list(zip(range(4), whole, long, part, huge, few))
+    df = spark.createDataFrame(rows, "k int, whole string, long string, part string, huge string, few string")
+    done = c.impute(df)
+    assert [f.dataType.simpleString() for f in done.schema.fields] == ["int", "bigint", "decimal(21,0)", "decimal(19,2)", "string", "double"]
+    assert [str(x) for x in column(done, "whole")[:3]] == whole[:3] and [str(x) for x in column(done, "long")[:3]] == long[:3]
+    assert [str(x) for x in column(done, "part")[:3]] == part[:3] and column(done, "huge")[:3] == huge[:3]
+    assert all(x is not None for name in df.columns for x in column(done, name))
+
+
+def test_cleaning_digit_text_loses_no_row(spark):
+    """Numbers one apart above 2^53 in a column that the plan parses, and in one that it does not."""
+    rows = [(f"{9007199254740992 + i}", f"${9007199254740992 + i}", "x") for i in range(40)] + [(None, None, "y")]
+    df = spark.createDataFrame(rows, "reference string, amount string, note string")
+    done = c.clean(df).data
+    assert done.count() == 41 and done.where("reference is not null").select("reference").distinct().count() >= 40
+    assert done.schema["amount"].dataType.simpleString() == "bigint"
+    assert {r[0] for r in done.select("amount").collect()} >= {9007199254740992 + i for i in range(40)}
+
+
+def test_digit_facts(spark):
+    from tablewright.functions import parse
+
+    texts = ["007", "-1.500", "+.25", "0", "12e3", "bad", None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(parse.number_text(F.col("t")).alias("d"))
+    row = df.agg(*[v.alias(k) for k, v in parse.digit_facts(F.col("d")).items()]).first().asDict()
+    assert row == {"whole": 2, "scale": 2, "digits": 2, "exponents": 1}
+    assert parse.exact_type({"whole": 20, "scale": 19, "digits": 39, "exponents": 0}) is None
+    assert parse.exact_type({"whole": None, "scale": None, "digits": None, "exponents": 0}) == "double"

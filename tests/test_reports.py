@@ -195,3 +195,31 @@ def test_cast_by_schema_requires_ids(spark):
     ]
     assert plain(models.cast_by_schema(df, columns)) == [("1", 2.5)]
     assert models.cast_by_schema(df, columns, stamped=True, loaded_at=F.lit(0)).count() == 2
+
+
+def test_charts_of_raw_text(spark):
+    """Texts of numbers and dates are charted, bad ones left out; the rows keep their texts."""
+    rows = [("a", "10", "2024-01-05"), ("b", "20.5", "01/09/2024"), ("a", "n/a", "2024-02-01"), ("b", "1", "soon"), ("a", "2", "2024-02-03"), (None, "3", "2024-03-01")]
+    view = charts.report_view(spark.createDataFrame(rows, "kind string, amount string, day string"), sort_by="amount")
+    assert plain(view["bar"]) == [("b", 21.5), ("a", 12.0), (None, 3.0)]
+    assert plain(view["line"]) == [("2024-01", 30.5), ("2024-02", 2.0), ("2024-03", 3.0)]
+    assert [r[0] for r in plain(view["heatmap"])] == ["amount"] and sum(r["count"] for r in view["histogram"].collect()) == 5
+    assert {r["amount"] for r in view["rows"].collect()} == {r[1] for r in rows}
+
+
+def test_mostly_bad_text_is_not_typed(spark):
+    rows = [("x", "1"), ("x", "bad"), ("y", "worse"), ("y", None)]
+    view = charts.report_view(spark.createDataFrame(rows, "kind string, amount string"))
+    assert "line" not in view and "histogram" not in view and plain(view["bar"]) == [("x", 2.0), ("y", 2.0)]
+    empty = charts.report_view(spark.createDataFrame([], "kind string, amount string"))
+    assert plain(empty["total"]) == [(0,)] and plain(empty["bar"]) == []
+
+
+def test_shares_and_null_counts_shuffle_no_values(spark):
+    from tablewright.operators import profile as p
+
+    df = spark.range(100).select(F.col("id").cast("string").alias("a"), F.lit("x" * 500).alias("b"))
+    for found in (p.likeness(df, ["a", "b"]), p.null_counts(df)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == plan.count("Exchange SinglePartition") <= 2 and "hashpartitioning" not in plan
+    assert [tuple(r) for r in p.null_counts(df).select("column_name", "row_count", "null_count").collect()] == [("a", 100, 0), ("b", 100, 0)]
