@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import datetime
 import io
+import uuid
 import zipfile
 from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import functions as F, types as T
+from pyarrow import fs
+from pyspark.sql import Observation, functions as F, types as T
 
 from tablewright.catalogue import views
 from tablewright.catalogue.registry import query, table
@@ -57,6 +60,33 @@ def sampled_csv_scan(spark, sf_dir):
     return sample.agg(F.count(F.lit(1)).alias("sampled"), (F.count("price") == F.count(F.lit(1))).alias("typed"))
 
 
+# Every seventh line has a surplus field that is empty; it is one field too many all the same.
+_REJECTS = "o_orderkey % 7 = 0 OR o_orderpriority = '5-LOW'"
+
+
+@query(
+    "s01_rejected_rows",
+    f"""SELECT CAST(o_orderkey AS VARCHAR) || CASE WHEN o_orderkey % 7 = 0 THEN ',x,' ELSE ',"a, b",x,y' END AS line,
+    (SELECT COUNT(*) FROM orders WHERE {_REJECTS}) AS rejected, (SELECT COUNT(*) FROM orders WHERE NOT ({_REJECTS})) AS kept
+    FROM orders WHERE {_REJECTS}""",
+)
+def rejected_rows(spark, sf_dir):
+    """The lines that a CSV read leaves out, and how many it left out and kept, counted by the job that writes the kept ones."""
+    key = F.col("o_orderkey")
+    line = (
+        F.when(key % 7 == 0, F.concat(key.cast("string"), F.lit(",x,")))
+        .when(F.col("o_orderpriority") == "5-LOW", F.concat(key.cast("string"), F.lit(',"a, b",x,y')))
+        .when(key % 2 == 0, key.cast("string"))
+        .otherwise(F.concat(key.cast("string"), F.lit(',"c, ""d"""')))
+    )
+    path, counted = scratch_path(spark, "surplus"), Observation()
+    table(spark, sf_dir, "orders").select(line.alias("line")).write.text(path)
+    kept, rejected = files.read_csv_with_rejects(spark, path, "order_id bigint, note string", header=False, counted=counted)
+    tables.replace_files(kept, scratch_path(spark, "kept"))
+    found = counted.get
+    return rejected.select("line", F.lit(found["rejected"]).cast("long").alias("rejected"), F.lit(found["kept"]).cast("long").alias("kept"))
+
+
 @query("s03_json_scan", "SELECT page_id, url, md5(html) AS digest FROM pages")
 def json_scan(spark, sf_dir):
     path = scratch_path(spark, "pages_json")
@@ -84,11 +114,18 @@ def json_export(spark, sf_dir):
 
 # ---------------------------------------------------------------- workbooks
 
-_CONTENT_TYPES = "application/vnd.openxmlformats-officedocument.spreadsheetml"
 _REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 _MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 
 
+_DAY_ZERO = datetime.date(1899, 12, 30)
+# The second style shows a date, by a format of its own.
+_STYLES = (
+    f'<styleSheet xmlns="{_MAIN}"><numFmts count="1"><numFmt numFmtId="164" formatCode="yyyy\\-mm\\-dd"/></numFmts>'
+    '<cellXfs count="2"><xf numFmtId="0"/><xf numFmtId="164"/></cellXfs></styleSheet>'
+)
+
+
 def _sheet_xml(rows: list[list]) -> str:
     out = []
     for i, row in enumerate(rows, start=1):
@@ -97,6 +134,8 @@ def _sheet_xml(rows: list[list]) -> str:
             at = f"{chr(ord('A') + j)}{i}"
             if isinstance(value, str):
                 cells.append(f'<c r="{at}" t="inlineStr"><is><t xml:space="preserve">{escape(value)}</t></is></c>')
+            elif isinstance(value, datetime.date):
+                cells.append(f'<c r="{at}" s="1"><v>{(value - _DAY_ZERO).days}</v></c>')
             elif value is not None:
                 cells.append(f'<c r="{at}"><v>{value!r}</v></c>')
         out.append(f'<row r="{i}">{"".join(cells)}</row>')
@@ -117,6 +156,7 @@ def workbook_bytes(sheets: dict[str, list[list]]) -> bytes:
             "xl/_rels/workbook.xml.rels",
             f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{related}</Relationships>',
         )
+        book.writestr("xl/styles.xml", _STYLES)
         for i, rows in enumerate(sheets.values(), start=1):
             book.writestr(f"xl/worksheets/sheet{i}.xml", _sheet_xml(rows))
     return buffer.getvalue()
@@ -148,6 +188,40 @@ def workbook_scan(spark, sf_dir):
     )
 
 
+def _written_books(folder: str):
+    """Customers as workbook files, every other one with its columns in another order; one row for each file."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, place = fs.FileSystem.from_uri(folder)
+        store.create_dir(place, recursive=True)
+        for batch in batches:
+            for i in range(0, len(batch), 400):
+                rows = batch.iloc[i : i + 400].astype(object).values.tolist()
+                header = ["Customer-Key", "Full Name", "Balance ($)", "Since"]
+                if rows[0][0] // 100 % 2:
+                    header, rows = ["Since", *header[:3]], [[r[3], *r[:3]] for r in rows]
+                name = f"customers-{uuid.uuid4().hex}.xlsx"
+                with store.open_output_stream(f"{place}/{name}") as out:
+                    out.write(workbook_bytes({"Data": [header, *rows]}))
+                yield pd.DataFrame({"name": [name]})
+
+    return run
+
+
+@query(
+    "s04_workbook_folder",
+    """SELECT c_custkey AS customer_key, c_name AS full_name, c_acctbal AS balance,
+    CAST(DATE '2020-01-01' + CAST(c_custkey % 1000 AS INTEGER) AS TIMESTAMP) AS since FROM customer""",
+)
+def workbook_folder(spark, sf_dir):
+    """A folder of workbooks with two orders of columns, read by their own headers with numbers and dates typed."""
+    folder = scratch_path(spark, "workbooks")
+    since = F.date_add(F.lit("2020-01-01").cast("date"), (F.col("c_custkey") % 1000).cast("int"))
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", since.alias("since"))
+    customers.mapInPandas(_written_books(folder if "://" in folder else f"file://{folder}"), "name string").count()
+    return workbooks.folder_table(workbooks.read_workbooks(spark, folder)).drop("workbook", "sheet")
+
+
 # ---------------------------------------------------------------- tables
 
 
@@ -162,6 +236,23 @@ def replace_table(spark, sf_dir):
     return tables.replace_files(orders.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("orders")), path)
 
 
+@query(
+    "s05_replace_self",
+    """SELECT o_orderkey, o_orderstatus, COUNT(*) OVER (PARTITION BY o_orderstatus) AS peers FROM orders WHERE o_orderstatus <> 'F'""",
+)
+def replace_self(spark, sf_dir):
+    """A catalog table replaced twice by queries that read it, with the same columns and with other ones."""
+    path = scratch_path(spark, "replaced")
+    name = "replaced_" + path.rsplit("-", 1)[-1]
+    now = tables.replace_table(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), name, path)
+    now = tables.replace_table(now.where("o_orderstatus <> 'F'"), name, path)
+    peers = now.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("peers"))
+    now = tables.replace_table(now.join(peers, "o_orderstatus").select("o_orderkey", "o_orderstatus", "peers"), name, path)
+    found = spark.read.schema(now.schema).parquet(*now.inputFiles())
+    spark.sql(f"DROP TABLE {name}")  # the files stay
+    return found
+
+
 @query("s06_create_table_if_absent", f"SELECT {ORDERS} FROM orders")
 def create_table_if_absent(spark, sf_dir):
     """An empty table is created once, filled, and left alone the second time."""
@@ -207,6 +298,21 @@ def describe_table(spark, sf_dir):
     return tables.describe(table(spark, sf_dir, "orders"))
 
 
+@query(
+    "s10_describe_with_samples",
+    " UNION ALL ".join(
+        f"""SELECT {i} AS position, '{c}' AS column_name, '{t}' AS data_type, COUNT(*) AS row_count,
+        (SELECT list({f"strftime({c}, '%Y-%m-%d %H:%M:%S')" if t == "timestamp_ntz" else f"CAST({c} AS VARCHAR)"} ORDER BY o_orderkey)
+         FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 3) t) AS sample_values FROM orders"""
+        for i, (c, t) in enumerate(zip(ORDERS.split(", "), ["bigint", "bigint", "string", "double", "timestamp_ntz", "string"]))
+        if c != "o_totalprice"
+    ),
+)
+def describe_samples(spark, sf_dir):
+    found = tables.describe_with_samples(table(spark, sf_dir, "orders"), ["o_orderkey"])
+    return found.where("column_name <> 'o_totalprice'")  # engines write doubles in their own ways
+
+
 @query("s11_preview", "SELECT * FROM customer ORDER BY c_custkey LIMIT 20")
 def preview(spark, sf_dir):
     return tables.preview(table(spark, sf_dir, "customer"), 20, ["c_custkey"])

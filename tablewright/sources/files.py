@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from tablewright.operators.frequency import quoted
 
@@ -45,6 +45,35 @@ def read_csv_robust(
     return raw.where(F.col(_SURPLUS).isNull()).drop(_SURPLUS)
 
 
+_RAW = "_raw"
+
+
+def read_csv_with_rejects(
+    spark: SparkSession, path: str, schema: T.StructType | str, header: bool = True, counted: Observation | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejected lines) of a CSV source; a line is rejected when it has too many fields, empty ones included.
+
+    ``counted`` observes both over the rows that a job reads: ``kept`` and ``rejected``, so that the count costs no
+    scan of its own. The rejected lines come as ``line`` with their ``file``. Rows are those of ``read_csv_robust``, but
+    for lines with surplus empty fields only, which it keeps.
+    """
+    if isinstance(schema, str):
+        schema = T._parse_datatype_string(schema)
+    # Lines of another number of fields come with their text, which tells short ones from long ones.
+    wide = T.StructType([*schema.fields, T.StructField(_RAW, T.StringType())])
+    reader = spark.read.schema(wide).option("header", header).option("columnNameOfCorruptRecord", _RAW)
+    raw = reader.option("escape", QUOTE).csv(path)
+    bare = F.regexp_replace(_RAW, '"([^"]|"")*"', "")
+    surplus = F.coalesce(F.length(bare) - F.length(F.replace(bare, F.lit(","))) >= len(schema.fields), F.lit(False))
+    # Fields are only counted where all are read, so the test reads them; hashes are never less than this.
+    surplus = surplus & (F.hash(*[quoted(f.name) for f in schema.fields]) >= F.lit(-(1 << 31)))
+    marked = raw.withColumn("_rejected", surplus).withColumn("_file", F.input_file_name())
+    if counted is not None:
+        marked = marked.observe(counted, F.count_if(~F.col("_rejected")).alias("kept"), F.count_if("_rejected").alias("rejected"))
+    rejected = marked.where("_rejected").select(F.col("_file").alias("file"), F.col(_RAW).alias("line"))
+    return marked.where(~F.col("_rejected")).select(*[quoted(f.name) for f in schema.fields]), rejected
+
+
 def sample_csv(
     spark: SparkSession, path: str, schema: T.StructType | str | None = None, rows: int = PROFILE_ROWS, header: bool = True
 ) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from tablewright.operators.frequency import quoted
 from tablewright.sources.naming import is_identifier
@@ -21,10 +22,27 @@ def checked(name: str) -> str:
 
 
 def replace_table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Materialise ``df`` as a catalog table, replacing any earlier one."""
-    writer = df.write.mode("overwrite").format("parquet")
-    (writer.option("path", path) if path else writer).saveAsTable(checked(name))
-    return df.sparkSession.table(name)
+    """Materialise ``df`` as a catalog table, replacing any earlier one; ``df`` may read the table itself.
+
+    The rows are written to a fresh folder below ``path`` (or beside the warehouse's tables) first, then the catalog
+    points to it: a failed write leaves the old table as it was. Earlier folders stay for readers that still use them
+    and for the store's own retention.
+    """
+    spark, name = df.sparkSession, checked(name)
+    root = path or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{name}_versions"
+    staged = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(staged)
+    if spark.catalog.tableExists(name) and _same_shape(spark.table(name).schema, df.schema):
+        spark.sql(f"ALTER TABLE {name} SET LOCATION '{staged}'")
+        spark.catalog.refreshTable(name)
+    else:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        spark.catalog.createTable(name, path=staged, source="parquet", schema=df.schema)
+    return spark.table(name)
+
+
+def _same_shape(a: T.StructType, b: T.StructType) -> bool:
+    return [(f.name, f.dataType) for f in a.fields] == [(f.name, f.dataType) for f in b.fields]
 
 
 def replace_files(df: DataFrame, path: str) -> DataFrame:
@@ -75,6 +93,16 @@ def describe(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("row_count")).select(F.inline(F.array(*columns)), "row_count")
 
 
+def describe_with_samples(df: DataFrame, order_by: list[str], rows: int = 3) -> DataFrame:
+    """``describe`` with ``sample_values``: each column's values in the first rows, nulls as null."""
+    some = _first(df, rows, order_by)
+    values = [F.struct(F.lit(i).alias("position"), quoted(c).cast("string").alias("value")) for i, c in enumerate(df.columns)]
+    numbered = some.select(F.row_number().over(Window.orderBy(*[quoted(c).asc_nulls_last() for c in order_by])).alias("n"), F.explode(F.array(*values)).alias("v"))
+    gathered = numbered.groupBy(F.col("v.position").alias("position")).agg(F.sort_array(F.collect_list(F.struct("n", "v.value"))).alias("s"))
+    samples = gathered.select("position", F.transform("s", lambda x: x["value"]).alias("sample_values"))
+    return describe(df).join(samples, "position", "left").withColumn("sample_values", F.coalesce("sample_values", F.array().cast("array<string>")))
+
+
 def _first(df: DataFrame, n: int, order_by: list[str]) -> DataFrame:
     return df.orderBy(*[quoted(c).asc_nulls_last() for c in order_by]).limit(n)
 

@@ -122,3 +122,51 @@ def test_flow_from_a_csv_file(spark, tmp_path):
     report = {r["category"]: (r["record_count"], r["total_amount"]) for r in done.report.collect()}
     assert report == {"a": (3, 45.0), "b": (1, 10.0)}  # the fill is the median: 5, 10 and 30 are skewed
     assert [(r["name"], r["row_count"]) for r in done.steps.collect()] == [("ingest", 5), ("clean", 4), ("report", 2)]
+
+
+def test_rejected_lines(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    lines = ["a,b", "1,x", "2", "3,y,", '4,"p, q"', '5,"p, q",z', "bad,w", "6,a,b,c", '7,"say ""x, y"""']
+    (tmp_path / "r.csv").write_text("\n".join(lines))
+    counted = Observation()
+    kept, rejected = files.read_csv_with_rejects(spark, str(tmp_path), "a int, b string", counted=counted)
+    rows = sorted((tuple(r) for r in kept.collect()), key=str)
+    assert rows == sorted([(1, "x"), (2, None), (4, "p, q"), (None, "w"), (7, 'say "x, y"')], key=str)
+    assert counted.get == {"kept": 5, "rejected": 3}
+    assert sorted(r["line"] for r in rejected.collect()) == ["3,y,", '5,"p, q",z', "6,a,b,c"] and rejected.count() == 3
+
+
+def test_folder_of_workbooks_with_headers_of_their_own(spark, tmp_path):
+    import datetime
+
+    day = datetime.date(2024, 2, 29)
+    (tmp_path / "a.xlsx").write_bytes(workbook_bytes({"S": [["Id", "When", "Note"], [1, day, "x"], [9007199254740993, None, "7"]]}))
+    (tmp_path / "b.xlsx").write_bytes(workbook_bytes({"S": [["Note", "Id"], ["y", 2, "surplus"]]}))
+    (tmp_path / "c.xlsx").write_bytes(workbook_bytes({"S": []}))
+    found = workbooks.folder_table(workbooks.read_workbooks(spark, str(tmp_path))).drop("workbook", "sheet")
+    assert {f.name: f.dataType.simpleString() for f in found.schema.fields} == {"id": "bigint", "note": "string", "when": "timestamp_ntz", "unnamed_column": "string"}
+    rows = [(r.id, r.when, r.note, r.unnamed_column) for r in found.orderBy("id").collect()]
+    assert rows == [(1, datetime.datetime(2024, 2, 29), "x", None), (2, None, "y", "surplus"), (9007199254740993, None, "7", None)]
+
+
+def test_a_failed_replace_leaves_the_old_table(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    tables.replace_table(spark.range(3), "kept_table", str(tmp_path))
+    try:
+        broken = spark.range(5).select(F.when(F.col("id") == 4, F.raise_error(F.lit("no"))).otherwise(F.col("id")).cast("long").alias("id"))
+        with pytest.raises(Exception, match="no"):
+            tables.replace_table(broken, "kept_table", str(tmp_path))
+        assert spark.table("kept_table").count() == 3
+        tables.replace_table(spark.table("kept_table").where("id > 0"), "kept_table", str(tmp_path))
+        assert sorted(r.id for r in spark.table("kept_table").collect()) == [1, 2]
+    finally:
+        spark.sql("DROP TABLE IF EXISTS kept_table")
+
+
+def test_describe_with_samples(spark):
+    df = spark.createDataFrame([(2, None), (1, "b"), (3, "c")], "k int, v string")
+    found = {r.column_name: r.sample_values for r in tables.describe_with_samples(df, ["k"], 2).collect()}
+    assert found == {"k": ["1", "2"], "v": ["b", None]}
+    assert [r.sample_values for r in tables.describe_with_samples(df.limit(0), ["k"]).collect()] == [[], []]
