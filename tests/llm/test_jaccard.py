@@ -40,7 +40,10 @@ def test_similar_texts_have_a_common_prefix_hash():
         a, b = (jaccard.shingles(" ".join(w)) for w in (words, changed(rng, words, rng.randint(0, 5))))
         if jaccard.similar(a, b):
             met += 1
-            assert set(jaccard.prefix(a)) & set(jaccard.prefix(b))
+            x, y = jaccard.hashed(a), jaccard.hashed(b)
+            assert set(jaccard.prefix(x)) & set(jaccard.prefix(y))
+            apart = jaccard.most_apart(len(a), len(b))
+            assert len(a ^ b) <= apart and jaccard.may_be_similar(jaccard.sketch(x).tobytes(), jaccard.sketch(y).tobytes(), apart)
             assert abs(jaccard.histogram(a) - jaccard.histogram(b)).sum() <= len(a ^ b)
         assert jaccard.similar(a, b) == (5 * len(a & b) >= 4 * len(a | b))
     assert met > 100
@@ -74,3 +77,16 @@ def test_stage_links_copies_far_apart_in_bits(spark):
     assert bin((fingerprint(a, 5) ^ fingerprint(b, 5)) % (1 << 64)).count("1") > 4
     df = spark.createDataFrame([(1, a, "en", "s", 0), (2, b, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
     assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()] == [1]
+
+
+def test_sketches_differ_by_no_more_than_the_sets():
+    rng = random.Random(4)
+    for _ in range(200):
+        sets = []
+        for n in (rng.randint(1, 3000), rng.randint(1, 3000)):
+            sets.append({str(rng.randrange(4000)).encode() for _ in range(n)})
+        x, y = (jaccard.sketch(jaccard.hashed(s)) for s in sets)
+        size = min(len(x), len(y))
+        apart = sum(bin(int(i) ^ int(j)).count("1") for i, j in zip(jaccard.folded(x, size), jaccard.folded(y, size)))
+        assert apart <= len(sets[0] ^ sets[1])
+        assert jaccard.may_be_similar(x.tobytes(), y.tobytes(), apart) and not jaccard.may_be_similar(x.tobytes(), y.tobytes(), apart - 1)

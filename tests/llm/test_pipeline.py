@@ -9,8 +9,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from tablewright.llm import line_dedup
 from test_line_dedup import brute
-from test_simhash import plain_groups
-from tablewright.llm.simhash import fingerprint
+from test_jaccard import plain_kept
 
 WORDS = "the of and to in is that it for on was be stone river garden window letter market winter silver candle forest".split()
 
@@ -34,8 +33,7 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     df.repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
     good = [(k, t) for k, t in rows if k < 100]
     kept = {k: t for k, t in brute(good).items() if t == dict(good)[k] or len(t) >= corpus_pipeline.MIN_KEPT * len(dict(good)[k])}
-    fps = [fingerprint(t, corpus_pipeline.SHINGLE) % (1 << 64) for t in kept.values()]
-    want = {k: kept[k] for k, low in zip(kept, plain_groups(list(kept), fps)) if k == low}
+    want = {k: kept[k] for k in plain_kept(list(kept.items()))}
 
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -60,7 +58,10 @@ def test_stages_on_odd_rows(spark, tmp_path, odd_texts):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert sum(r.doc_id is None for r in pieces) >= 1 and not any(r.doc_id == 700 for r in pieces)
+    assert sum(r.doc_id is None for r in pieces) >= 1
+    # All lines of document 700 are another's but for the last, which is three edits from one: more than its length
+    # allows. A document goes only when no line with words is left, so it stays with that line.
+    assert {r.doc_tokens for r in pieces if r.doc_id == 700} == {len(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text.split("\n")[-1] + " of", add_special_tokens=False).ids) + 1}
     spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
     assert line_dedup.allowed(15) == 0
