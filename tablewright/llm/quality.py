@@ -45,8 +45,29 @@ def _without(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
+#: The counts that rules may refer to.
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_exclamations", "n_stop_words", "n_bullet_lines")
+
+
+def _apart(docs: DataFrame, text_col: str) -> tuple[DataFrame, str]:
+    """``docs`` with its columns renamed by place, which no scratch column or result is named like; the text's new name."""
+    names = [f"_own_{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), names[docs.columns.index(text_col)]
+
+
+def _back(found: DataFrame, docs: DataFrame, results: list[str]) -> DataFrame:
+    """``found`` with the names of ``docs`` again, without those of its columns that are named like a result in any case."""
+    taken = {r.lower() for r in results}
+    return found.select(*[F.col(f"_own_{i}").alias(c) for i, c in enumerate(docs.columns) if c.lower() not in taken], *results)
+
+
 def counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The counts that rules refer to, beside the columns of ``docs``.
+    """The counts that rules refer to, beside the columns of ``docs`` that are not named like them."""
+    return _back(_counted(*_apart(docs, text_col)), docs, list(COUNTS))
+
+
+def _counted(docs: DataFrame, text_col: str) -> DataFrame:
+    """The columns of ``docs`` and its counts.
 
     Words are runs without white space. ``n_repeat_words`` counts words lying in a window of three words that
     the text holds at least twice: windows are sorted with their places and compared with their neighbours, so
@@ -71,19 +92,18 @@ def counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     base = base.withColumn("_starts", starts)
     covered = F.array_distinct(F.concat("_starts", F.transform("_starts", lambda i: i + 1), F.transform("_starts", lambda i: i + 2)))
     stop = [w for s in STOP_WORDS for w in (s, s.capitalize())]
-    measures = {
-        "n_words": n,
-        "word_chars": F.length(F.array_join("_words", "")),
-        "n_symbols": _without(F.col("_text"), r"[#*$%&|<>]+"),
-        "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
-        "n_repeat_words": F.size(covered),
-        "n_lines": F.size("_lines"),
-        "n_exclamations": F.length("_text") - F.length(F.replace(F.col("_text"), F.lit("!"), F.lit(""))),
-        "n_stop_words": F.size(F.filter("_words", lambda w: w.isin(stop))),
-        "n_bullet_lines": F.size(F.filter("_lines", lambda x: x.rlike(r"^[\x20\x09]*[-*•]"))),
-    }
-    kept = [F.col(c) for c in docs.columns if c not in measures]
-    return base.select(*kept, *[m.cast("long").alias(k) for k, m in measures.items()])
+    measures = (
+        n,
+        F.length(F.array_join("_words", "")),
+        _without(F.col("_text"), r"[#*$%&|<>]+"),
+        F.size("_lines") - F.size(F.array_distinct("_lines")),
+        F.size(covered),
+        F.size("_lines"),
+        F.length("_text") - F.length(F.replace(F.col("_text"), F.lit("!"), F.lit(""))),
+        F.size(F.filter("_words", lambda w: w.isin(stop))),
+        F.size(F.filter("_lines", lambda x: x.rlike(r"^[\x20\x09]*[-*•]"))),
+    )
+    return base.select(*docs.columns, *[m.cast("long").alias(k) for k, m in zip(COUNTS, measures)])
 
 
 def verdicts(rules: tuple[Rule, ...] = RULES) -> list[Column]:
@@ -103,11 +123,16 @@ def verdicts(rules: tuple[Rule, ...] = RULES) -> list[Column]:
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """``docs`` with its counts, one ``ok_`` column for each rule, ``base_failed`` and ``kept``.
 
-    Built-in functions in one projection, without a shuffle. Null and empty texts fail the base. Repeated rows are
-    judged alike. A column of ``docs`` named like a result gives way to the result.
+    Built-in functions in one projection, without a shuffle. Null and empty texts fail the base, texts of any length
+    are judged whole, repeated rows are judged alike and no rows give none. A column of ``docs`` named like a result,
+    in any case, gives way to the result; other columns stay whatever their names.
     """
-    own = [f"ok_{r.name}" for r in rules] + ["base_failed", "kept"]
-    base = counts(docs.drop(*own), text_col)
+    results = [*COUNTS, *(f"ok_{r.name}" for r in rules), "base_failed", "kept"]
+    return _back(_judged(*_apart(docs, text_col), rules), docs, results)
+
+
+def _judged(docs: DataFrame, text_col: str, rules: tuple[Rule, ...]) -> DataFrame:
+    base = _counted(docs, text_col)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     judged = base.select("*", *verdicts(rules), failed.alias("base_failed"))
     passed = ~F.col("base_failed")
@@ -118,9 +143,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "tex
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that every rule keeps, with their own columns only."""
-    names = [f"_own_{i}" for i in range(len(docs.columns))]
-    packed = docs.toDF(*names)
-    judged = judge(packed, rules, names[docs.columns.index(text_col)])
+    packed, text = _apart(docs, text_col)
     # Needed by the filter, the row number keeps it above the counts; pushed below them it would repeat them for each rule.
-    numbered = judged.withColumn("_row", F.monotonically_increasing_id())
-    return numbered.where("kept and _row >= 0").select(*names).toDF(*docs.columns)
+    numbered = _judged(packed, text, rules).withColumn("_row", F.monotonically_increasing_id())
+    return numbered.where("kept and _row >= 0").select(*packed.columns).toDF(*docs.columns)
