@@ -120,7 +120,7 @@ def _compare(cosine: float):
             u, v = _matrix(left["unit"]), _matrix(right["unit"])
             close = u @ v.T >= cosine
             i, j = left["id"].to_numpy(), right["id"].to_numpy()
-            close |= i[:, None] == j[None, :]
+            close |= i[:, None] == j[None, :]  # a point links with itself, whatever its product is rounded to
             weight = [(i, close @ right["weight"].to_numpy())]
             if a != b:
                 weight.append((j, left["weight"].to_numpy() @ close))
@@ -207,15 +207,19 @@ def traverse(nodes: DataFrame, reach: float) -> DataFrame:
 def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE) -> DataFrame:
     """(id, n_links, component_id, kept) for each row: cosines of at least ``cosine`` within a label.
 
-    Equal unit vectors are one point with a weight. Vectors that are null, zero or hold a null or a non-finite
-    component, and rows without label, link with nothing. Rows that repeat link to each other. No rows give none.
+    Equal unit vectors of a label are one point with a weight. Points have numbers of their own, so ids may be of any
+    type that sorts and may repeat: each row has its own links, and rows of one id link only if their vectors do. A
+    component goes by its smallest id. Vectors that are null, zero or hold a null or a non-finite component, vectors of
+    other widths, and rows without label or without id, link with nothing; a row without id has no component and is kept. Rows that
+    repeat link to each other. Other columns, whatever their names, are not read. No rows give none.
     """
     reach = float(np.sqrt(2 - 2 * cosine))
-    units = written(unit_vectors(rows, id_col, vector_col, label_col), "units").withColumn("key", F.sha2("unit", 256))
-    linkable = units.where("unit is not null and id is not null")
-    classes = linkable.groupBy("label", "key").agg(F.min("id").cast("long").alias("id"), F.count("*").alias("weight"), F.first("unit").alias("unit"))
-    classes = written(classes.select("label", "key", "id", "weight", "unit"), "vector-classes")
-    points, nodes = build(classes.select("id", "unit", "weight", F.concat(F.col("label").cast("string"), F.lit(":"), F.octet_length("unit").cast("string")).alias("cell")), reach)
+    units = written(unit_vectors(rows, id_col, vector_col, label_col), "units").withColumn("key", F.when(F.col("id").isNotNull(), F.sha2("unit", 256)))
+    linkable = units.where("key is not null")
+    classes = linkable.groupBy("label", "key").agg(F.min("id").alias("first"), F.count("*").alias("weight"), F.first("unit").alias("unit"))
+    # Numbered before the table is written, so that every reader sees the same numbers.
+    classes = written(classes.select("label", "key", F.monotonically_increasing_id().alias("id"), "first", "weight", "unit"), "vector-classes")
+    points, nodes = build(classes.select("id", "unit", "weight", F.concat(F.hex(F.col("label").cast("string")), F.lit(":"), F.octet_length("unit").cast("string")).alias("cell")), reach)
     pairs = traverse(nodes, reach)
 
     open_pairs = pairs.where("not inside").select("a", "b")
@@ -236,8 +240,11 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     counted = compared.where("other is null").select("id", "weight").unionByName(by_cell.select("id", "weight")).groupBy("id").agg(F.sum("weight").alias("weight"))
     links = compared.where("other is not null").select("id", "other").unionByName(by_cell.select("id", "other")).unionByName(cell_links)
     groups_ = components(links, "id", "other")
-    known = classes.select("label", "key", "id").join(counted, "id", "left").join(groups_, F.col("id") == F.col("node"), "left")
-    known = known.select("label", "key", (F.coalesce("weight", F.lit(1)) - 1).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    grouped = classes.select("label", "key", "id", "first").join(groups_, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id"))
+    grouped = written(grouped.select("label", "key", "id", "first", "component"), "vector-groups")
+    named = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
+    known = grouped.join(counted, "id", "left").join(named, "component")
+    known = known.select("label", "key", (F.coalesce("weight", F.lit(1)) - 1).cast("long").alias("n_links"), "component_id")
     return units.join(known, ["label", "key"], "left").select(
-        F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", F.col("id").cast("long")).alias("component_id")
-    ).withColumn("kept", F.col(id_col) == F.col("component_id"))
+        F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id")
+    ).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
