@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -253,9 +254,10 @@ def links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     that is near enough.
     """
     rows = lines.select("node", "line").transform(small_batches).mapInArrow(_keys(threshold), "key long, node long, kind byte, mark long")
-    indexed = F.when(F.col("kind") == 0, F.struct("node", "mark"))
-    keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(indexed).alias("pivot")).where("n > 1 and pivot is not null")
-    keys = keys.select("key", F.col("pivot.node").alias("pivot"), F.col("pivot.mark").alias("pivot_mark"))
+    indexed = F.when(F.col("kind") == 0, F.col("node"))
+    # Minima of numbers alone, which are aggregated by hash and need no sort.
+    keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(indexed).alias("pivot"), F.min_by("mark", indexed).alias("pivot_mark"))
+    keys = keys.where("n > 1 and pivot is not null").drop("n")
     met = written(rows.join(keys, "key").where("node != pivot"), "line-keys")
     like = F.bit_count(F.col("mark").bitwiseXOR(F.col("pivot_mark"))) <= 4 * threshold
     first = _verified(met.where(like).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")), lines, threshold)
@@ -277,9 +279,14 @@ def links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 def _occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """(id, mark, place, line) for each line long enough; ``mark`` tells texts of one id apart."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    found = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), F.posexplode(F.split(text, "\n")).alias("place", "line"))
-    line = F.trim(F.regexp_replace("line", r"[\x09-\x0D]+", " "))
-    return found.withColumn("line", line).where(F.length("line") >= max(min_chars, 1))
+    # Below the generator, so that a text is hashed and searched for white space once, not once for each of its lines;
+    # most texts have none but spaces and line ends, which a search for single bytes tells faster than a pattern. Every
+    # text has a line; the outer generator spares Spark's own filter for that, which would split the texts once more.
+    rare = functools.reduce(Column.__or__, [F.contains(text, F.lit(c)) for c in "\t\x0b\x0c\r"])
+    plain = F.when(rare, F.regexp_replace(text, r"[\x09\x0B-\x0D]+", " ")).otherwise(text)
+    marked = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), F.split(plain, "\n").alias("lines"))
+    found = marked.select("id", "mark", F.posexplode_outer("lines").alias("place", "line")).withColumn("line", F.trim("line"))
+    return found.where(F.length("line") >= min_chars if min_chars > 1 else F.col("line") != "")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = 1) -> DataFrame:

@@ -22,7 +22,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every document its number of lines, and which of them repeat an earlier line of the corpus."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     text = F.coalesce("text", F.lit(""))
-    lines = docs.select("doc_id", F.xxhash64(text).alias("mark"), F.size(F.split(text, "\n")).cast("long").alias("n_lines"))
+    lines = docs.select("doc_id", F.xxhash64(text).alias("mark"), (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
     repeats = line_dedup.repeated_lines(docs).toDF("id", "text_mark", "places")
     joined = lines.join(repeats, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("text_mark")), "left")
     places = F.coalesce("places", F.array().cast("array<int>"))
