@@ -90,3 +90,33 @@ def test_sketches_differ_by_no_more_than_the_sets():
         apart = sum(bin(int(i) ^ int(j)).count("1") for i, j in zip(jaccard.folded(x, size), jaccard.folded(y, size)))
         assert apart <= len(sets[0] ^ sets[1])
         assert jaccard.may_be_similar(x.tobytes(), y.tobytes(), apart) and not jaccard.may_be_similar(x.tobytes(), y.tobytes(), apart - 1)
+
+
+def test_fine_sketches_differ_by_no_more_than_the_sets():
+    rng = random.Random(5)
+    for n in (1, 40, 300, 3000):
+        a = {str(rng.randrange(10**9)).encode() for _ in range(n)}
+        b = set(list(a)[n // 4 :]) | {str(rng.randrange(10**9)).encode() for _ in range(n // 4)}
+        x, y = (jaccard.fine_sketch(jaccard.hashed(v)) for v in (a, b))
+        assert len(x) * 8 >= jaccard.FINE_LEAST
+        assert jaccard.may_be_similar(x.tobytes(), y.tobytes(), len(a ^ b))
+        # Nearly as far apart as the sets are, so a quarter of other shingles is told from a tenth.
+        assert n < 40 or not jaccard.may_be_similar(x.tobytes(), y.tobytes(), jaccard.most_apart(len(a), len(b)))
+
+
+def test_chains_beyond_the_pivots(spark, monkeypatch):
+    """Texts each similar to the next alone, so that no pivot reaches them all, under many common keys."""
+    for name, value in {"PIVOTS": 2, "HELD": 2, "PASSING": 3, "SKETCHES_HELD": 3, "SKETCHES_PASSING": 4, "FINE_HELD": 3, "FINE_PASSING": 4, "SMALL_ROWS": 5}.items():
+        monkeypatch.setattr(jaccard, name, value)
+    rng = random.Random(6)
+    words, rows = [f"w{i}" for i in range(100)], []
+    for i in range(40):
+        rows.append((i, " ".join(words)))
+        at = 7 * i % 90
+        words = words[:at] + [f"n{rng.randrange(10**6)}" for _ in range(6)] + words[at + 6 :]
+    for i in range(20):  # a common passage, and too much of their own
+        rows.append((100 + i, " ".join([f"w{j}" for j in range(40)] + [f"o{rng.randrange(10**6)}" for _ in range(40)])))
+    df = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect())
+    assert got == plain_kept(rows)
+    assert len(got) < 30
