@@ -12,6 +12,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from tablewright.llm import simhash
 from tablewright.llm.common import groups, meetings, small_batches, written
 from tablewright.llm.components import components
 
@@ -108,14 +109,14 @@ def histogram(found: set[bytes]) -> np.ndarray:
     return np.bincount((hashes % np.uint64(CELLS)).astype(np.int64), minlength=CELLS).astype(np.int32)
 
 
-#: What stands for a text until texts are compared: keys, number of shingles, sketch.
-SHAPE = {"prefix": "array<long>", "size": "int", "sketch": "binary"}
+#: What stands for a text until texts are compared: keys, number of shingles, sketch, SimHash fingerprint of the set.
+SHAPE = {"prefix": "array<long>", "size": "int", "sketch": "binary", "fingerprint": "long"}
 
 
 def _prefixes(width: int, similarity: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, prefixes, sizes, sketches = [], [], [], []
+            digests, prefixes, sizes, sketches, fingerprints = [], [], [], [], []
             for text in batch.column(1):
                 words = b" ".join((text.as_py() or "").encode().lower().split())
                 hashes = hashed(shingles(text.as_py(), width))
@@ -123,7 +124,8 @@ def _prefixes(width: int, similarity: Fraction):
                 prefixes.append(prefix(hashes, similarity) if len(hashes) else [])
                 sizes.append(len(hashes))
                 sketches.append(sketch(hashes).tobytes() if len(hashes) else b"")
-            columns = [pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary())]
+                fingerprints.append(simhash.majority(hashes[i : i + (1 << 16)] for i in range(0, len(hashes), 1 << 16)))
+            columns = [pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.array(fingerprints, pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "digest", *SHAPE])
 
     return run
@@ -160,6 +162,15 @@ def _verified(pairs: DataFrame, sketches: DataFrame, fetch: Callable[[DataFrame]
     return written(both.transform(small_batches).mapInArrow(run, "a long, b long"), "similar-links")
 
 
+def _alike(nodes: DataFrame) -> DataFrame:
+    """(a, b): pairs of nodes, as many as connect what fingerprints of at most four differing bits connect."""
+    prints = nodes.where("size > 0").select("node", F.col("fingerprint").alias("fp"))
+    heads = written(prints.groupBy("fp").agg(F.min("node").alias("head")), "similar-fingerprints")
+    equal = prints.join(heads, "fp").where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    near = simhash.links(heads.select("fp")).join(heads.toDF("a", "x"), "a").join(heads.toDF("b", "y"), "b")
+    return equal.unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+
+
 def _fine(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,7 +250,10 @@ def _apart(met: DataFrame, found: DataFrame) -> DataFrame:
 def links(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], width: int = SHINGLE, similarity: Fraction = SIMILARITY) -> DataFrame:
     """(a, b): links that connect what pairs of similar texts connect.
 
-    ``nodes`` has node, prefix, size and sketch; ``fetch`` gives (node, text) for a table of nodes.
+    ``nodes`` has node, prefix, size, sketch and fingerprint; ``fetch`` gives (node, text) for a table of nodes.
+
+    SimHash fingerprints near each other, found by Golay keys, tell the first pairs; these are verified like all others.
+    As texts just as similar can have fingerprints far apart, the rest is found exactly.
 
     Similar texts meet under a hash of both prefixes. Hashes that the same texts have are one key. All texts of a key
     are verified against one of them, its pivot; while texts of a key are in different groups of linked texts, up to
@@ -250,13 +264,15 @@ def links(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], width: int
     before texts meet.
     """
     sketches = nodes.select("node", "size", "sketch")
+    alike = _verified(_alike(nodes), sketches, fetch, width, similarity)
     rows = nodes.select("node", F.explode("prefix").alias("key"))
     keys = written(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1").select("key", "pivot"), "similar-heads")
     met = written(rows.join(keys, "key").where("node != pivot"), "similar-met")
     marks = [F.bit_xor(F.xxhash64("node", F.lit(seed))).alias(f"m{seed}") for seed in (0, 1)]
     once = met.groupBy("key", "pivot").agg(F.count("*").alias("n"), *marks).groupBy("n", "m0", "m1", "pivot").agg(F.min("key").alias("key"))
     met = written(met.join(once.select("key"), "key", "left_semi").select("key", "node", "pivot"), "similar-keys")
-    found = _verified(met.select(F.col("pivot").alias("a"), F.col("node").alias("b")), sketches, fetch, width, similarity)
+    pairs = met.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct().join(alike, ["a", "b"], "left_anti")
+    found = alike.unionByName(_verified(pairs, sketches, fetch, width, similarity))
 
     rest = _apart(met, found)
     for turn in range(1, PIVOTS):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,15 @@ PAIRS = [(i, (i + step) % SEGMENTS) for step in (1, 2) for i in range(SEGMENTS)]
 HELD, PASSING = 512, 8192
 
 
+def majority(parts: Iterable[Sequence[int]]) -> int:
+    """The bits that are set in over half of all hashes, as a signed number."""
+    total, ones = 0, np.zeros(64, np.int64)
+    for hashes in parts:
+        ones += np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        total += len(hashes)
+    return int(np.packbits(2 * ones > total).view(">i8")[0])
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """A signed 64-bit fingerprint; zero without words."""
     words = (text or "").encode().lower().split()
@@ -33,12 +42,8 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     ends = ends.tolist()
     width = min(shingle, len(words))
     spans = zip(starts[: len(words) - width + 1], ends[width - 1 :])
-    digest, total, ones = xxhash.xxh64_intdigest, 0, np.zeros(64, np.int64)
-    while hashes := [digest(joined[a:b], SEED) for a, b in itertools.islice(spans, 1 << 16)]:
-        bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        ones += bits.sum(axis=0, dtype=np.int64)
-        total += len(hashes)
-    return int(np.packbits(2 * ones > total).view(">i8")[0])
+    digest = xxhash.xxh64_intdigest
+    return majority([digest(joined[a:b], SEED) for a, b in part] for part in itertools.batched(spans, 1 << 16))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
