@@ -1,4 +1,4 @@
-"""A pipeline over ``documents``: quality rules, line dedup, near-dedup by shingles, packing."""
+"""A pipeline over ``documents``: quality rules, line dedup, near-dedup by SimHash and shingles, packing."""
 
 from __future__ import annotations
 
@@ -25,7 +25,10 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, which share four fifths of their shingles or more."""
+    """One document of each group of near copies, which share four fifths of their shingles or more.
+
+    SimHash fingerprints tell the first pairs; a join on shingle hashes finds all others. Every pair is verified.
+    """
     return jaccard.one_of_each(docs, width=SHINGLE)
 
 
