@@ -8,6 +8,8 @@ from tablewright.llm.common import written
 
 #: Far above the logarithm of any chain's length.
 MAX_ROUNDS = 60
+#: Links for each task of a round. A round has many exchanges, so few links are not dealt to all shuffle partitions.
+LINKS_A_TASK = 2048
 
 
 def _state(links: DataFrame) -> tuple:
@@ -21,7 +23,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each round turns links towards the smallest neighbour of either end, first among larger and then among smaller
     neighbours, so that trees become stars in a logarithmic number of rounds. Minima are aggregated before the
     shuffle and joined back, so a node with very many links is no single task's work; each round is written to the
-    shared folder. Only counts and sums reach the driver. No links give no rows.
+    shared folder. A round has as many tasks as its links are worth, or as the shuffle has partitions if these are
+    fewer. Only counts and sums reach the driver. No links give no rows.
     """
     x, y = F.col(a), F.col(b)
     links = links.where(x != y).select(F.greatest(x, y).alias("v"), F.least(x, y).alias("r")).distinct()
@@ -30,15 +33,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if not state[0]:
             break
-        both = links.unionByName(links.select(F.col("r").alias("v"), F.col("v").alias("r")))
-        low = both.groupBy("v").agg(F.min("r").alias("m")).select("v", F.least("v", "m").alias("m"))
+        tasks = 2 + state[0] // LINKS_A_TASK
+        both = links.unionByName(links.select(F.col("r").alias("v"), F.col("v").alias("r"))).coalesce(tasks)
+        low = both.groupBy("v").agg(F.min("r").alias("m")).coalesce(tasks).select("v", F.least("v", "m").alias("m"))
         # Larger neighbours of a node go to its smallest one.
-        large = both.where("r > v").join(low, "v").select(F.col("r").alias("v"), F.col("m").alias("r"))
-        large = large.where("v != r").distinct()
+        large = both.where("r > v").join(low, "v").coalesce(tasks).select(F.col("r").alias("v"), F.col("m").alias("r"))
+        large = large.where("v != r").distinct().coalesce(tasks)
         # Smaller neighbours of a node, and the node, go to its smallest one.
-        low = large.groupBy("v").agg(F.min("r").alias("m"))
-        small = large.join(low, "v").select(F.explode(F.array("v", "r")).alias("v"), F.col("m").alias("r"))
-        links = written(small.where("v != r").distinct(), "links")
+        low = large.groupBy("v").agg(F.min("r").alias("m")).coalesce(tasks)
+        small = large.join(low, "v").coalesce(tasks).select(F.explode(F.array("v", "r")).alias("v"), F.col("m").alias("r"))
+        links = written(small.where("v != r").distinct().coalesce(tasks), "links")
         found = _state(links)
         if found == state:
             break
