@@ -19,6 +19,9 @@ THRESHOLD, CHARS_PER_EDIT = 2, 16
 HELD, PASSING = 512, 8192
 #: So many line ids (8 bytes each) are broadcast at most.
 SMALL_IDS = 500_000
+#: Every so many lines one is looked at for hot keys; sightings among these that make a key hot; hot keys at most, which
+#: decide how rows are shared out, not what is found; and the slices of a hot key.
+EVERY, HOT_SEEN, HOT_KEYS, SLICES = 32, 64, 1000, 64
 
 
 def allowed(chars: int, threshold: int = THRESHOLD) -> int:
@@ -121,10 +124,11 @@ def _shape(length: int, threshold: int) -> np.ndarray:
     return np.array([(m * (threshold + 1) + i, p, p + size, side) for m, i, p, size, side in own + other]).T
 
 
-def _keys(threshold: int):
-    """Lines to (key, node, kind, mark): kind 0 for segments, 1 for substrings of other lengths or places.
+def _keys(threshold: int, hot: np.ndarray):
+    """Lines to (key, slice, node, kind, mark): kind 0 for segments, 1 for substrings of other lengths or places.
 
     A key hashes a substring, as a difference of running sums of characters times powers, with the segment it may be.
+    Rows of the ``hot`` keys (sorted) are dealt to slices from 1 on by node, all others are in slice 0.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,13 +151,17 @@ def _keys(threshold: int):
                 sums = np.r_[np.zeros(1, np.uint64), np.cumsum((codes + np.uint64(1)) * powers[:-1])]
                 keys = (sums[high] - sums[low]) * back[low]
                 keys = (keys ^ keys >> np.uint64(31)) * _MIX + tag.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
-                keys = (keys ^ keys >> np.uint64(29)) * _MIX
+                keys = ((keys ^ keys >> np.uint64(29)) * _MIX).view(np.int64)
+                node, slices = np.repeat(part.column("node").to_numpy(), counts), np.zeros(len(keys), np.int32)
+                if len(hot):
+                    found = hot[np.searchsorted(hot, keys).clip(max=len(hot) - 1)] == keys
+                    slices[found] = 1 + (node[found].view(np.uint64) * _MIX >> np.uint64(32)) % np.uint64(SLICES)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(keys.view(np.int64)), pa.array(np.repeat(part.column("node").to_numpy(), counts)),
+                        pa.array(keys), pa.array(slices), pa.array(node),
                         pa.array(kind.astype(np.int8)), pa.array(np.repeat(sketches(codes, starts), counts)),
                     ],
-                    ["key", "node", "kind", "mark"],
+                    ["key", "slice", "node", "kind", "mark"],
                 )
 
     return run
@@ -241,24 +249,49 @@ def _verified(pairs: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
     return written(both.transform(small_batches).mapInArrow(run, "a long, b long"), "line-links")
 
 
+#: What ``_keys`` gives. Columns without nulls need no filters for them, with which the exchange below would not be shared.
+_KEY_ROWS = "key long not null, slice int not null, node long not null, kind byte not null, mark long not null"
+
+
+def _with_pivots(lines: DataFrame, threshold: int) -> DataFrame:
+    """(key, node, kind, mark, pivot, pivot_mark) for each row of a key that has an indexed line and another one, but the pivot's.
+
+    Rows go through one exchange, which both the keys' pivots and the join with these read. A key's pivot is its
+    smallest indexed line. Only hot keys, of which a part of the lines shows many rows, are dealt to slices: the
+    smallest indexed line of that part is the pivot of all their slices.
+    """
+    indexed = F.when(F.col("kind") == 0, F.col("node"))
+    # Minima of numbers alone, which are aggregated by hash and need no sort.
+    pivots = [F.count("*").alias("n"), F.min(indexed).alias("pivot"), F.min_by("mark", indexed).alias("pivot_mark")]
+
+    def keyed(df: DataFrame, hot: np.ndarray) -> DataFrame:
+        return df.select("node", "line").transform(small_batches).mapInArrow(_keys(threshold, hot), _KEY_ROWS)
+
+    seen = keyed(lines.where(F.col("node") % EVERY == 0), np.zeros(0, np.int64)).groupBy("key").agg(*pivots)
+    hot = seen.where(f"n >= {HOT_SEEN} and pivot is not null").orderBy(F.desc("n"), "key").limit(HOT_KEYS).collect()
+    rows = keyed(lines, np.array(sorted(r.key for r in hot), np.int64)).repartition("key", "slice")
+    keys = rows.groupBy("key", "slice").agg(*pivots).where("slice > 0 or n > 1 and pivot is not null").drop("n")
+    if hot:
+        own = lines.sparkSession.createDataFrame([(r.key, r.pivot, r.pivot_mark) for r in hot], "key long, hot long, hot_mark long")
+        keys = keys.join(F.broadcast(own), "key", "left")
+        keys = keys.select("key", "slice", F.coalesce("hot", "pivot").alias("pivot"), F.coalesce("hot_mark", "pivot_mark").alias("pivot_mark"))
+    # Pivots are hashed, as they are few beside the rows, which then need no sort.
+    return rows.join(keys.hint("shuffle_hash"), ["key", "slice"]).where("node != pivot").drop("slice")
+
+
 def links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(a, b): links that connect distinct lines (node, line) within the edits allowed for their length.
 
     A line is cut into threshold + 1 segments, of which an edited line keeps at least one. The index has a key for
     each segment, with the line's length and the segment's number; a line probes it with those of its substrings
-    that could be a segment of a line as long as itself or shorter by up to the threshold. Of each key the smallest
+    that could be a segment of a line as long as itself or shorter by up to the threshold. Of each key one
     indexed line is the pivot, which all others are verified against first. Only where a line is not linked to its
     pivot are the key's other pairs needed, since lines linked to the pivot are connected already; those keys are
     worked off in blocks, so that a key of any size is shared out, and give links enough to connect what is near, not
     all pairs. Sketches of a line's character pairs drop most pairs before the edit distance, without dropping any
     that is near enough.
     """
-    rows = lines.select("node", "line").transform(small_batches).mapInArrow(_keys(threshold), "key long, node long, kind byte, mark long")
-    indexed = F.when(F.col("kind") == 0, F.col("node"))
-    # Minima of numbers alone, which are aggregated by hash and need no sort.
-    keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(indexed).alias("pivot"), F.min_by("mark", indexed).alias("pivot_mark"))
-    keys = keys.where("n > 1 and pivot is not null").drop("n")
-    met = written(rows.join(keys, "key").where("node != pivot"), "line-keys")
+    met = written(_with_pivots(lines, threshold), "line-keys")
     like = F.bit_count(F.col("mark").bitwiseXOR(F.col("pivot_mark"))) <= 4 * threshold
     first = _verified(met.where(like).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")), lines, threshold)
 
