@@ -7,7 +7,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablewright.llm.common import groups, meetings, small_batches, written
@@ -221,13 +220,6 @@ def _connected(threshold: int):
     return run
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    node = TaskContext.get().partitionId() << 36
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(node, node + batch.num_rows)), *batch.columns], ["node", *batch.schema.names])
-        node += batch.num_rows
-
-
 def _texts(nodes: DataFrame, lines: DataFrame) -> DataFrame:
     """(node, line) of the nodes; their ids are broadcast where they are few, so that other lines are not shuffled."""
     ids = written(nodes.select("node").distinct(), "line-ids")
@@ -322,6 +314,11 @@ def _occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
     return found.where(F.length("line") >= min_chars if min_chars > 1 else F.col("line") != "")
 
 
+def _digest(line: Column) -> Column:
+    """128 bits that stand for a line, as two numbers."""
+    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))
+
+
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = 1) -> DataFrame:
     """(id, mark, places): numbers of the lines of each text that repeat an earlier line of the corpus.
 
@@ -332,14 +329,14 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     seen = _occurrences(docs, id_col, text_col, min_chars)
     first = F.min(F.struct("id", "mark", "place")).alias("first")
     per_text = seen.groupBy("line").agg(first, F.count("*").alias("n"))
-    fields = "node long, line string, first struct<id: {}, mark: long, place: int>, n long".format(docs.schema[id_col].dataType.simpleString())
-    lines = written(per_text.transform(small_batches).mapInArrow(_numbered, fields), "lines")
+    # Numbered by Spark itself; the numbers stay, as they are written.
+    lines = written(per_text.select(F.monotonically_increasing_id().alias("node"), "line", "first", "n"), "lines")
     classes = components(links(lines.where(F.length("line") >= CHARS_PER_EDIT), threshold))
-    named = lines.select("node", F.md5("line").alias("digest"), "first", "n").join(classes, "node", "left")
+    named = lines.select("node", _digest(F.col("line")).alias("digest"), "first", "n").join(classes, "node", "left")
     named = written(named.select("digest", "first", "n", F.coalesce("component", "node").alias("class")), "line-classes")
     heads = named.groupBy("class").agg(F.min("first").alias("head"), F.sum("n").alias("total")).where("total > 1")
     heads = written(named.join(heads, "class").select("digest", "head"), "line-heads")
-    places = seen.select("id", "mark", "place", F.md5("line").alias("digest")).join(heads, "digest")
+    places = seen.select("id", "mark", "place", _digest(F.col("line")).alias("digest")).join(heads, "digest")
     later = ~F.struct("id", "mark", "place").eqNullSafe(F.col("head"))
     return places.where(later).groupBy("id", "mark").agg(F.sort_array(F.collect_set("place")).alias("places"))
 
