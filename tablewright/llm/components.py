@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tablewright.llm.common import written
+from tablewright.llm.common import unsized, written
 
 #: Far above the logarithm of any chain's length.
 MAX_ROUNDS = 60
 #: Links for each task of a round. A round has many exchanges, so few links are not dealt to all shuffle partitions.
 LINKS_A_TASK = 2048
+#: Of more links than that none of a round's tables is broadcast: files hold numbers of nodes in a part of their size.
+SMALL_LINKS = 200_000
 
 
 def _state(links: DataFrame) -> tuple:
@@ -33,14 +35,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if not state[0]:
             break
-        tasks = 2 + state[0] // LINKS_A_TASK
+        tasks, many = 2 + state[0] // LINKS_A_TASK, state[0] > SMALL_LINKS
         both = links.unionByName(links.select(F.col("r").alias("v"), F.col("v").alias("r"))).coalesce(tasks)
         low = both.groupBy("v").agg(F.min("r").alias("m")).coalesce(tasks).select("v", F.least("v", "m").alias("m"))
+        low = unsized(low) if many else low
         # Larger neighbours of a node go to its smallest one.
         large = both.where("r > v").join(low, "v").coalesce(tasks).select(F.col("r").alias("v"), F.col("m").alias("r"))
         large = large.where("v != r").distinct().coalesce(tasks)
         # Smaller neighbours of a node, and the node, go to its smallest one.
         low = large.groupBy("v").agg(F.min("r").alias("m")).coalesce(tasks)
+        low = unsized(low) if many else low
         small = large.join(low, "v").coalesce(tasks).select(F.explode(F.array("v", "r")).alias("v"), F.col("m").alias("r"))
         links = written(small.where("v != r").distinct().coalesce(tasks), "links")
         found = _state(links)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tablewright.llm import golay
-from tablewright.llm.common import groups, meetings, small_batches, written
+from tablewright.llm.common import groups, meetings, small_batches, unsized, written
 from tablewright.llm.components import components
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
@@ -142,11 +142,11 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.when(F.col("own"), F.col("fp"))).alias("pivot"))
     keys = keys.where("n > 1 and pivot is not null").select("key", "pivot")
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("pivot"))) <= max_bits
-    met = written(rows.join(keys, "key").where("fp != pivot").withColumn("near", near), "simhash-keys")
+    met = written(rows.join(unsized(keys), "key").where("fp != pivot").withColumn("near", near), "simhash-keys")
     star = met.where("near").select(F.col("fp").alias("a"), F.col("pivot").alias("b")).distinct()
 
     sizes = met.groupBy("key").agg(F.count("*").alias("n"), F.count(F.when(~F.col("near"), 1)).alias("far"), F.count(F.when(F.col("own"), 1)).alias("owners"))
-    left = met.join(sizes.where("n > 1 and far > 0 and owners > 0").select("key"), "key", "left_semi").select("key", "fp", "own", "near")
+    left = met.join(unsized(sizes.where("n > 1 and far > 0 and owners > 0").select("key")), "key", "left_semi").select("key", "fp", "own", "near")
     # Owners not near the pivot meet all rows; owners near it meet those that are not.
     held = left.where("own").select("key", F.col("near").cast("int").alias("part"), "fp")
     passing = left.select("key", F.lit(0).alias("part"), "fp").unionByName(left.where("not near").select("key", F.lit(1).alias("part"), "fp"))
