@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tablewright.llm import simhash
-from tablewright.llm.common import groups, meetings, small_batches, written
+from tablewright.llm.common import groups, meetings, small_batches, unsized, written
 from tablewright.llm.components import components
 
 SHINGLE, SEED = 5, 42
@@ -142,7 +142,7 @@ def _verified(pairs: DataFrame, sketches: DataFrame, fetch: Callable[[DataFrame]
     """The pairs (a, b) of nodes whose texts are similar; texts are fetched only for pairs that sizes and sketches leave."""
     p, q = similarity.numerator, similarity.denominator
     fits = f"{p} * (a_size + b_size) <= {p + q} * least(a_size, b_size)"
-    sized = pairs.distinct().join(sketches.toDF("a", "a_size", "a_sketch"), "a").join(sketches.toDF("b", "b_size", "b_sketch"), "b").where(fits)
+    sized = unsized(pairs.distinct()).join(sketches.toDF("a", "a_size", "a_sketch"), "a").join(sketches.toDF("b", "b_size", "b_sketch"), "b").where(fits)
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,7 +150,7 @@ def _verified(pairs: DataFrame, sketches: DataFrame, fetch: Callable[[DataFrame]
             yield batch.select(["a", "b"]).filter(pa.array([may_be_similar(x, y, most_apart(m, n, similarity)) for m, n, x, y in rows], pa.bool_()))
 
     left = written(sized.transform(small_batches).mapInArrow(sketched, "a long, b long"), "similar-pairs")
-    texts = fetch(left.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    texts = unsized(fetch(left.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
     both = left.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,10 +241,10 @@ def _connected(width: int, similarity: Fraction):
 
 def _apart(met: DataFrame, found: DataFrame) -> DataFrame:
     """(key, node, group, main): rows of the keys whose texts ``found`` has not connected yet; ``main`` is a key's largest group."""
-    rows = met.join(components(found), "node", "left").select("key", "node", F.coalesce("component", "node").alias("group"))
+    rows = unsized(met).join(components(found), "node", "left").select("key", "node", F.coalesce("component", "node").alias("group"))
     rows = written(rows, "similar-groups")
     main = rows.groupBy("key", "group").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("groups"), F.max(F.struct("n", "group")).alias("most"))
-    return written(rows.join(main.where("groups > 1").select("key", F.col("most.group").alias("main")), "key"), "similar-apart")
+    return written(unsized(rows).join(main.where("groups > 1").select("key", F.col("most.group").alias("main")), "key"), "similar-apart")
 
 
 def links(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], width: int = SHINGLE, similarity: Fraction = SIMILARITY) -> DataFrame:
@@ -267,11 +267,12 @@ def links(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], width: int
     alike = _verified(_alike(nodes), sketches, fetch, width, similarity)
     rows = nodes.select("node", F.explode("prefix").alias("key"))
     keys = written(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1").select("key", "pivot"), "similar-heads")
+    keys = F.broadcast(keys) if keys.count() <= SMALL_ROWS else unsized(keys)
     met = written(rows.join(keys, "key").where("node != pivot"), "similar-met")
     marks = [F.bit_xor(F.xxhash64("node", F.lit(seed))).alias(f"m{seed}") for seed in (0, 1)]
     once = met.groupBy("key", "pivot").agg(F.count("*").alias("n"), *marks).groupBy("n", "m0", "m1", "pivot").agg(F.min("key").alias("key"))
     met = written(met.join(once.select("key"), "key", "left_semi").select("key", "node", "pivot"), "similar-keys")
-    pairs = met.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct().join(alike, ["a", "b"], "left_anti")
+    pairs = unsized(met.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()).join(alike, ["a", "b"], "left_anti")
     found = alike.unionByName(_verified(pairs, sketches, fetch, width, similarity))
 
     rest = _apart(met, found)
@@ -279,16 +280,16 @@ def links(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], width: int
         if rest.isEmpty():
             return found
         drawn = rest.groupBy("key").agg(F.min_by(F.struct("node", "group"), F.xxhash64("node", F.lit(turn))).alias("pivot"))
-        pairs = rest.join(drawn, "key").where("group != pivot.group").select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b"))
+        pairs = unsized(rest).join(drawn, "key").where("group != pivot.group").select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b"))
         found = written(found.unionByName(_verified(pairs, sketches, fetch, width, similarity)), "similar-found")
         rest = _apart(rest.select("key", "node"), found)
-    left = rest.join(sketches, "node")
+    left = unsized(rest).join(sketches, "node")
     promising = _left(left.where("group != main").drop("main"), left.drop("main"), SKETCHES_HELD, SKETCHES_PASSING, _promising(similarity))
     texts = fetch(promising.select("node").distinct())
     fine = written(texts.select("node", "text").transform(small_batches).mapInArrow(_fine(width), "node long, size int, sketch binary"), "similar-fine")
     left = promising.join(fine, "node")
     promising = _left(left.where("not passes").drop("passes"), left.where("passes").drop("passes"), FINE_HELD, FINE_PASSING, _promising(similarity, FINE_LEAST))
-    left = promising.join(texts, "node")
+    left = promising.join(unsized(texts), "node")
     shared = meetings(left.where("not passes").drop("passes"), left.where("passes").drop("passes"), ["key"], "node", HELD, PASSING)
     return found.unionByName(shared.transform(small_batches).mapInArrow(_connected(width, similarity), "a long, b long"))
 

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tablewright.llm.common import groups, meetings, small_batches, written
+from tablewright.llm.common import groups, meetings, small_batches, unsized, written
 from tablewright.llm.components import components
 
 #: Edits that two lines may be apart, and the characters of a line for each edit; shorter lines have only exact copies.
@@ -229,7 +229,7 @@ def _texts(nodes: DataFrame, lines: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) whose lines are within the edits allowed."""
     pairs = written(pairs.distinct(), "line-pairs")
-    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("node")), lines)
+    texts = unsized(_texts(pairs.select(F.explode(F.array("a", "b")).alias("node")), lines))
     both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,7 +296,7 @@ def links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     shared = meetings(held.drop("kind", "near"), passing.drop("kind", "near"), ["key", "part"], "node", HELD, PASSING)
     promising = shared.transform(small_batches).mapInArrow(_promising(threshold), "key long, part int, passes boolean, node long")
     promising = written(promising.distinct(), "line-promising")
-    texts = promising.join(_texts(promising, lines), "node")
+    texts = promising.join(unsized(_texts(promising, lines)), "node")
     shared = meetings(texts.where("not passes").drop("passes"), texts.where("passes").drop("passes"), ["key", "part"], "node", HELD, PASSING)
     return first.unionByName(shared.transform(small_batches).mapInArrow(_connected(threshold), "a long, b long"))
 

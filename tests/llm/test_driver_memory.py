@@ -2,7 +2,8 @@
 
 import random
 
-from tablewright.llm import components, simhash
+from tablewright.llm import components, jaccard, simhash
+from test_jaccard import changed
 
 
 def planned(monkeypatch, module):
@@ -33,3 +34,14 @@ def test_many_links_are_not_broadcast(spark, monkeypatch):
     assert {r.component for r in components.components(links).collect()} == {0}
     rounds = [p for p in plans["links"] if "Join" in p]
     assert rounds and not any("Broadcast" in p for p in rounds)
+
+
+def test_rows_of_shingles_are_not_broadcast(spark, monkeypatch):
+    plans, rng, rows = planned(monkeypatch, jaccard), random.Random(2), []
+    for _ in range(10):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        rows += [(len(rows) + k, " ".join(changed(rng, words, k))) for k in range(3)]
+    monkeypatch.setattr(jaccard, "SMALL_ROWS", 0)
+    assert jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).count() == 10
+    for label in ("similar-met", "similar-links"):
+        assert plans[label] and not any("Broadcast" in p for p in plans[label]), label
