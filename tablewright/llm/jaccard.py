@@ -28,6 +28,9 @@ FINE_HELD, FINE_PASSING = 2048, 8192
 PIVOTS = 4
 #: A table of at most so many nodes (under 50 bytes each) is broadcast.
 SMALL_ROWS = 200_000
+#: Of one text in so many all shingles are counted; sightings among these that make a shingle common; common ones at most.
+#: They decide in which order shingles are taken as keys, not what is found.
+EVERY, COMMON_SEEN, COMMON = 16, 4, 1 << 17
 #: Bits of the shortest sketch.
 LEAST_BITS = 512
 #: Places of a fine sketch: for each shingle, at least and at most.
@@ -58,13 +61,17 @@ def hashed(found: set[bytes]) -> np.ndarray:
     return np.sort(np.array([xxhash.xxh64_intdigest(s, SEED) for s in found], np.uint64))
 
 
-def prefix(hashes: np.ndarray, similarity: Fraction = SIMILARITY) -> np.ndarray:
+def prefix(hashes: np.ndarray, similarity: Fraction = SIMILARITY, common: np.ndarray | None = None) -> np.ndarray:
     """The smallest of a set's sorted hashes, as many as make sure that two similar sets have one in common.
 
     Of n shingles a similar set has at least the similarity's share, so at most n less that share are its alone;
-    of one more than those, taken in an order that all sets follow, one is common and among the other's too.
+    of one more than those, taken in an order that all sets follow, one is common and among the other's too. Hashes
+    that are ``common`` (sorted) to many texts come last in that order.
     """
     least = -(-similarity.numerator * len(hashes) // similarity.denominator)
+    if common is not None and len(common):
+        last = common[np.searchsorted(common, hashes).clip(max=len(common) - 1)] == hashes
+        hashes = np.concatenate([hashes[~last], hashes[last]])
     return hashes[: len(hashes) - least + 1].view(np.int64)
 
 
@@ -113,7 +120,25 @@ def histogram(found: set[bytes]) -> np.ndarray:
 SHAPE = {"prefix": "array<long>", "size": "int", "sketch": "binary", "fingerprint": "long"}
 
 
-def _prefixes(width: int, similarity: Fraction):
+def _counted(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [hashed(shingles(text.as_py(), width)) for text in batch.column(0)]
+            key, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
+
+    return run
+
+
+def common_shingles(texts: DataFrame, text_col: str, width: int) -> np.ndarray:
+    """Sorted hashes of shingles that many of the texts have, as far as a part of these shows it; at most ``COMMON``."""
+    some = texts.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark")).where(F.pmod("mark", F.lit(EVERY)) == 0).dropDuplicates(["mark"])
+    counted = some.select("text").transform(small_batches).mapInArrow(_counted(width), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    found = written(counted.where(f"n >= {COMMON_SEEN}").orderBy(F.desc("n"), "key").limit(COMMON), "common-shingles").toPandas()
+    return np.sort(found["key"].to_numpy(np.int64).view(np.uint64))
+
+
+def _prefixes(width: int, similarity: Fraction, common: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             digests, prefixes, sizes, sketches, fingerprints = [], [], [], [], []
@@ -121,7 +146,7 @@ def _prefixes(width: int, similarity: Fraction):
                 words = b" ".join((text.as_py() or "").encode().lower().split())
                 hashes = hashed(shingles(text.as_py(), width))
                 digests.append(xxhash.xxh3_128_digest(words))
-                prefixes.append(prefix(hashes, similarity) if len(hashes) else [])
+                prefixes.append(prefix(hashes, similarity, common) if len(hashes) else [])
                 sizes.append(len(hashes))
                 sketches.append(sketch(hashes).tobytes() if len(hashes) else b"")
                 fingerprints.append(simhash.majority(hashes[i : i + (1 << 16)] for i in range(0, len(hashes), 1 << 16)))
@@ -310,9 +335,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own_id, own_text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
     marked = docs.toDF(*names).withColumn("_key", F.struct(F.col(own_id).alias("id"), F.xxhash64(F.coalesce(own_text, F.lit(""))).alias("mark")))
     kind = marked.schema["_key"].dataType.simpleString()
+    common = common_shingles(marked, own_text, width)
     rows = marked.select(F.col("_key").alias("id"), own_text).transform(small_batches)
     shape = ", ".join(f"{name} {of}" for name, of in SHAPE.items())
-    found = rows.mapInArrow(_prefixes(width, similarity), f"id {kind}, digest binary, {shape}")
+    found = rows.mapInArrow(_prefixes(width, similarity, common), f"id {kind}, digest binary, {shape}")
     copies = found.groupBy("digest").agg(F.min(F.struct("id", *SHAPE)).alias("low"))
     copies = copies.select(F.col("low.id").alias("low"), *[f"low.{name}" for name in SHAPE])
     nodes = written(copies.transform(small_batches).mapInArrow(_numbered, f"node long, low {kind}, {shape}"), "text-nodes")
@@ -328,5 +354,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups_ = components(links(nodes, fetch, width, similarity))
     rooted = nodes.select("node", "low").join(groups_, "node", "left").select("low", F.coalesce("component", "node").alias("root"))
     first = rooted.groupBy("root").agg(F.min("low").alias("_first")).select("_first")
-    kept = marked.join(first, F.col("_key") == F.col("_first"), "left_semi")
-    return kept.dropDuplicates(["_key"]).select(*names).toDF(*docs.columns)
+    # Most rows stay and are alone with their key: the others' keys are looked up, so that no text of theirs is shuffled.
+    odd = marked.groupBy(F.col("_key").alias("_odd")).agg(F.count("*").alias("n")).join(first, F.col("_odd") == F.col("_first"), "left")
+    odd = written(odd.where("n > 1 or _first is null").select("_odd", F.col("_first").isNotNull().alias("_stays")), "similar-odd")
+    looked_up = marked.join(F.broadcast(odd) if odd.count() <= SMALL_ROWS else unsized(odd), F.col("_key") == F.col("_odd"), "left")
+    again = looked_up.where("_stays").dropDuplicates(["_key"])
+    return looked_up.where("_odd is null").select(*names).unionByName(again.select(*names)).toDF(*docs.columns)
