@@ -3,47 +3,66 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from tablewright.llm.common import groups, meetings, small_batches, written
+from tablewright.llm.common import groups, meetings, small_batches, unsized, written
 from tablewright.llm.components import components
 
 COSINE = 0.93
 #: A cell of more vectors is split, around at most so many centres found among a sample of about so many vectors.
 LEAF, CENTRES, SAMPLE = 1024, 128, 1024
 LEVELS = 14
+#: Vectors of a tile of leaves; tiles that a leaf may have; vectors that a round of meetings moves at least, if there
+#: are as many to move; and pairs of tiles that are broadcast at most.
+TILE, PARTS, LEAST_ROUND, SMALL_PAIRS = 16384, 1 << 16, 1 << 17, 200_000
+#: Vectors of a cell that a task puts to their centres.
+SLICE = 20_000
 #: Slack for rounding in bounds on distances.
 SLACK = 1e-9
 
 
-def unit_vectors(rows: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """(id, label, unit): unit vectors as bytes of doubles; null for those that link with nothing."""
-    label = rows.schema[label_col].dataType.simpleString()
+def linkable_vectors(rows: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
+    """(id, label, key, vector): vectors as bytes of their own type, and SHA-256 of their unit vectors; null for those that link with nothing."""
+    label, raw = rows.schema[label_col].dataType.simpleString(), _raw(rows, vector_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units = []
-            for vector, kind in zip(batch.column(2).to_pylist(), batch.column(1)):
-                unit = None
-                if vector and kind.is_valid and None not in vector:
+            keys, vectors = [], []
+            for vector, kind, own in zip(batch.column(2).to_pylist(), batch.column(1), batch.column(0)):
+                key = data = None
+                if vector and kind.is_valid and own.is_valid and None not in vector:
                     v = np.array(vector, np.float64)
                     largest = np.abs(v).max()
                     if np.isfinite(largest) and largest > 0:
                         v = v / largest
-                        unit = (v / np.sqrt(v @ v)).tobytes()
-                units.append(unit)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(units, pa.binary())], ["id", "label", "unit"])
+                        key, data = hashlib.sha256((v / np.sqrt(v @ v)).tobytes()).digest(), np.array(vector, raw).tobytes()
+                keys.append(key)
+                vectors.append(data)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(vectors, pa.binary())], ["id", "label", "key", "vector"])
 
-    return rows.select(id_col, label_col, vector_col).transform(small_batches).mapInArrow(run, f"id {rows.schema[id_col].dataType.simpleString()}, label {label}, unit binary")
+    return rows.select(id_col, label_col, vector_col).transform(small_batches).mapInArrow(run, f"id {rows.schema[id_col].dataType.simpleString()}, label {label}, key binary, vector binary")
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+def _raw(rows: DataFrame, vector_col: str) -> str:
+    """The type that vectors travel in: that of the column, so that floats are not made twice their size."""
+    return "<f4" if rows.schema[vector_col].dataType.elementType.simpleString() == "float" else "<f8"
+
+
+def _matrix(column: pa.ChunkedArray, raw: str = "<f8") -> np.ndarray:
     found = column.to_pylist()
-    return np.frombuffer(b"".join(found), np.float64).reshape(len(found), -1)
+    return np.frombuffer(b"".join(found), raw).reshape(len(found), -1)
+
+
+def _units(column: pa.ChunkedArray, raw: str) -> np.ndarray:
+    """Unit vectors of vectors."""
+    found = _matrix(column, raw).astype(np.float64)
+    found /= np.abs(found).max(axis=1, keepdims=True)
+    return found / np.sqrt((found * found).sum(axis=1, keepdims=True))
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -51,36 +70,37 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T), 0))
 
 
-def _centres(radius: float):
+def _centres(radius: float, raw: str):
     """Of each cell's sample, vectors farther than ``radius`` from each other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (cell,), rows in groups(batches, ["cell"]):
-            units = _matrix(rows["unit"])
+            units, vectors = _units(rows["vector"], raw), rows["vector"].to_pylist()
             left, chosen = np.arange(len(units)), []
             while len(left) and len(chosen) < min(CENTRES, rows["most"][0].as_py()):
-                chosen.append(units[left[0]])
-                left = left[_distances(chosen[-1][None], units[left])[0] > radius]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([cell] * len(chosen)), pa.array(range(len(chosen)), pa.int64()), pa.array([c.tobytes() for c in chosen], pa.binary())], ["cell", "id", "unit"]
-            )
+                chosen.append(int(left[0]))
+                left = left[_distances(units[chosen[-1]][None], units[left])[0] > radius]
+            columns = [pa.array(range(len(chosen)), pa.int64()), pa.array([vectors[c] for c in chosen], pa.binary()), pa.array([units[c].tobytes() for c in chosen], pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array([cell] * len(chosen)), *columns], ["cell", "id", "vector", "centre"])
 
     return run
 
 
-def _assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _assign(raw: str):
     """Each passing vector goes to the nearest of its cell's held centres."""
-    for (cell, _, _), rows in groups(batches, ["cell", "block", "slice"]):
-        n = int((rows["side"].to_numpy() == 0).sum())
-        centres, points = rows.slice(0, n), rows.slice(n)
-        units, order = _matrix(centres["unit"]), centres["id"].to_pylist()
-        for batch in points.to_batches(max_chunksize=2048):
-            far = _distances(_matrix(pa.chunked_array([batch.column("unit")])), units)
-            near = far.argmin(axis=1)
-            cells = [f"{cell}/{order[i]}" for i in near]
-            arrays = [batch.column("id"), batch.column("unit"), batch.column("weight"), pa.array(cells), pa.array(far[np.arange(len(near)), near])]
-            centre = pa.array([units[i].tobytes() for i in near], pa.binary())
-            yield pa.RecordBatch.from_arrays([*arrays, centre], ["id", "unit", "weight", "cell", "far", "centre"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (cell, _), rows in groups(batches, ["cell", "slice"]):
+            n = int((rows["side"].to_numpy() == 0).sum())
+            centres, points = rows.slice(0, n), rows.slice(n)
+            units, order = _units(centres["vector"], raw), centres["id"].to_pylist()
+            for batch in points.to_batches(max_chunksize=2048):
+                far = _distances(_units(pa.chunked_array([batch.column("vector")]), raw), units)
+                near = far.argmin(axis=1)
+                cells = [f"{cell}/{order[i]}" for i in near]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(cells), pa.array(far[np.arange(len(near)), near])], ["id", "cell", "far"])
+
+    return run
 
 
 def _expand(reach: float):
@@ -108,77 +128,153 @@ def _expand(reach: float):
     return run
 
 
-def _compare(cosine: float):
-    """Exact cosines of two leaves' vectors: rows with the weight linked to a vector, and links that connect them."""
+def _connected(close: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int, int]]:
+    """A chain over the rows and columns of each connected block of the matrix, as far as other points are reached."""
+    found, rest = [], np.flatnonzero((close & (left[:, None] != right[None, :])).any(axis=1))
+    while len(rest):
+        rows, columns = np.zeros(len(left), bool), close[rest[0]].copy()
+        rows[rest[0]] = True
+        while True:
+            more = close[:, columns].any(axis=1)
+            wider = close[more].any(axis=0)
+            if (more == rows).all() and (wider == columns).all():
+                break
+            rows, columns = more, wider
+        first = int(left[rest[0]])
+        found += [(first, int(x), 0) for x in np.concatenate([left[rows], right[columns]]) if x != first]
+        rest = rest[~rows[rest]]
+    return found
+
+
+def _compare(cosine: float, raw: str):
+    """Exact cosines of leaves' vectors in two tiles: rows with the weight linked to a vector, and links that connect them.
+
+    A tile's rows are pairs of leaves (side 0), vectors of the one tile (1) and, if it is another, of the other (2).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (a, b, block, slice_), rows in groups(batches, ["a", "b", "block", "slice"]):
-            n = int((rows["side"].to_numpy() == 0).sum())
-            left, right = rows.slice(0, n), rows.slice(n)
-            if not n or not len(right):
-                continue
-            u, v = _matrix(left["unit"]), _matrix(right["unit"])
-            close = u @ v.T >= cosine
-            i, j = left["id"].to_numpy(), right["id"].to_numpy()
-            close |= i[:, None] == j[None, :]  # a point links with itself, whatever its product is rounded to
-            weight = [(i, close @ right["weight"].to_numpy())]
-            if a != b:
-                weight.append((j, left["weight"].to_numpy() @ close))
-            found = []
-            for ids, total in weight:
-                found += [(x, None, t) for x, t in zip(ids[total > 0].tolist(), total[total > 0].tolist())]
-            # A chain over the rows and columns of each connected block of the matrix.
-            rest = np.flatnonzero(close.any(axis=1))
-            while len(rest):
-                block_rows, block_columns = np.zeros(len(i), bool), close[rest[0]].copy()
-                block_rows[rest[0]] = True
-                while True:
-                    more = close[:, block_columns].any(axis=1)
-                    columns = close[more].any(axis=0)
-                    if (more == block_rows).all() and (columns == block_columns).all():
-                        break
-                    block_rows, block_columns = more, columns
-                first = int(i[rest[0]])
-                found += [(first, int(x), 0) for x in np.concatenate([i[block_rows], j[block_columns]]) if x != first]
-                rest = rest[~block_rows[rest]]
+        for (s, t), rows in groups(batches, ["s", "t"]):
+            side = rows["side"].to_numpy()
+            leaf, other = rows["leaf"].to_numpy()[side == 0], rows["other"].to_numpy()[side == 0]
+            sides = []
+            for k in (1, 2) if s != t else (1,):
+                own = np.flatnonzero(side == k)
+                own = own[np.argsort(rows["leaf"].to_numpy()[own], kind="stable")]
+                part = rows.take(pa.array(own))
+                units = _units(part["vector"], raw) if len(own) else np.zeros((0, 0))
+                sides.append((part["leaf"].to_numpy(), part["id"].to_numpy(), part["weight"].to_numpy(), units, np.zeros(len(own), np.int64)))
+            (xs, i, w, u, sums), (ys, j, v, units, others) = sides[0], sides[-1]
+            found, order = [], np.lexsort((other, leaf))
+            for part in np.split(order, np.flatnonzero(np.diff(leaf[order])) + 1) if len(order) else []:
+                x, partners = leaf[part[0]], other[part]
+                rows_of = np.arange(*np.searchsorted(xs, [x, x + 1]))
+                if s == t and x in partners:
+                    close = u[rows_of] @ u[rows_of].T >= cosine
+                    np.fill_diagonal(close, True)  # a point links with itself, whatever its product is rounded to
+                    sums[rows_of] += close @ w[rows_of]
+                    found += _connected(close, i[rows_of], i[rows_of])
+                    partners = partners[partners != x]
+                columns = np.concatenate([np.zeros(0, np.int64), *(np.arange(a, b) for a, b in zip(np.searchsorted(ys, partners), np.searchsorted(ys, partners + 1)))])
+                for at in range(0, len(rows_of), LEAF):
+                    own = rows_of[at : at + LEAF]
+                    for to in range(0, len(columns), 2 * LEAF):
+                        its = columns[to : to + 2 * LEAF]
+                        close = u[own] @ units[its].T >= cosine
+                        if close.any():
+                            sums[own] += close @ v[its]
+                            others[its] += w[own] @ close
+                            found += _connected(close, i[own], j[its])
+            for ids, total in ((i, sums), (j, others))[: len(sides)]:
+                found += [(x, None, n) for x, n in zip(ids[total > 0].tolist(), total[total > 0].tolist())]
             for k in range(0, len(found), 8192):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found[k : k + 8192])], ["id", "other", "weight"])
 
     return run
 
 
-def build(points: DataFrame, reach: float) -> tuple[DataFrame, DataFrame]:
-    """The vectors with their leaf ``cell``, and the tree's nodes: cell, parent, centre, radius, leaf.
+def build(vectors: DataFrame, reach: float, raw: str) -> tuple[DataFrame, DataFrame]:
+    """(id, cell) of the vectors' leaves, and the tree's nodes: cell, parent, centre, radius, leaf.
 
-    ``points`` has id, unit, weight, cell (its root, whose centre is the origin). A cell of more than ``LEAF``
+    ``vectors`` has id, vector, cell (its root, whose centre is the origin). A cell of more than ``LEAF``
     vectors is split on every level around centres farther apart than the level's radius, which halves from level
     to level; a vector goes to the nearest centre. Centres come from a bounded sample, which decides the tree's shape
     only: the covering radius is the largest distance of the cell's own vectors. A cell whose vectors all link with
-    each other is not split.
+    each other is not split. What is written on a level tells a vector's cell by its id, without the vector.
     """
-    width = "cast(octet_length(unit) as int)"
-    points = points.withColumn("centre", F.expr(f"cast(repeat(decode(X'00', 'UTF-8'), {width}) as binary)")).withColumn("far", F.lit(1.0))
-    columns = ["id", "unit", "weight", "cell", "far", "centre"]
-    points, nodes = written(points.select(columns), "cover-points"), []
+    width = f"cast(octet_length(vector) as int) * {8 // int(raw[-1])}"
+    origin = F.expr(f"cast(repeat(decode(X'00', 'UTF-8'), {width}) as binary)")
+    placed, nodes, here = vectors.select("id", "cell", F.lit(1.0).alias("far")), [], vectors.select("id", "vector", "cell")
+    centres = vectors.groupBy("cell").agg(F.first(origin).alias("centre"))
     for level in range(1, LEVELS + 2):
-        sizes = points.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius"), F.first("centre").alias("centre"))
+        sizes = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius"))
         sizes = written(sizes.withColumn("split", (F.col("n") > LEAF) & (2 * F.col("radius") > reach - SLACK) & F.lit(level <= LEVELS)), "cover-cells")
-        fresh = F.size(F.split("cell", "/")) == level
-        nodes.append(sizes.where(fresh).select("cell", F.when(F.lit(level > 1), F.regexp_replace("cell", "/[^/]*$", "")).alias("parent"), "centre", "radius", (~F.col("split")).alias("leaf")))
+        fresh = sizes.where(F.size(F.split("cell", "/")) == level).join(centres, "cell")
+        nodes.append(fresh.select("cell", F.when(F.lit(level > 1), F.regexp_replace("cell", "/[^/]*$", "")).alias("parent"), "centre", "radius", (~F.col("split")).alias("leaf")))
         big = sizes.where("split").select("cell", "n")
-        if not big.limit(1).count():
+        many = big.count()
+        if not many:
             break
+        if level > 1:
+            here = vectors.select("id", "vector").join(placed.select("id", "cell").join(big.select("cell"), "cell", "left_semi"), "id")
         dealt = F.pmod(F.xxhash64("id", F.lit(level)), F.lit(1 << 30))
-        sample = points.join(big, "cell").where(dealt * F.col("n") < F.lit(SAMPLE << 30))
-        sample = sample.select("cell", "unit", dealt.alias("order"), F.greatest(F.lit(4), F.ceil(4 * F.col("n") / LEAF)).cast("long").alias("most"))
+        sample = here.join(big, "cell").where(dealt * F.col("n") < F.lit(SAMPLE << 30))
+        sample = sample.select("cell", "vector", dealt.alias("order"), F.greatest(F.lit(4), F.ceil(4 * F.col("n") / LEAF)).cast("long").alias("most"))
         sample = sample.repartition("cell").sortWithinPartitions("cell", "order")
-        centres = written(sample.transform(small_batches).mapInArrow(_centres(2.0 ** (1 - level)), "cell string, id long, unit binary"), "cover-centres")
-        split = points.join(big.select("cell"), "cell", "left_semi").select("cell", "id", "unit", "weight")
-        met = meetings(centres.withColumn("weight", F.lit(0).cast("long")), split, ["cell"], "id", CENTRES * 8, 20_000)
-        moved = met.transform(small_batches).mapInArrow(_assign, "id long, unit binary, weight long, cell string, far double, centre binary")
-        rest = points.join(big.select("cell"), "cell", "left_anti")
-        points = written(rest.select(columns).unionByName(moved.select(columns)), "cover-points")
-    return points, functools.reduce(DataFrame.unionByName, nodes)
+        found = written(sample.transform(small_batches).mapInArrow(_centres(2.0 ** (1 - level), raw), "cell string, id long, vector binary, centre binary"), "cover-centres")
+        centres = found.select(F.concat("cell", F.lit("/"), "id").alias("cell"), "centre")
+        # A cell's vectors are dealt to slices, each of which gets all its centres.
+        slices = big.select("cell", F.ceil(F.col("n") / SLICE).alias("slices"))
+        slices = F.broadcast(slices) if many <= SMALL_PAIRS else unsized(slices)
+        held = found.join(slices, "cell").select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), F.lit(0).alias("side"), "id", "vector")
+        split = here.join(slices, "cell").select("cell", F.pmod(F.xxhash64("id"), "slices").alias("slice"), F.lit(1).alias("side"), "id", "vector")
+        met = held.unionByName(split).repartition("cell", "slice").sortWithinPartitions("cell", "slice", "side")
+        moved = met.transform(small_batches).mapInArrow(_assign(raw), "id long, cell string, far double")
+        rest = placed.join(big.select("cell"), "cell", "left_anti")
+        placed = written(rest.select("id", "cell", "far").unionByName(moved), "cover-points")
+    return placed.select("id", "cell"), functools.reduce(DataFrame.unionByName, nodes)
+
+
+def compare(vectors: DataFrame, placed: DataFrame, pairs: DataFrame, cosine: float, raw: str) -> DataFrame:
+    """(id, other, weight): of the vectors (id, vector, weight) in pairs of leaves (a, b), the weight linked to each, and links.
+
+    Leaves next to each other are put together in tiles of about ``TILE`` vectors, a larger leaf has tiles of its own.
+    Two tiles that hold a pair of leaves meet in one task, so a vector travels once for each such tile, not for each
+    leaf. Tiles meet in rounds, whose shuffle files go before the next: a round moves about half as many vectors as there are.
+    """
+    cells = placed.groupBy("cell").agg(F.count("*").alias("n")).withColumn("root", F.split("cell", "/")[0])
+    cells = written(cells.coalesce(64).withColumn("leaf", F.monotonically_increasing_id()), "cover-leaves")
+    before = Window.partitionBy("root").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    # Tiles of many leaves are numbered by their first leaf, each tile of a larger leaf by the leaf and its own number.
+    numbered = cells.withColumn("parts", F.ceil(F.col("n") / TILE)).withColumn("at", F.when(F.col("parts") > 1, F.lit(-1)).otherwise(F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / TILE)))
+    first = F.when(F.col("parts") > 1, F.col("leaf")).otherwise(F.min("leaf").over(Window.partitionBy("root", "at")))
+    leaves = written(numbered.select("cell", "leaf", "n", "parts", (first * PARTS).alias("tile")), "cover-tiles")
+    tile = F.col("tile") + F.pmod(F.xxhash64("id"), "parts")
+    where = placed.join(leaves, "cell").select("id", "leaf", tile.alias("tile"))
+    dealt = written(vectors.select("id", "vector", "weight").join(where, "id"), "cover-vectors")
+    sizes = written(dealt.groupBy("tile").agg(F.count("*").alias("n")), "cover-tile-sizes")
+
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    tiles = leaves.select("cell", "leaf", "tile", every.alias("part")).select("cell", "leaf", (F.col("tile") + F.col("part")).alias("tile"))
+    both = pairs.join(tiles.toDF("a", "x", "s"), "a").join(tiles.toDF("b", "y", "t"), "b")
+    # Of a leaf with itself each pair of tiles once; the smaller tile comes first, with its own leaf.
+    both = both.where("a != b or s <= t").select("s", "t", F.when(F.expr("s <= t"), F.struct("s", "t", "x", "y")).otherwise(F.struct(F.col("t").alias("s"), F.col("s").alias("t"), F.col("y").alias("x"), F.col("x").alias("y"))).alias("p"))
+    both = written(both.select("p.s", "p.t", F.col("p.x").alias("leaf"), F.col("p.y").alias("other")), "cover-open")
+    met = both.select("s", "t").distinct().join(sizes.toDF("s", "m"), "s").join(sizes.toDF("t", "n"), "t")
+    met = written(met.select("s", "t", F.when(F.expr("s = t"), F.col("m")).otherwise(F.expr("m + n")).alias("n")), "cover-meetings")
+    total = F.coalesce(F.sum("n"), F.lit(0))
+    (moved, many), (held,) = met.agg(total, F.count("*")).first(), sizes.agg(total).first()
+    rounds = max(1, -(-moved // max(held // 2, LEAST_ROUND)))
+    turn = F.pmod(F.xxhash64("s", "t"), F.lit(rounds))
+    out = []
+    for k in range(rounds):
+        now = met.where(turn == k).select("s", "t")
+        now = F.broadcast(now) if many <= SMALL_PAIRS else unsized(now)
+        sides = [now.withColumns({"side": F.lit(1), "tile": F.col("s")}), now.where("s != t").withColumns({"side": F.lit(2), "tile": F.col("t")})]
+        rows = [dealt.join(x, "tile").select("s", "t", "side", "leaf", F.lit(None).cast("long").alias("other"), "id", "weight", "vector") for x in sides]
+        wanted = both.where(turn == k).select("s", "t", F.lit(0).alias("side"), "leaf", "other", F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("weight"), F.lit(None).cast("binary").alias("vector"))
+        rows = functools.reduce(DataFrame.unionByName, [*rows, wanted]).repartition("s", "t").sortWithinPartitions("s", "t", "side")
+        out.append(written(rows.transform(small_batches).mapInArrow(_compare(cosine, raw), "id long, other long, weight long"), "vector-links"))
+    return functools.reduce(DataFrame.unionByName, out)
 
 
 def traverse(nodes: DataFrame, reach: float) -> DataFrame:
@@ -213,22 +309,17 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     other widths, and rows without label or without id, link with nothing; a row without id has no component and is kept. Rows that
     repeat link to each other. Other columns, whatever their names, are not read. No rows give none.
     """
-    reach = float(np.sqrt(2 - 2 * cosine))
-    units = written(unit_vectors(rows, id_col, vector_col, label_col), "units").withColumn("key", F.when(F.col("id").isNotNull(), F.sha2("unit", 256)))
-    linkable = units.where("key is not null")
-    classes = linkable.groupBy("label", "key").agg(F.min("id").alias("first"), F.count("*").alias("weight"), F.first("unit").alias("unit"))
+    reach, raw = float(np.sqrt(2 - 2 * cosine)), _raw(rows, vector_col)
+    vectors = linkable_vectors(rows, id_col, vector_col, label_col)
+    classes = vectors.where("key is not null").groupBy("label", "key").agg(F.min("id").alias("first"), F.count("*").alias("weight"), F.first("vector").alias("vector"))
     # Numbered before the table is written, so that every reader sees the same numbers.
-    classes = written(classes.select("label", "key", F.monotonically_increasing_id().alias("id"), "first", "weight", "unit"), "vector-classes")
-    points, nodes = build(classes.select("id", "unit", "weight", F.concat(F.hex(F.col("label").cast("string")), F.lit(":"), F.octet_length("unit").cast("string")).alias("cell")), reach)
-    pairs = traverse(nodes, reach)
-
-    open_pairs = pairs.where("not inside").select("a", "b")
-    slim = points.select("cell", "id", "unit", "weight")
-    left = open_pairs.join(slim, F.col("a") == F.col("cell")).drop("cell")
-    right = open_pairs.join(slim, F.col("b") == F.col("cell")).drop("cell")
-    compared = meetings(left, right, ["a", "b"], "id", 2 * LEAF, 2 * LEAF).transform(small_batches).mapInArrow(_compare(cosine), "id long, other long, weight long")
-    compared = written(compared, "vector-links")
+    classes = written(classes.select("label", "key", F.monotonically_increasing_id().alias("id"), "first", "weight", "vector"), "vector-classes")
+    root = F.concat(F.hex(F.col("label").cast("string")), F.lit(":"), F.octet_length("vector").cast("string"))
+    placed, nodes = build(classes.select("id", "vector", root.alias("cell")), reach, raw)
+    pairs = written(traverse(nodes, reach), "cover-leaf-pairs")
+    compared = compare(classes, placed, pairs.where("not inside").select("a", "b"), cosine, raw)
 
+    points = placed.join(classes.select("id", "weight"), "id")
     cells = points.groupBy("cell").agg(F.min("id").alias("low"), F.sum("weight").alias("weight"))
     inside = pairs.where("inside").select("a", "b")
     both = inside.unionByName(inside.where("a != b").select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -245,6 +336,6 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     named = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
     known = grouped.join(counted, "id", "left").join(named, "component")
     known = known.select("label", "key", (F.coalesce("weight", F.lit(1)) - 1).cast("long").alias("n_links"), "component_id")
-    return units.join(known, ["label", "key"], "left").select(
+    return vectors.select("id", "label", "key").join(known, ["label", "key"], "left").select(
         F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id")
     ).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
